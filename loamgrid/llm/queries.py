@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from .decontamination import op5_decontamination
 from .fingerprints import op1_fingerprints
+from .html import op6_html
 from .packing import op3_packing
 from .secrets import op10_secrets
+from .sharding import OP4_SQL, op4_compaction
 from .simhash import op9_simhash
 from .toxicity import op7_toxicity
+from .urls import op8_urls
+from .warc import OP2_SQL, op2_warc
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op3_packing, op5_decontamination, op7_toxicity, op9_simhash, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_warc, op3_packing, op4_compaction, op5_decontamination, op6_html, op7_toxicity, op8_urls, op9_simhash, op10_secrets)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op4_compaction": OP4_SQL}
