@@ -252,7 +252,8 @@ def near_deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     words, bits, radius = plan(docs.count(), similarity)
     found = components(docs, id_col, text_col, k, words, bits, radius, distinct=True)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = written(kept.select(F.col("doc_id").alias("__keep"), "n"), "kept")
+    # the ids that stay grow with the documents: never broadcast them, at any size
+    kept = written(kept.select(F.col("doc_id").alias("__keep"), "n"), "kept").hint("merge")
     out = docs.join(kept.select("__keep"), docs[id_col].eqNullSafe(F.col("__keep")), "left_semi")
     again = kept.where("n > 1").select("__keep")
     if again.isEmpty():
