@@ -5,12 +5,12 @@ distinct terms on average, at most A / ``low`` terms qualify however many texts
 has a proven bound and is broadcast (the bound is checked). Sub-lexicon j keeps a term with probability
 2**-d for a random but fixed choice by hash; over all j, d runs through ``DEPTHS``, so that both short and
 long texts have sub-lexicons that hold few of their terms. A text's distinct kept terms are sorted and
-hashed, once for each sub-lexicon; the fingerprint is the row of these 32-bit hashes in hex (zeros: no
+hashed, once for each sub-lexicon; the fingerprint is the row of these 16-bit hashes in hex (zeros: no
 term is kept). The likeness of two fingerprints is the share of sub-lexicons with equal hashes among those
 where either has one; equal fingerprints have likeness 1.
 
 Cases: null texts are empty; a text without kept terms has a fingerprint of zeros; rows with equal ids are
-ordered by text; the last text is followed by the first; a single text is its own next.
+ordered by a hash of the text; the last text is followed by the first; a single text is its own next.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,8 +74,8 @@ def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW, high: flo
 
 
 def fingerprint(texts: list[bytes], terms: np.ndarray) -> np.ndarray:
-    """A row of 32-bit hashes for each text."""
-    out = np.zeros((len(texts), len(DEPTHS)), np.uint32)
+    """A row of 16-bit hashes for each text."""
+    out = np.zeros((len(texts), len(DEPTHS)), np.uint16)
     for a, b in chunks(texts):
         d, h = distinct_terms(Words(texts[a:b]))
         if len(terms) and len(h):
@@ -95,7 +96,7 @@ def fingerprint(texts: list[bytes], terms: np.ndarray) -> np.ndarray:
                 # terms are sorted and distinct: rank within the text, then a positional sum
                 rank = np.arange(len(dj)) - np.repeat(first, np.diff(np.r_[first, len(dj)]))
                 total = np.add.reduceat(mix(own, j + 1) * (rank.astype(np.uint64) * np.uint64(2) + np.uint64(1)), first)
-            out[a + dj[first], j] = np.maximum((mix(total) >> np.uint64(32)).astype(np.uint32), 1)
+            out[a + dj[first], j] = np.maximum((mix(total) >> np.uint64(48)).astype(np.uint16), 1)
     return out
 
 
@@ -106,11 +107,17 @@ def likeness(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def hexed(x: np.ndarray) -> list[str]:
-    flat = x.astype(">u4").tobytes().hex()
-    n = 8 * x.shape[1]
+    flat = x.astype(">u2").tobytes().hex()
+    n = 4 * x.shape[1]
     return [flat[i * n : i * n + n] for i in range(len(x))]
 
 
+def raw(x: np.ndarray) -> pa.Array:
+    """Rows as bytes: half the size of hex in files."""
+    flat, n = x.astype(">u2").tobytes(), 2 * x.shape[1]
+    return pa.array([flat[i * n : i * n + n] for i in range(len(x))], pa.binary())
+
+
 def edited(text: str, after: str) -> str:
     """text with its last quarter (rounded down) replaced by as many first characters of after, or all of it."""
     k = len(text) // 4
@@ -134,15 +141,23 @@ def edit_study(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Fingerprints of each text and of its edited text, with their likeness to each other and to the next text's.
 
     The texts are range-partitioned and sorted by id once. A partition's last text needs the first of the
-    next partition that has rows: only these edge texts, one or two for each partition, move again.
+    next partition that has rows: only these edge texts, one or two for each partition, move again. Texts
+    are compressed one by one before they move, which halves the shuffle.
     """
     spark = docs.sparkSession
     terms = spark.sparkContext.broadcast(lexicon(docs, text_col, low, high))
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, part int, edge_first string, edge_last string, edge_id long"
-    out = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("part", pa.int32()), ("edge_first", pa.string()), ("edge_last", pa.string()), ("edge_id", pa.int64())])
+
+    def packed(batches):
+        pack = zstandard.ZstdCompressor(level=3, write_checksum=False).compress
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(t) for t in byte_list(batch.column(1))], pa.binary()), batch.column(2)], names=["doc_id", "text", "tie"])
+
+    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInArrow(packed, "doc_id long, text binary, tie long")
+    rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "tie")
+    schema = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, part int, edge_first string, edge_last string, edge_id long"
+    out = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.binary()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("part", pa.int32()), ("edge_first", pa.string()), ("edge_last", pa.string()), ("edge_id", pa.int64())])
 
     def judged(ids, texts, extra):
         """Rows for texts[:-1]; extra: what stands in the last four columns."""
@@ -150,20 +165,21 @@ def edit_study(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         changed = [edited(a, b).encode() for a, b in zip(texts[:-1], texts[1:], strict=True)]
         other = fingerprint(changed, terms.value)
         n = len(changed)
-        return pa.RecordBatch.from_arrays([pa.array(ids[:n], pa.int64()), pa.array([len(t) for t in texts[:n]], pa.int64()), pa.array([hashlib.sha256(c).hexdigest() for c in changed]), pa.array(hexed(own[:n]), pa.string()), pa.array(hexed(other), pa.string()), pa.array(likeness(own[:n], other)), pa.array(likeness(own[:n], own[1:])), *[pa.array([v] * n, t) for v, t in zip(extra, (pa.int32(), pa.string(), pa.string(), pa.int64()), strict=True)]], schema=out)
+        return pa.RecordBatch.from_arrays([pa.array(ids[:n], pa.int64()), pa.array([len(t) for t in texts[:n]], pa.int64()), pa.array([hashlib.sha256(c).digest() for c in changed], pa.binary()), raw(own[:n]), raw(other), pa.array(likeness(own[:n], other)), pa.array(likeness(own[:n], own[1:])), *[pa.array([v] * n, t) for v, t in zip(extra, (pa.int32(), pa.string(), pa.string(), pa.int64()), strict=True)]], schema=out)
 
     def run(batches):
         part, ids, texts, first = TaskContext.get().partitionId(), [], [], None
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            new_ids, new = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            new_ids, new = batch.column(0).to_pylist(), batch.column(1)
             at = 0
             while at < len(new):  # about 2 million characters at a time
                 size, end = 0, at
                 while end < len(new) and (end == at or size < 2_000_000):
-                    size += len(new[end])
+                    texts.append(unpack(new[end].as_py()).decode())
+                    size += len(texts[-1])
                     end += 1
                 ids += new_ids[at:end]
-                texts += new[at:end]
                 first = texts[0] if first is None else first
                 if len(texts) > 1:
                     yield judged(ids, texts, (None, None, None, None))
@@ -184,7 +200,8 @@ def edit_study(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     after = spark.createDataFrame([(a, b) for a, b in zip(nonempty, nonempty[1:] + nonempty[:1], strict=True)], "part int, next_part int")
     pairs = edges.join(after, "part").join(edges.select(F.col("part").alias("next_part"), F.col("edge_first").alias("next_text")), "next_part")
     done = pairs.select("edge_id", "edge_last", "next_text").mapInArrow(meet, schema)
-    return made.where("part is null").unionByName(done).drop("part", "edge_first", "edge_last", "edge_id")
+    hex_ = lambda c: F.lower(F.hex(c)).alias(c)
+    return made.where("part is null").unionByName(done).select("doc_id", "n_chars", hex_("edited_sha256"), hex_("fingerprint"), hex_("edited_fingerprint"), "near_edited", "near_next")
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
