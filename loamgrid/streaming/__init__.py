@@ -1,0 +1 @@
+"""No operator of this engine is a stream: there is no windowed or stateful query to run."""
