@@ -165,5 +165,5 @@ def mcc(truth, said) -> float:
     k = sorted({*truth.tolist(), *said.tolist()})
     c = np.array([[((truth == a) & (said == b)).sum() for b in k] for a in k], float)
     n, hit, t, p = c.sum(), np.trace(c), c.sum(1), c.sum(0)
-    low = math.sqrt(max(n * n - (p * p).sum(), 0)) * math.sqrt(max(n * n - (t * t).sum(), 0))
+    low = math.sqrt(max(n * n - (p * p).sum(), 0) * max(n * n - (t * t).sum(), 0))
     return float((n * hit - (t * p).sum()) / low) if low else 0.0

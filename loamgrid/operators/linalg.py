@@ -156,23 +156,28 @@ def batch_corrected(z: np.ndarray, batch: np.ndarray, clusters: int | None = Non
     return out, r, y
 
 
-def map_query(z: np.ndarray, batch: np.ndarray, centroids: np.ndarray, corrected: np.ndarray, memberships: np.ndarray, sigma: float = 0.1, ridge: float = 1.0) -> np.ndarray:
-    """New rows in a corrected space: the reference enters through its memberships' sums and their products with the corrected rows."""
-    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-    logit = -2 * (1 - unit(z) @ centroids.T) / sigma
+def memberships(z: np.ndarray, centroids: np.ndarray, sigma: float = 0.1) -> np.ndarray:
+    unit = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+    logit = -2 * (1 - unit @ centroids.T) / sigma
     r = np.exp(logit - logit.max(1, keepdims=True))
-    r /= r.sum(1, keepdims=True)
-    size, mass = memberships.sum(0), memberships.T @ corrected
-    levels = sorted(set(batch.tolist()))
-    phi = np.c_[np.ones(len(z)), np.array([[b == x for x in levels] for b in batch.tolist()], float)]
-    out = z.copy()
-    for c in range(len(centroids)):
-        wd = phi * r[:, [c]]
-        left = wd.T @ phi + ridge * np.diag(np.r_[0, np.ones(len(levels))])
-        right = wd.T @ z
-        left[0, 0] += size[c]
-        right[0] += mass[c]
-        beta = np.linalg.solve(left, right)
-        beta[0] = 0
-        out -= wd @ beta
+    return r / r.sum(1, keepdims=True)
+
+
+def query_betas(sums: dict[str, tuple[np.ndarray, np.ndarray]], reference: np.ndarray, reference_memberships: np.ndarray, ridge: float = 1.0) -> dict[str, np.ndarray]:
+    """Shifts of each batch by cluster (clusters x dimensions), from its sums of memberships and of membership-weighted rows.
+
+    The reference enters through the same two sums, so neither its rows nor the query's are needed together.
+    """
+    levels = sorted(sums)
+    size, mass = reference_memberships.sum(0), reference_memberships.T @ reference
+    out = {b: np.zeros_like(mass) for b in levels}
+    for c in range(len(size)):
+        n = np.array([sums[b][0][c] for b in levels])
+        zs = np.array([sums[b][1][c] for b in levels])
+        left = np.zeros((1 + len(levels),) * 2)
+        left[0, 0], left[0, 1:], left[1:, 0] = n.sum() + size[c] + 1e-9, n, n
+        left[1:, 1:] = np.diag(n + ridge)
+        beta = np.linalg.solve(left, np.vstack([zs.sum(0) + mass[c], zs]))
+        for i, b in enumerate(levels):
+            out[b][c] = beta[1 + i]
     return out

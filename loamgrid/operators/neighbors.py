@@ -37,10 +37,11 @@ def smooth_weights(dist: np.ndarray, rounds: int = 64) -> np.ndarray:
     return np.exp(-gap / np.maximum(sigma, 1e-3 * dist.mean(1) + 1e-12)[:, None])
 
 
-def cell_neighbors(cells: DataFrame, landmarks: DataFrame, k: int = 20, transform=None) -> DataFrame:
+def cell_neighbors(cells: DataFrame, landmarks: DataFrame, k: int = 20, transform=None, by_sample=None) -> DataFrame:
     """(sample_id, cell_id, rank, lm_id, dist, weight): the k nearest landmarks of each cell.
 
     landmarks: (lm_id, features), at most 50,000 (checked) and broadcast. transform: applied to arrays on both sides.
+    by_sample: applied instead to cells, with their samples.
     """
     rows = landmarks.select("lm_id", "features").orderBy("lm_id").limit(MOST_LANDMARKS + 1).collect()
     if len(rows) > MOST_LANDMARKS:
@@ -54,7 +55,8 @@ def cell_neighbors(cells: DataFrame, landmarks: DataFrame, k: int = 20, transfor
         for pdf in batches:
             for a in range(0, len(pdf), 2000):
                 own = pdf.iloc[a : a + 2000]
-                at, dist = nearest(place(np.stack(own["features"].to_numpy()).astype(float)), ref, k)
+                x = np.stack(own["features"].to_numpy()).astype(float)
+                at, dist = nearest(by_sample(x, own["sample_id"].to_numpy()) if by_sample else place(x), ref, k)
                 n, kk = at.shape
                 yield pd.DataFrame({"sample_id": np.repeat(own["sample_id"].to_numpy(), kk), "cell_id": np.repeat(own["cell_id"].to_numpy(), kk), "rank": np.tile(np.arange(1, kk + 1, dtype=np.int32), n), "lm_id": ids[at].ravel(), "dist": dist.ravel(), "weight": smooth_weights(dist).ravel()})
 

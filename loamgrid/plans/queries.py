@@ -1,6 +1,301 @@
-"""Queries over the engine's operators, with their SQL."""
+"""Queries over the shared tables, each with DuckDB SQL for the same rows (results rounded where sums of floats meet)."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import columns as X
+from ..operators import cells as C
+from ..operators import mapping, neighbors, report, validate
+from .adapters import VIEWS, order_assay, order_cells, vector_cells, vector_landmarks
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None, views: bool = True):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = (VIEWS if views else "") + sql
+        return f
+
+    return keep
+
+
+def _r(c, digits: int = 6):
+    return F.round(c, digits) + F.lit(0.0)
+
+
+_NEAREST = """, pair AS (SELECT v.sample_id, v.cell_id, l.cell_id AS lm_id, l.label AS lm_label, list_distance(v.features, l.features) AS dist FROM vec v, lm l),
+nn AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY dist, lm_id) AS rank FROM pair QUALIFY rank <= 10),
+n AS (SELECT sample_id, count(*) AS n FROM vec GROUP BY 1),
+dens AS (SELECT g.lm_id, g.sample_id, coalesce(c, 0) AS raw, coalesce(c, 0) / (n.n / (SELECT avg(n) FROM n)) AS norm
+         FROM (SELECT lm.cell_id AS lm_id, n.sample_id FROM lm, n) g JOIN n USING (sample_id)
+         LEFT JOIN (SELECT lm_id, sample_id, CAST(count(*) AS DOUBLE) AS c FROM nn WHERE rank = 1 GROUP BY 1, 2) USING (lm_id, sample_id))
+"""
+
+
+def _nn(spark: SparkSession, sf: str, k: int = 10) -> DataFrame:
+    return neighbors.cell_neighbors(vector_cells(spark, sf), vector_landmarks(spark, sf), k)
+
+
+def _density(spark: SparkSession, sf: str) -> DataFrame:
+    cells = vector_cells(spark, sf)
+    hard = _nn(spark, sf, 1).select("sample_id", "cell_id", "lm_id", F.lit(1.0).alias("weight"))
+    return mapping.density(hard, vector_landmarks(spark, sf), C.samples(cells, 1))
+
+
+@query(_NEAREST + "SELECT lm_id, sample_id, raw, round(norm, 6) AS norm, round(log2(norm + 0.5), 6) AS log_norm FROM dens")
+def density(spark: SparkSession, sf: str) -> DataFrame:
+    """J4 with one neighbour, A1, M7, M8."""
+    return _density(spark, sf).select("lm_id", "sample_id", "raw", _r("norm").alias("norm"), _r("log_norm").alias("log_norm"))
+
+
+@query(_NEAREST + "SELECT lm_id, round(avg(log2(norm + 0.5)) FILTER (sample_id % 2 = 1) - avg(log2(norm + 0.5)) FILTER (sample_id % 2 = 0), 6) + 0.0 AS coef FROM dens GROUP BY 1")
+def density_contrast(spark: SparkSession, sf: str) -> DataFrame:
+    """The flagship: a two-group contrast of log density by landmark (least squares: a difference of means)."""
+    side = F.col("sample_id") % 2
+    return _density(spark, sf).groupBy("lm_id").agg(_r(F.avg(F.when(side == 1, F.col("log_norm"))) - F.avg(F.when(side == 0, F.col("log_norm")))).alias("coef"))
+
+
+@query(_NEAREST + "SELECT cell_id, rank, lm_id, round(dist, 6) AS dist FROM nn")
+def nearest_landmarks(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact neighbours of every cell."""
+    return _nn(spark, sf).select("cell_id", F.col("rank").cast("long").alias("rank"), "lm_id", _r("dist").alias("dist"))
+
+
+@query(_NEAREST + """, v AS (SELECT cell_id, lm_label AS label, count(*) / 10.0 AS confidence, min(rank) AS tie FROM nn GROUP BY 1, 2),
+b AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY confidence DESC, tie, label) = 1)
+SELECT cell_id, CASE WHEN confidence >= 0.5 THEN label ELSE '..low.confidence..' END AS label, CAST(confidence AS DOUBLE) AS confidence FROM b""")
+def neighbor_label_transfer(spark: SparkSession, sf: str) -> DataFrame:
+    """N13 by votes of neighbours, W3."""
+    annot = vector_landmarks(spark, sf).select("lm_id", "label")
+    return mapping.transferred(mapping.neighbor_votes(_nn(spark, sf), annot), vector_cells(spark, sf)).select("cell_id", "label", "confidence")
+
+
+@query(_NEAREST + """, w AS (SELECT cell_id, sample_id, lm_id, lm_label, exp(-dist) AS w FROM nn),
+v AS (SELECT sample_id, cell_id, lm_label AS label, sum(w) / sum(sum(w)) OVER (PARTITION BY cell_id) AS confidence, min(lm_id) AS tie FROM w GROUP BY 1, 2, 3),
+b AS (SELECT sample_id, cell_id, CASE WHEN confidence >= 0.3 THEN label ELSE '..low.confidence..' END AS label FROM v QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY confidence DESC, tie, label) = 1),
+c AS (SELECT sample_id, label, count(*) AS count FROM b GROUP BY 1, 2),
+g AS (SELECT * FROM (SELECT DISTINCT sample_id FROM c), (SELECT DISTINCT label FROM c))
+SELECT sample_id, label, coalesce(count, 0) AS count, round(100.0 * coalesce(count, 0) / sum(coalesce(count, 0)) OVER (PARTITION BY sample_id), 6) AS perc FROM g LEFT JOIN c USING (sample_id, label)""")
+def fuzzy_composition(spark: SparkSession, sf: str) -> DataFrame:
+    """N13 by weights (a fixed kernel, so that SQL can follow), A2, M9, N11."""
+    edges = _nn(spark, sf).withColumn("weight", F.exp(-F.col("dist")))
+    labels = mapping.transferred(mapping.fuzzy_votes(edges, vector_landmarks(spark, sf).select("lm_id", "label")), vector_cells(spark, sf), 0.3)
+    return mapping.composition(labels).select("sample_id", "label", "count", _r("perc").alias("perc"))
+
+
+_GRAPH = """, d AS (SELECT a.cell_id AS src, b.cell_id AS dst, list_distance(a.features, b.features) AS dist FROM lm a, lm b),
+g AS (SELECT src, dst FROM d QUALIFY row_number() OVER (PARTITION BY src ORDER BY dist, dst) <= 10),
+j AS (SELECT a.src, b.src AS dst, count(*) / (20.0 - count(*)) AS weight FROM g a JOIN g b USING (dst) GROUP BY 1, 2 HAVING count(*) / (20.0 - count(*)) > 1.0 / 15)
+"""
+
+
+def _graph(spark: SparkSession, sf: str) -> DataFrame:
+    lm = vector_landmarks(spark, sf)
+    return neighbors.cell_neighbors(lm.withColumnRenamed("lm_id", "cell_id"), lm, 10).select(F.col("cell_id").alias("src"), F.col("lm_id").alias("dst"))
+
+
+@query(_GRAPH + "SELECT src, dst, round(CAST(weight AS DOUBLE), 6) AS weight FROM j")
+def shared_neighbors(spark: SparkSession, sf: str) -> DataFrame:
+    """N6, N7, P11."""
+    return neighbors.shared_neighbors(_graph(spark, sf), 10).select("src", "dst", _r("weight").alias("weight"))
+
+
+@query(_GRAPH + """, s AS (SELECT cell_id AS lm_id, u.k AS component, features[u.k] AS score FROM lm, (SELECT unnest([1, 2, 3]) AS k) u),
+deg AS (SELECT src, sum(weight) AS d FROM j GROUP BY 1),
+x AS (SELECT lm_id, component, score / sqrt(d) AS x FROM s JOIN deg ON src = lm_id),
+r AS (SELECT a.component, sum(weight * power(a.x - b.x, 2)) / 2 AS r FROM j JOIN x a ON a.lm_id = src JOIN x b ON b.lm_id = dst AND b.component = a.component GROUP BY 1),
+q AS (SELECT component, sum(score * score) AS q FROM s GROUP BY 1)
+SELECT CAST(component AS INTEGER) AS component, round(1 - least(greatest(r / q, 0), 2) / 2, 6) AS sk FROM r JOIN q USING (component)""")
+def graph_smoothness(spark: SparkSession, sf: str) -> DataFrame:
+    """N28."""
+    scores = vector_landmarks(spark, sf).select("lm_id", F.posexplode(F.slice("features", 1, 3)).alias("component", "score")).withColumn("component", F.col("component") + 1)
+    return neighbors.smoothness(neighbors.shared_neighbors(_graph(spark, sf), 10), scores).select("component", _r("sk").alias("sk"))
+
+
+@query("SELECT sample_id, cell_id FROM lm")
+def weighted_landmarks(spark: SparkSession, sf: str) -> DataFrame:
+    """Sampling by md5 keys."""
+    return vector_landmarks(spark, sf).select("sample_id", F.col("lm_id").alias("cell_id"))
+
+
+@query("""SELECT sample_id, count(DISTINCT cell_id) AS n_cells, CAST(least(ceil(count(DISTINCT cell_id) * 0.1), ceil(least(sum(count(DISTINCT cell_id)) OVER () * 0.1, 5000.0) / count(*) OVER ())) AS BIGINT) AS quota FROM cell GROUP BY 1 HAVING count(DISTINCT cell_id) >= 10""")
+def landmark_quotas(spark: SparkSession, sf: str) -> DataFrame:
+    """SC18, P1."""
+    return C.quotas(C.samples(order_cells(spark, sf)))
+
+
+@query("""SELECT 'region' AS "column" FROM (SELECT 1) WHERE (SELECT bool_and(k = 1) FROM (SELECT count(DISTINCT region) + max(CASE WHEN region IS NULL THEN 1 ELSE 0 END) AS k FROM cell GROUP BY sample_id))
+UNION ALL SELECT 'status' FROM (SELECT 1) WHERE (SELECT bool_and(k = 1) FROM (SELECT count(DISTINCT status) + max(CASE WHEN status IS NULL THEN 1 ELSE 0 END) AS k FROM cell GROUP BY sample_id))""")
+def sample_level_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """P4."""
+    found = C.sample_level_columns(order_cells(spark, sf).drop("cell_id", "priority"))
+    return spark.createDataFrame([(c,) for c in found], "`column` string")
+
+
+@query("SELECT sample_id, any_value(region) AS region FROM cell GROUP BY 1")
+def sample_table(spark: SparkSession, sf: str) -> DataFrame:
+    """SC13, A10."""
+    return C.sample_table(order_cells(spark, sf).drop("cell_id"))
+
+
+_TOTAL = ", t AS (SELECT sample_id, cell_id, sum(value) AS total FROM assay GROUP BY 1, 2), m AS (SELECT sample_id, avg(total) AS mean_total FROM t GROUP BY 1), nv AS (SELECT a.sample_id, a.cell_id, feature, value / (total / mean_total) AS value FROM assay a JOIN t USING (sample_id, cell_id) JOIN m USING (sample_id))\n"
+
+
+@query(_TOTAL + "SELECT sample_id, cell_id, feature, round(log2(value + 1), 6) AS value FROM nv")
+def normalised(spark: SparkSession, sf: str) -> DataFrame:
+    """M1, M3."""
+    return C.log2p1(C.normalised(order_assay(spark, sf))).withColumn("value", _r("value"))
+
+
+@query(_TOTAL + """, v AS (SELECT sample_id, feature, sum(log2(value + 1)) AS s, sum(log2(value + 1) * log2(value + 1)) AS q FROM nv GROUP BY 1, 2),
+k AS (SELECT sample_id, count(DISTINCT cell_id) AS n FROM nv GROUP BY 1), z AS (SELECT sample_id, feature, s / n AS mean, greatest((q - s * s / n) / (n - 1), 0) AS variance FROM v JOIN k USING (sample_id))
+SELECT sample_id, feature, round(mean, 6) AS mean, round(variance, 6) AS variance, row_number() OVER (PARTITION BY sample_id ORDER BY variance DESC, feature) AS rank FROM z QUALIFY rank <= 10""")
+def most_variable(spark: SparkSession, sf: str) -> DataFrame:
+    """Implicit zeros count."""
+    top = C.most_variable(C.feature_moments(C.log2p1(C.normalised(order_assay(spark, sf)))), 10)
+    return top.select("sample_id", "feature", _r("mean").alias("mean"), _r("variance").alias("variance"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(""", w AS (SELECT sample_id, cell_id, CAST(length(priority) AS DOUBLE) AS w FROM cell), z AS (SELECT sample_id, sum(w) AS total, count(*) FILTER (w > 0) AS n FROM w GROUP BY 1)
+SELECT sample_id, feature, round(sum(value * w) / any_value(total) * any_value(n), 6) AS value FROM assay JOIN w USING (sample_id, cell_id) JOIN z USING (sample_id) GROUP BY 1, 2""")
+def pseudobulk_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """A3."""
+    weights = order_cells(spark, sf).select("sample_id", "cell_id", F.length("priority").cast("double").alias("weight"))
+    return mapping.pseudobulk(order_assay(spark, sf), weights).withColumn("value", _r("value"))
+
+
+@query(""", l AS (SELECT sample_id, cell_id, i AS feature, features[i] AS value, CAST(label AS DOUBLE) + 1 AS w FROM vec, (SELECT unnest(range(1, 65)) AS i))
+SELECT sample_id, CAST(feature - 1 AS INTEGER) AS feature, round(sum(value * w) / sum(w), 6) + 0.0 AS value FROM l GROUP BY 1, 2""")
+def pseudobulk_markers(spark: SparkSession, sf: str) -> DataFrame:
+    """A4."""
+    cells = vector_cells(spark, sf)
+    weights = cells.select("sample_id", "cell_id", (F.col("label").cast("double") + 1).alias("weight"))
+    return mapping.pseudobulk(C.long_form(cells), weights, counts=False).withColumn("value", _r("value"))
+
+
+@query("SELECT sample_id, count(*) AS n, count(*) / avg(count(*)) OVER () < 0.1 AS outlier FROM cell GROUP BY 1")
+def outlier_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """P8."""
+    return mapping.outlier_samples(order_cells(spark, sf).withColumn("weight", F.lit(1.0)))
+
+
+@query(""", f AS (SELECT DISTINCT feature FROM assay), u AS (SELECT f.feature, sample_id, CASE WHEN a.value > 0 THEN 'pos.' ELSE 'neg.' END || status AS label FROM cell CROSS JOIN f LEFT JOIN assay a USING (sample_id, cell_id, feature)),
+c AS (SELECT feature, sample_id, label, count(*) AS count FROM u GROUP BY ALL), g AS (SELECT * FROM (SELECT DISTINCT sample_id FROM c), (SELECT DISTINCT feature, label FROM c))
+SELECT feature, sample_id, label, coalesce(count, 0) AS count, round(100.0 * coalesce(count, 0) / sum(coalesce(count, 0)) OVER (PARTITION BY feature, sample_id), 6) AS perc FROM g LEFT JOIN c USING (feature, sample_id, label)""")
+def marker_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells with and without each chosen feature."""
+    assay = order_assay(spark, sf)
+    names = sorted(r.feature for r in assay.select("feature").distinct().collect())
+    labels = order_cells(spark, sf).select("sample_id", "cell_id", F.col("status").alias("label"))
+    return mapping.marker_summary(assay, labels, names).select("feature", "sample_id", "label", "count", _r("perc").alias("perc"))
+
+
+@query("SELECT status AS label, feature, median(value) AS median FROM assay JOIN cell USING (sample_id, cell_id) GROUP BY 1, 2")
+def median_expression(spark: SparkSession, sf: str) -> DataFrame:
+    """A6, R10."""
+    return mapping.median_expression(order_assay(spark, sf), order_cells(spark, sf).select("sample_id", "cell_id", F.col("status").alias("label")))
+
+
+@query("SELECT feature, count(*) AS n FROM assay WHERE value > 0 GROUP BY 1 HAVING count(*) > 0.005 * (SELECT count(*) FROM cell)")
+def detected_features(spark: SparkSession, sf: str) -> DataFrame:
+    """P3."""
+    return C.detected(order_assay(spark, sf), order_cells(spark, sf).count())
+
+
+_P = ", p AS (SELECT feature AS unit, sample_id AS term, (CAST('0x' || substr(md5('7_' || feature || '_' || sample_id), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0 AS p, 1 / log10(count(*) + 1) AS w FROM assay GROUP BY 1, 2)\n"
+
+
+@query(_P + """, c AS (SELECT unit, term, p, sum(w) OVER (PARTITION BY term) * p / sum(w) OVER (PARTITION BY term ORDER BY p, unit) AS a FROM p)
+SELECT unit, term, round(least(1.0, min(a) OVER (PARTITION BY term ORDER BY p, unit ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS q FROM c""")
+def weighted_fdr(spark: SparkSession, sf: str) -> DataFrame:
+    """Benjamini-Hochberg with weights, for each term."""
+    p = order_assay(spark, sf).groupBy(F.col("feature").alias("unit"), F.col("sample_id").alias("term")).agg((1 / F.log10(F.count("*") + 1)).alias("w")).withColumn("p", X.u01(7, F.col("unit"), F.col("term")))
+    up = Window.partitionBy("term").orderBy("p", "unit")
+    adj = p.withColumn("a", F.sum("w").over(Window.partitionBy("term")) * F.col("p") / F.sum("w").over(up.rowsBetween(Window.unboundedPreceding, 0)))
+    return adj.select("unit", "term", _r(F.least(F.lit(1.0), F.min("a").over(up.rowsBetween(0, Window.unboundedFollowing)))).alias("q"))
+
+
+@query("SELECT sample_id, cell_id, feature, rank() OVER (PARTITION BY sample_id, feature ORDER BY value) + (count(*) OVER (PARTITION BY sample_id, feature, value) - 1) / 2.0 AS rank FROM assay")
+def average_ranks(spark: SparkSession, sf: str) -> DataFrame:
+    """W5, N30."""
+    return order_assay(spark, sf).select("sample_id", "cell_id", "feature", X.average_rank("value", "sample_id", "feature").alias("rank"))
+
+
+@query(_TOTAL + """, z AS (SELECT sample_id, feature, avg(log2(value + 1)) AS s FROM nv GROUP BY 1, 2), c AS (SELECT sample_id AS component, feature, round(s - avg(s) OVER (PARTITION BY sample_id), 9) AS loading FROM z),
+r AS (SELECT *, row_number() OVER (PARTITION BY component ORDER BY loading DESC, feature) AS up, row_number() OVER (PARTITION BY component ORDER BY loading, feature) AS down FROM c)
+SELECT component, feature, round(loading, 6) + 0.0 AS loading FROM r WHERE (loading > 0 AND up <= 3) OR (loading < 0 AND down <= 2)""")
+def extreme_loadings(spark: SparkSession, sf: str) -> DataFrame:
+    """T5, W4."""
+    mean = C.log2p1(C.normalised(order_assay(spark, sf))).groupBy(F.col("sample_id").alias("component"), "feature").agg(F.avg("value").alias("s"))
+    loadings = mean.select("component", "feature", F.round(F.col("s") - F.avg("s").over(Window.partitionBy("component")), 9).alias("loading"))
+    return report.extreme_loadings(loadings, 5).select("component", "feature", _r("loading").alias("loading"))
+
+
+@query(_NEAREST + "SELECT cell_id AS src, round(-sum(p * log2(p)), 6) + 0.0 AS entropy FROM (SELECT nn.cell_id, vec.label, count(*) / 10.0 AS p FROM nn JOIN vec ON vec.cell_id = nn.lm_id GROUP BY 1, 2) GROUP BY 1")
+def batch_entropy(spark: SparkSession, sf: str) -> DataFrame:
+    """Mixing of labels among neighbours."""
+    batches = vector_cells(spark, sf).select(F.col("cell_id").alias("id"), F.col("label").alias("batch"))
+    nn = _nn(spark, sf).select(F.col("cell_id").alias("src"), F.col("lm_id").alias("dst"))
+    return validate.batch_entropy(nn, batches).select("src", _r("entropy").alias("entropy"))
+
+
+@query(_NEAREST + """, b AS (SELECT label, count(*) / (SELECT count(*) FROM vec)::DOUBLE AS share FROM vec GROUP BY 1), s AS (SELECT nn.cell_id, vec.label, count(*) AS n FROM nn JOIN vec ON vec.cell_id = nn.lm_id GROUP BY 1, 2)
+SELECT v.cell_id AS src, round(sum(power(coalesce(n, 0) - 10 * share, 2) / (10 * share)), 6) AS chi2 FROM vec v CROSS JOIN b LEFT JOIN s ON s.cell_id = v.cell_id AND s.label = b.label GROUP BY 1""")
+def batch_chi_square(spark: SparkSession, sf: str) -> DataFrame:
+    """kBET's statistic."""
+    batches = vector_cells(spark, sf).select(F.col("cell_id").alias("id"), F.col("label").alias("batch"))
+    nn = _nn(spark, sf).select(F.col("cell_id").alias("src"), F.col("lm_id").alias("dst"))
+    return validate.batch_chi_square(nn, batches).select("src", _r("chi2").alias("chi2"))
+
+
+@query("""SELECT CASE WHEN low > 0 THEN round((tp * tn - fp * fn) / sqrt(low), 6) ELSE 0 END AS mcc FROM (SELECT *, (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn) AS low FROM (SELECT
+CAST(count(*) FILTER (t AND s) AS DOUBLE) AS tp, CAST(count(*) FILTER (NOT t AND NOT s) AS DOUBLE) AS tn, CAST(count(*) FILTER (NOT t AND s) AS DOUBLE) AS fp, CAST(count(*) FILTER (t AND NOT s) AS DOUBLE) AS fn FROM (SELECT status = 'F' AS t, priority < '3' AS s FROM cell)))""")
+def label_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    """X3."""
+    pairs = order_cells(spark, sf).select((F.col("status") == "F").alias("truth"), (F.col("priority") < "3").alias("said"))
+    return validate.binary_mcc(pairs).select(_r("mcc").alias("mcc"))
+
+
+@query("SELECT sample_id, " + ", ".join(f"count(*) FILTER (status = '{s}') AS \"{s}\"" for s in "FOP") + " FROM cell GROUP BY 1")
+def composition_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """A2 as a wide table."""
+    return mapping.composition_wide(order_cells(spark, sf).select("sample_id", "cell_id", F.col("status").alias("label")), ["F", "O", "P"])
+
+
+@query(""", t AS (SELECT features[1] AS x, features[2] AS y FROM vec), g AS (SELECT avg(x) - 3 * stddev_samp(x) AS lx, avg(x) + 6 * stddev_samp(x) AS hx, avg(y) - 3 * stddev_samp(y) AS ly, avg(y) + 6 * stddev_samp(y) AS hy FROM t)
+SELECT CAST(least(floor((x - lx) / (hx - lx) * 16), 15) AS INTEGER) AS bx, CAST(least(floor((y - ly) / (hy - ly) * 16), 15) AS INTEGER) AS by, count(*) AS n FROM t, g WHERE x BETWEEN lx AND hx AND y BETWEEN ly AND hy GROUP BY 1, 2""")
+def marker_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """R4, P12."""
+    return report.marker_pair(vector_cells(spark, sf), 0, 1, 16)
+
+
+@query(None)
+def landmark_analysis(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole pipeline over vectors; (sample_id, component, value) of the sample embedding. Tests hold its invariants."""
+    from .pipeline import Analysis, Config
+
+    cells = vector_cells(spark, sf).select("sample_id", "cell_id", "features")
+    run = Analysis(cells, cells.select("sample_id").distinct(), Config(components=10)).run()
+    rows = [(int(s), k, float(v)) for s, coord in zip(run.sample_names, run.sample_pca.coord, strict=True) for k, v in enumerate(coord)]
+    return spark.createDataFrame(rows, "sample_id int, component int, value double")
+
+
+@query(None)
+def moderated_contrast(spark: SparkSession, sf: str) -> DataFrame:
+    """Moderated models of landmark density; (lm_id, coef, p, q, weighted_q). Tests hold them against closed forms."""
+    import numpy as np
+
+    from ..operators import models
+
+    pdf = _density(spark, sf).toPandas()  # landmarks x samples
+    wide = pdf.pivot(index="lm_id", columns="sample_id", values="log_norm").sort_index(axis=1)
+    norm = pdf.pivot(index="lm_id", columns="sample_id", values="norm").sum(axis=1).to_numpy()
+    x = np.c_[np.ones(wide.shape[1]), np.array([s % 2 for s in wide.columns], float)]
+    fit = models.moderated(models.ols(wide.to_numpy(), x))
+    q = models.density_q(fit.p[:, 1], norm)
+    return spark.createDataFrame([(int(i), float(fit.coef[k, 1]), float(fit.p[k, 1]), float(fit.q[k, 1]), float(q[k])) for k, i in enumerate(wide.index)], "lm_id long, coef double, p double, q double, weighted_q double")
