@@ -150,21 +150,19 @@ class Judge:
         self.tables: list[dict[str, list[float]]] = [{} for _ in suffixes("", "")]
         self.share = float((w * y).sum() / w.sum()) if len(y) else 0.0
         split = [parts(u) for u in urls]
-        for (host, path), label, weight in zip(split, y.tolist(), w.tolist(), strict=True):
+        # every other row fills the suffix tables, the rest fit the trees: no row is described by its own label
+        for (host, path), label, weight in list(zip(split, y.tolist(), w.tolist(), strict=True))[::2]:
             for table, key in zip(self.tables, suffixes(host, path), strict=True):
                 seen = table.setdefault(key, [0.0, 0.0])
                 seen[0] += weight * label
                 seen[1] += weight
-        # a row does not see its own label in the suffix tables
-        x = np.array([self.row(u, *s, own=o) for u, s, o in zip(urls, split, zip(y.tolist(), w.tolist(), strict=True), strict=True)]) if urls else np.zeros((0, 1))
-        self.trees = boost(x, y, w)
+        x = np.array([self.row(u, *s) for u, s in list(zip(urls, split, strict=True))[1::2]]) if len(urls) > 1 else np.zeros((0, 1))
+        self.trees = boost(x, y[1::2], w[1::2])
 
-    def row(self, url: str | None, host: str, path: str, own: tuple[float, float] | None = None) -> list[float]:
+    def row(self, url: str | None, host: str, path: str) -> list[float]:
         out = lexical(url, host, path)
         for table, key in zip(self.tables, suffixes(host, path), strict=True):
             hit, n = table.get(key, (0.0, 0.0))
-            if own is not None:
-                hit, n = hit - own[0] * own[1], n - own[1]
             out += [(hit + 4 * self.share) / (n + 4), min(n, 100.0)]
         return out
 
