@@ -232,7 +232,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(placed.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def plan(n: int, similarity: float = 0.8, recall: float = 0.95) -> tuple[int, int, int]:
+def plan(n: int, similarity: float = 0.8, recall: float = 0.97) -> tuple[int, int, int]:
     """(words, band_bits, radius) for n fingerprints: bands wide enough for small shards, and as many as the recall at that Jaccard similarity takes.
 
     Two sets of one size with Jaccard similarity j have cosine 2j / (1 + j), and a bit differs with probability acos(cosine) / pi.
@@ -241,7 +241,7 @@ def plan(n: int, similarity: float = 0.8, recall: float = 0.95) -> tuple[int, in
     bits = min(32, max(12, math.ceil(math.log2(max(n, 2))) - 8))
     bands = math.log(1 - recall) / math.log(1 - (1 - differ) ** bits)
     words = max(4, math.ceil(bands / (64 // bits)))
-    return words, bits, round(64 * words * differ + 1.3 * math.sqrt(64 * words * differ * (1 - differ)))
+    return words, bits, round(64 * words * differ + 1.6 * math.sqrt(64 * words * differ * (1 - differ)))
 
 
 def near_deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
