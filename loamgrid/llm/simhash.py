@@ -8,8 +8,8 @@ radius of the distance; all trees of a task are built and searched together, lev
 A shard hands on a star of links to the smallest member of each of its components, never its pairs, and
 components across shards come from alternating large-star and small-star steps over written tables.
 
-Shards instead of one broadcast tree: a tree over all fingerprints grows with the data and, at 64 bits,
-prunes too little (measured figures are in the README). A shard is a task's own tree.
+Shards instead of one broadcast tree: a tree over all fingerprints grows with the data, and so do its
+searches (measured figures are in the README). A shard is a task's own tree.
 
 ``bands`` bands of one word each at radius below ``bands`` lose nothing (pigeonhole). Shards of over ``hot``
 members are dealt anew by sub-bands of the other bits, with the same guarantee. With more words the bands
