@@ -1,7 +1,7 @@
 """SimHash near-duplicates through BK-trees.
 
-A fingerprint is one or more 64-bit words; word k takes the XXH64 (seed 42 + k) of every word shingle and
-sets a bit where over half of the hashes have it. Distinct fingerprints are dealt to shards by bands of
+A fingerprint is one or more 64-bit words; the first takes the XXH64 (seed 42) of every word shingle and
+sets a bit where over half of the hashes have it, further ones do so with these hashes mixed anew. Distinct fingerprints are dealt to shards by bands of
 bits, so that each shard holds those that agree in a band. In each shard a BK-tree (children keyed by
 integer Hamming distance to the parent) is searched with every member, following only edges within the
 radius of the distance; all trees of a task are built and searched together, level by level, in numpy.
@@ -13,7 +13,8 @@ searches (measured figures are in the README). A shard is a task's own tree.
 
 ``bands`` bands of one word each at radius below ``bands`` lose nothing (pigeonhole). Shards of over ``hot``
 members are dealt anew by sub-bands of the other bits, with the same guarantee. With more words the bands
-find pairs up to a similarity with a stated probability (``plan``).
+find pairs up to a similarity with a stated probability (``plan``); ``near_deduplicated`` takes what they
+link as candidates, and links by the exact Jaccard similarity of the shingle sets (``verified``).
 
 Cases: null and empty texts have fingerprint zero and link like any other; rows with equal texts are one
 fingerprint; ids may repeat or be null (a component's id is its smallest id that is not null).
@@ -22,19 +23,22 @@ fingerprint; ids may repeat or be null (a component's id is its smallest id that
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import written
-from ._text import byte_list, chunks
+from ._text import byte_list, chunks, mix
 
 SEED = 42
 HOT = 4096
 SLICE = 4096
+BLOCK_BYTES = 4 << 20
 
 
 def shingles(text: bytes, k: int, distinct: bool = False) -> list[bytes]:
@@ -46,6 +50,11 @@ def shingles(text: bytes, k: int, distinct: bool = False) -> list[bytes]:
     return list(set(out)) if distinct else out
 
 
+def hashed(said: Iterable[bytes]) -> np.ndarray:
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(s, SEED) for s in said], "<u8")
+
+
 def fingerprint(texts: list[bytes], k: int = 3, words: int = 1, distinct: bool = False) -> np.ndarray:
     """A row of uint64 words for each text."""
     out = np.zeros((len(texts), words), np.uint64)
@@ -56,26 +65,27 @@ def fingerprint(texts: list[bytes], k: int = 3, words: int = 1, distinct: bool =
         if not len(some):
             continue
         first = (np.cumsum(sizes) - sizes)[some]
+        base = hashed(s for own in said for s in own)
         for w in range(words):
-            hash_ = xxhash.xxh64_intdigest
-            h = np.array([hash_(s, SEED + w) for own in said for s in own], "<u8")
+            h = mix(base, w) if w else base
             bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             ones = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
             out[a + some, w] = np.packbits(2 * ones > sizes[some, None], axis=1, bitorder="little").view("<u8")[:, 0]
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, words: int = 1, distinct: bool = False) -> DataFrame:
-    """doc_id and fp (array of long) of each row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, words: int = 1, distinct: bool = False, also: str | None = None) -> DataFrame:
+    """doc_id and fp (array of long) of each row, and the long column ``also``."""
     kind = pa.list_(pa.int64())
 
     def run(batches):
         for batch in batches:
             fp = fingerprint(byte_list(batch.column(1)), k, words, distinct).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(0, fp.size + 1, words, dtype=np.int32)), pa.array(fp.ravel()))], schema=pa.schema([("doc_id", batch.column(0).type), ("fp", kind)]))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, fp.size + 1, words, dtype=np.int32)), pa.array(fp.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, *batch.columns[2:]], schema=pa.schema([("doc_id", batch.column(0).type), ("fp", kind), *list(batch.schema)[2:]]))
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, fp array<long>")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *([also] if also else []))
+    return rows.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, fp array<long>" + (f", {also} long" if also else ""))
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -232,25 +242,138 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(placed.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def plan(n: int, similarity: float = 0.8, recall: float = 0.97) -> tuple[int, int, int]:
+def plan(n: int, similarity: float = 0.8, recall: float = 0.99) -> tuple[int, int, int]:
     """(words, band_bits, radius) for n fingerprints: bands wide enough for small shards, and as many as the recall at that Jaccard similarity takes.
 
-    Two sets of one size with Jaccard similarity j have cosine 2j / (1 + j), and a bit differs with probability acos(cosine) / pi.
+    Two sets of one size with Jaccard similarity j have cosine 2j / (1 + j), and a bit differs with probability acos(cosine) / pi;
+    the radius is three standard errors beyond the expected distance.
     """
     differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
     bits = min(32, max(12, math.ceil(math.log2(max(n, 2))) - 8))
     bands = math.log(1 - recall) / math.log(1 - (1 - differ) ** bits)
     words = max(4, math.ceil(bands / (64 // bits)))
-    return words, bits, round(64 * words * differ + 1.6 * math.sqrt(64 * words * differ * (1 - differ)))
+    return words, bits, round(64 * words * differ + 3 * math.sqrt(64 * words * differ * (1 - differ)))
+
+
+def similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """The smallest member of each set's component under Jaccard similarity of at least ``similarity``. sets: distinct hashes.
+
+    A flood: each member that is reached is held against all that are not yet, at once.
+    """
+    n = len(sets)
+    label, sizes = np.arange(n), np.array([len(s) for s in sets])
+    if n < 2:
+        return label
+    _, token = np.unique(np.concatenate(sets), return_inverse=True)
+    start = np.cumsum(sizes) - sizes
+    flag = np.zeros(len(token) + 1, bool)
+    left = np.arange(n)
+    flat, where = token, np.repeat(np.arange(n), sizes)  # tokens of the members that are left, and their places in left
+    while len(left):
+        front, seed = [left[0]], left[0]
+        reached = np.zeros(len(left), bool)
+        reached[0] = True
+        while front:
+            x = front.pop()
+            flag[own := token[start[x] : start[x] + sizes[x]]] = True
+            both = np.bincount(where, flag[flat], len(left))
+            flag[own] = False
+            new = ~reached & (both >= similarity * (sizes[left] + sizes[x] - both) - 1e-9) & ((sizes[left] > 0) | (sizes[x] == 0))
+            front += left[new].tolist()
+            label[left[new]] = seed
+            reached |= new
+            if reached.mean() > 0.5 or not front:
+                keep = ~reached
+                place = np.cumsum(keep) - 1
+                stay = keep[where]
+                flat, where, left, reached = flat[stay], place[where[stay]], left[keep], np.zeros(keep.sum(), bool)
+                if not len(left):
+                    break
+    return label
+
+
+def verified(docs: DataFrame, placed: DataFrame, id_col: str, text_col: str, k: int, similarity: float, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(u, v): links between fingerprints of one candidate component whose shingle sets are as similar as that, as stars of smaller components.
+
+    placed: key, root (the candidate component), doc_id and tie (id and text hash of the key's representative).
+    The texts of components with over one member move compressed. A component of over ``block_bytes`` of text is cut into blocks by
+    hash, and each pair of blocks is a group of its own, so every pair of members meets in some group and no group is unbounded.
+    """
+    several = placed.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
+    some = placed.join(several, "root")
+
+    def packed(batches):
+        pack = zstandard.ZstdCompressor(level=3, write_checksum=False).compress
+        for batch in batches:
+            texts = byte_list(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([pack(t) for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int64())], names=["own_id", "own_tie", "text", "size"])
+
+    texts = docs.select(F.col(id_col).alias("own_id"), F.col(text_col).alias("text"), text_hash(text_col).alias("own_tie"))
+    texts = texts.mapInArrow(packed, f"own_id {docs.schema[id_col].dataType.simpleString()}, own_tie long, text binary, size long")
+    met = texts.join(some.hint("merge"), (F.col("tie") == F.col("own_tie")) & F.col("doc_id").eqNullSafe(F.col("own_id"))).select("root", "key", "text", "size")
+    met = written(met, "candidates")
+    blocks = met.groupBy("root").agg(F.ceil(F.sum("size") / block_bytes).cast("int").alias("blocks"))
+    dealt = met.join(blocks, "root").withColumn("b", F.pmod(F.xxhash64("key"), F.greatest("blocks", F.lit(1))).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.greatest("blocks", F.lit(1)) - 1), lambda i: F.struct(F.least(i, F.col("b")).alias("i"), F.greatest(i, F.col("b")).alias("j")))
+    dealt = dealt.withColumn("p", F.explode(pairs)).select("key", "text", F.xxhash64("root", "p.i", "p.j").alias("grp"))
+    out = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def run(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
+        group, keys, sets = None, [], []
+        u, v = [], []
+
+        def solve():
+            label = similar(sets, similarity)
+            for i in np.flatnonzero(label != np.arange(len(label))).tolist():
+                u.append(keys[i])
+                v.append(keys[label[i]])
+
+        for batch in batches:
+            for key, text, grp in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                if grp != group:
+                    solve()
+                    group, keys, sets = grp, [], []
+                if not keys or keys[-1] != key:  # rows that repeat a representative
+                    keys.append(key)
+                    sets.append(np.unique(hashed(shingles(unpack(text.as_py()), k, True))))
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=out)
+            u, v = [], []
+        solve()
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=out)
+
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(parts, "grp").sortWithinPartitions("grp", "key").mapInArrow(run, "u long, v long")
+
+
+def text_hash(text_col: str):
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id and component_id of each row: texts of exact Jaccard similarity ``similarity`` or more are linked.
+
+    Candidates come from the trees, with the recall of ``plan``; texts of one fingerprint (hundreds of equal bits) count as equal.
+    """
+    words, bits, radius = plan(docs.count(), similarity)
+    made = fingerprints(docs.withColumn("__tie", text_hash(text_col)), id_col, text_col, k, words, True, also="__tie")
+    rows = written(made.withColumn("key", F.xxhash64("fp")).withColumnRenamed("__tie", "tie"), "simhash")
+    one = rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("rep"), F.first("fp").alias("fp"))
+    one = written(one.select("key", "fp", "first", "rep.doc_id", "rep.tie"), "distinct")
+    star = stars(linked(one.select("key", "fp"), words, bits, radius))
+    placed = one.join(star.select(F.col("u").alias("key"), F.col("v").alias("root")), "key", "left").select("key", F.coalesce("root", "key").alias("root"), "doc_id", "tie")
+    star = stars(verified(docs, placed, id_col, text_col, k, similarity))
+    placed = one.select("key", "first").join(star.select(F.col("u").alias("key"), F.col("v").alias("root")), "key", "left").select("key", "first", F.coalesce("root", "key").alias("root"))
+    least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
+    return rows.select("doc_id", "key").join(placed.join(least, "root").select("key", "component_id"), "key").select("doc_id", "component_id")
 
 
 def near_deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with one row of each group of near copies (word shingles of k, Jaccard similarity of about ``similarity`` or more): the one of the smallest id.
+    """docs with one row of each group of near copies (word shingles of k, Jaccard similarity of ``similarity`` or more): the one of the smallest id.
 
     Of rows that share that id too, one stays; rows whose id is null are kept with a group only if it has no other id.
     """
-    words, bits, radius = plan(docs.count(), similarity)
-    found = components(docs, id_col, text_col, k, words, bits, radius, distinct=True)
+    found = near_components(docs, id_col, text_col, k, similarity)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
     # the ids that stay grow with the documents: never broadcast them, at any size
     kept = written(kept.select(F.col("doc_id").alias("__keep"), "n"), "kept").hint("merge")
