@@ -231,15 +231,27 @@ def stars(edges: DataFrame, rounds: int = 30) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def members(star: DataFrame) -> DataFrame:
+    """(key, root) of each vertex of a star, its root too; no join on the root, which may be that of a large share of all rows."""
+    return star.select(F.col("u").alias("key"), F.col("v").alias("root")).unionByName(star.select(F.col("v").alias("key"), F.col("v").alias("root")).distinct())
+
+
+def least_of(one: DataFrame, star: DataFrame) -> DataFrame:
+    """(key, component_id): the smallest ``first`` in each key's component. Vertices without a link join nothing on the root."""
+    placed = written(one.join(members(star), "key", "left"), "placed")
+    linked_ = placed.where("root is not null")
+    least = linked_.groupBy("root").agg(F.min("first").alias("component_id"))
+    return placed.where("root is null").select("key", F.col("first").alias("component_id")).unionByName(linked_.join(least, "root").select("key", "component_id"))
+
+
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, words: int = 1, band_bits: int = 16, radius: int = 3, distinct: bool = False) -> DataFrame:
     """doc_id, fp, component_id of each row."""
     rows = written(fingerprints(docs, id_col, text_col, k, words, distinct), "simhash")
     one = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
     one = written(one.select("fp", "first", (F.col("fp")[0] if words == 1 else F.xxhash64("fp")).alias("key")), "distinct")
     star = stars(linked(one.select("key", "fp"), words, band_bits, radius))
-    placed = one.join(star.select(F.col("u").alias("key"), F.col("v").alias("root")), "key", "left").select("fp", "first", F.coalesce("root", "key").alias("root"))
-    least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.join(placed.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    least = one.select("key", "fp").join(least_of(one.select("key", "first"), star), "key")
+    return rows.join(least.select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def plan(n: int, similarity: float = 0.8, recall: float = 0.99) -> tuple[int, int, int]:
@@ -295,12 +307,10 @@ def similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:
 def verified(docs: DataFrame, placed: DataFrame, id_col: str, text_col: str, k: int, similarity: float, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(u, v): links between fingerprints of one candidate component whose shingle sets are as similar as that, as stars of smaller components.
 
-    placed: key, root (the candidate component), doc_id and tie (id and text hash of the key's representative).
-    The texts of components with over one member move compressed. A component of over ``block_bytes`` of text is cut into blocks by
+    placed: key, root (the candidate component), doc_id and tie (id and text hash of the key's representative), of components with
+    over one member. Their texts move compressed. A component of over ``block_bytes`` of text is cut into blocks by
     hash, and each pair of blocks is a group of its own, so every pair of members meets in some group and no group is unbounded.
     """
-    several = placed.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
-    some = placed.join(several, "root")
 
     def packed(batches):
         pack = zstandard.ZstdCompressor(level=3, write_checksum=False).compress
@@ -310,11 +320,11 @@ def verified(docs: DataFrame, placed: DataFrame, id_col: str, text_col: str, k:
 
     texts = docs.select(F.col(id_col).alias("own_id"), F.col(text_col).alias("text"), text_hash(text_col).alias("own_tie"))
     texts = texts.mapInArrow(packed, f"own_id {docs.schema[id_col].dataType.simpleString()}, own_tie long, text binary, size long")
-    met = texts.join(some.hint("merge"), (F.col("tie") == F.col("own_tie")) & F.col("doc_id").eqNullSafe(F.col("own_id"))).select("root", "key", "text", "size")
+    met = texts.join(placed.hint("merge"), (F.col("tie") == F.col("own_tie")) & F.col("doc_id").eqNullSafe(F.col("own_id"))).select("root", "key", "text", "size")
     met = written(met, "candidates")
-    blocks = met.groupBy("root").agg(F.ceil(F.sum("size") / block_bytes).cast("int").alias("blocks"))
-    dealt = met.join(blocks, "root").withColumn("b", F.pmod(F.xxhash64("key"), F.greatest("blocks", F.lit(1))).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.greatest("blocks", F.lit(1)) - 1), lambda i: F.struct(F.least(i, F.col("b")).alias("i"), F.greatest(i, F.col("b")).alias("j")))
+    large = met.groupBy("root").agg(F.ceil(F.sum("size") / block_bytes).cast("int").alias("blocks")).where("blocks > 1")
+    dealt = met.join(large, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("b", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(i, F.col("b")).alias("i"), F.greatest(i, F.col("b")).alias("j")))
     dealt = dealt.withColumn("p", F.explode(pairs)).select("key", "text", F.xxhash64("root", "p.i", "p.j").alias("grp"))
     out = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
@@ -360,12 +370,10 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = written(made.withColumn("key", F.xxhash64("fp")).withColumnRenamed("__tie", "tie"), "simhash")
     one = rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("rep"), F.first("fp").alias("fp"))
     one = written(one.select("key", "fp", "first", "rep.doc_id", "rep.tie"), "distinct")
-    star = stars(linked(one.select("key", "fp"), words, bits, radius))
-    placed = one.join(star.select(F.col("u").alias("key"), F.col("v").alias("root")), "key", "left").select("key", F.coalesce("root", "key").alias("root"), "doc_id", "tie")
-    star = stars(verified(docs, placed, id_col, text_col, k, similarity))
-    placed = one.select("key", "first").join(star.select(F.col("u").alias("key"), F.col("v").alias("root")), "key", "left").select("key", "first", F.coalesce("root", "key").alias("root"))
-    least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.select("doc_id", "key").join(placed.join(least, "root").select("key", "component_id"), "key").select("doc_id", "component_id")
+    member = members(stars(linked(one.select("key", "fp"), words, bits, radius)))
+    star = stars(verified(docs, one.join(member, "key").select("key", "root", "doc_id", "tie"), id_col, text_col, k, similarity))
+    least = least_of(one.select("key", "first"), star)
+    return rows.select("doc_id", "key").join(least, "key").select("doc_id", "component_id")
 
 
 def near_deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -410,6 +410,68 @@ def test_forest_finds_all_within_the_radius():
     assert got == want
 
 
+def brute_shingles(text, k=5):
+    words = re.findall("[^\x20\x09-\x0D]+", lower(text or ""))
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def brute_near(texts, similarity=0.8):
+    """The smallest member of each text's component under the Jaccard similarity of word shingles."""
+    sets, root = [brute_shingles(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    return root
+
+
+def test_near_components_equal_brute_force(spark, table):
+    texts = [r["text"] for r in table]
+    got = simhash.near_components(docs_of(spark, texts, key=1, tie="x", root=2, own_id=3))
+    assert [r["component_id"] for r in rows(got, "doc_id")] == brute_near(texts)
+    got = simhash.near_components(docs_of(spark, ODD))
+    assert [r["component_id"] for r in rows(got, "doc_id")] == brute_near(ODD)
+    assert simhash.near_components(docs_of(spark, [])).count() == 0
+
+
+def chains():
+    """Near copies of a few texts, each a small edit of an earlier one, so that many are linked only through others."""
+    rng, texts = np.random.default_rng(8), []
+    for g in range(3):
+        texts.append([f"w{g}x{i}" for i in range(200)])
+        for n in range(25):
+            own = list(texts[-1 - int(rng.integers(0, min(n, 4) + 1))])
+            for k in rng.choice(200, int(rng.integers(1, 7)), replace=False):
+                own[k] = f"e{g}x{n}x{k}"
+            texts.append(own)
+    return [" ".join(t) for t in texts]
+
+
+def test_flood_equals_brute_force():
+    texts = [*chains(), "", "a b", "", "a b"]
+    sets = [np.unique(simhash.hashed(simhash.shingles(t.encode(), 5, True))) for t in texts]
+    assert simhash.similar(sets, 0.8).tolist() == brute_near(texts)
+    assert simhash.similar([], 0.8).tolist() == []
+
+
+def test_large_candidate_components_are_split_and_lose_nothing(spark):
+    texts = chains()
+    docs = docs_of(spark, texts)
+    placed = docs.select(F.col("doc_id").alias("key"), F.lit(7).cast("long").alias("root"), "doc_id", simhash.text_hash("text").alias("tie"))
+    star = simhash.stars(simhash.verified(docs, placed, "doc_id", "text", 5, 0.8, block_bytes=20_000))
+    root = {i: i for i in range(len(texts))} | {r.u: r.v for r in star.collect()}
+    assert list(root.values()) == brute_near(texts)
+
+
+def test_near_copies_with_null_and_repeated_ids(spark):
+    long = " ".join(f"w{i}" for i in range(100))
+    rows_ = [(None, long), (None, long), (3, long), (3, "other words"), (4, long + " more"), (None, "alone of all")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows_], DOCS)
+    got = simhash.near_components(docs).collect()
+    assert sorted((repr(r.doc_id), repr(r.component_id)) for r in got) == [("3", "3"), ("3", "3"), ("4", "3"), *[("None", "3")] * 2, ("None", "None")]
+
+
 def test_near_deduplication_keeps_one_of_each_group_and_all_clean_documents(spark):
     rng = np.random.default_rng(3)
     word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
@@ -426,8 +488,11 @@ def test_near_deduplication_keeps_one_of_each_group_and_all_clean_documents(spar
     kept = [r.doc_id for r in simhash.near_deduplicated(docs.unionByName(docs.limit(1))).collect()]
     firsts = {group.index(g) for g in range(30)}
     assert firsts <= set(kept) and len(kept) == len(set(kept))
-    near = {i + 1 for i in range(0, 60, 3)}  # similarity 0.87; the second copies, at 0.76, may stay or go
-    assert len(near & set(kept)) <= 1
+    near, far = ({i + k for i in range(0, 60, 3)} for k in (1, 2))
+    sets = [brute_shingles(t) for t in texts]
+    links = {i: {j for j in range(3 * (i // 3), 3 * (i // 3) + 3) if j != i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])} for i in near | far}
+    assert sum(not links[i] for i in far) > 10 and {i for i in near | far if not links[i]} <= set(kept)  # the second copies, at 0.76, stay
+    assert len({i for i in near if i - 1 in links[i]} & set(kept)) <= 1
     assert len({len(texts), len(texts) + 1} & set(kept)) == 1  # of the empty ones
 
 
