@@ -4,7 +4,7 @@ Base spans are what three fixed patterns match (see ``KINDS``). Wider candidates
 credential shapes, and long tokens that mix letters and digits at high entropy. Each candidate's value is
 hashed; over the whole corpus the distinct owners and repositories that hold the hash are counted (both from
 the row's columns; by default its source, and its source and language). A value seen with at least
-``wide`` owners or ``wide`` repositories is a widely copied example; one that stays with fewer is
+``wide`` owners or twice as many repositories is a widely copied example; one that stays with fewer is
 owner-specific and looks live. Wider candidates become spans only if they are owner-specific; base spans
 always stay. Only hashes with owner and repository are shuffled, never texts; each task removes
 repeats first, so a value copied a million times costs a row for each task and owner.
