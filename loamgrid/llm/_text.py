@@ -71,7 +71,7 @@ def chunks(texts: list[bytes], size: int = CHUNK) -> Iterator[tuple[int, int]]:
 class Words:
     """Words of some texts, in order: ``hash`` (64 bits, of the lowered bytes), ``doc`` (index of the text), ``start``, ``end`` (bytes in ``buf``)."""
 
-    __slots__ = ("buf", "doc", "end", "first", "hash", "start", "texts")
+    __slots__ = ("_inv", "_sums", "buf", "doc", "end", "first", "hash", "start", "texts")
 
     def __init__(self, texts: list[bytes]):
         self.texts = texts
@@ -90,6 +90,14 @@ class Words:
             sums = np.zeros(len(self.buf) + 1, np.uint64)
             np.cumsum(self.buf * p[: len(self.buf)], out=sums[1:])
             self.hash = mix((sums[self.end] - sums[self.start]) * inv[self.start])
+        self._sums, self._inv = sums, inv
+
+    def stems(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(doc, hash) of the first ``size`` bytes of each longer word; no stem has the hash of a word."""
+        long = np.flatnonzero(self.end - self.start > size)
+        start = self.start[long]
+        with np.errstate(over="ignore"):
+            return self.doc[long], mix((self._sums[start + size] - self._sums[start]) * self._inv[start], size)
 
     def counts(self) -> np.ndarray:
         return np.bincount(self.doc, minlength=len(self.texts))

@@ -1,6 +1,7 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A text is the set of its distinct words, each hashed to one of 2**BITS columns. The score is
+A text is the set of its distinct words and of their stems (the first 4, 5 and 6 bytes of longer words, so that
+inflections that training has never seen are known by what they share), each hashed to one of 2**BITS columns. The score is
 sigmoid(b + sum of w_i x_i + sum over pairs of <v_i, v_j> x_i x_j): the pairwise part learns that two words
 together (an insult and the name of a group) mean more than the sum of both. x_i is 1 for
 each column that the text has.
@@ -21,18 +22,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._text import Words, byte_list, chunks, distinct_terms
+from ._text import Words, byte_list, chunks
 
-BITS = 18
+BITS = 20
+STEMS = (4, 5, 6)
 FACTORS = 4
 MOST = 20_000
 
 
-def columns(texts: list[bytes], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+def columns(texts: list[bytes], bits: int = BITS, stems: tuple[int, ...] = STEMS) -> tuple[np.ndarray, np.ndarray]:
     """(text, column) pairs, sorted, distinct."""
     rows, cols = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for a, b in chunks(texts):
-        d, h = distinct_terms(Words(texts[a:b]))
+        words = Words(texts[a:b])
+        d, h = (np.concatenate(x) for x in zip((words.doc, words.hash), *(words.stems(k) for k in stems), strict=True))
         key = np.unique((d.astype(np.int64) << bits) | (h >> np.uint64(64 - bits)).astype(np.int64))
         rows.append((key >> bits) + a)
         cols.append(key & ((1 << bits) - 1))
