@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MOST_LANDMARKS = 50_000
@@ -80,6 +80,11 @@ def fuzzy_union(at: np.ndarray, weight: np.ndarray, n: int, prune: float = 0.0)
     return np.where(w > prune, w, 0)
 
 
+def transitions(edges: DataFrame) -> DataFrame:
+    """(src, dst, p): each edge's share of its source's weight. Sources are landmarks, so a window of one is small."""
+    return edges.select("src", "dst", (F.col("weight") / F.sum("weight").over(Window.partitionBy("src"))).alias("p"))
+
+
 def smoothness(edges: DataFrame, scores: DataFrame) -> DataFrame:
     """(component, sk): 1 for scores that are constant along edges, 0 for the roughest. edges symmetric; scores: (lm_id, component, score)."""
     degree = edges.groupBy("src").agg(F.sum("weight").alias("d"))

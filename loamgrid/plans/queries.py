@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as X
 from ..operators import cells as C
-from ..operators import mapping, neighbors, report, validate
+from ..operators import annotate, linalg, mapping, neighbors, report, validate
+from ..sources import store
 from .adapters import VIEWS, order_assay, order_cells, vector_cells, vector_landmarks
 
 QUERIES: dict = {}
@@ -299,3 +300,226 @@ def moderated_contrast(spark: SparkSession, sf: str) -> DataFrame:
     fit = models.moderated(models.ols(wide.to_numpy(), x))
     q = models.density_q(fit.p[:, 1], norm)
     return spark.createDataFrame([(int(i), float(fit.coef[k, 1]), float(fit.p[k, 1]), float(fit.q[k, 1]), float(q[k])) for k, i in enumerate(wide.index)], "lm_id long, coef double, p double, q double, weighted_q double")
+
+
+@query("SELECT DISTINCT cell_id, 'assay' AS side FROM assay WHERE cell_id NOT IN (SELECT cell_id FROM cell WHERE status <> 'P') UNION ALL SELECT cell_id, 'meta' FROM cell WHERE status <> 'P' AND cell_id NOT IN (SELECT cell_id FROM assay)")
+def unmatched_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """P2, SC9: ids of either side without a partner."""
+    return C.matched(order_assay(spark, sf), order_cells(spark, sf).where("status <> 'P'").select("cell_id", "status"))[1]
+
+
+@query("SELECT feature FROM assay JOIN cell USING (sample_id, cell_id) GROUP BY 1 HAVING count(DISTINCT region) = (SELECT count(DISTINCT region) FROM cell WHERE cell_id IN (SELECT cell_id FROM assay))")
+def common_features(spark: SparkSession, sf: str) -> DataFrame:
+    """SC12: features that all layers have."""
+    layer = order_cells(spark, sf).select("cell_id", F.col("region").alias("layer"))
+    return C.common_features(order_assay(spark, sf).join(layer, "cell_id").select("layer", "feature"))
+
+
+@query("SELECT sample_id, count(DISTINCT status) AS layers FROM cell GROUP BY 1 HAVING count(DISTINCT status) > 1")
+def split_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """SC12: samples in more than one layer."""
+    return C.single_layer_samples(order_cells(spark, sf).select("sample_id", F.col("status").alias("layer")))
+
+
+@query("SELECT sample_id, cell_id FROM cell WHERE sample_id IN (SELECT sample_id FROM cell GROUP BY 1 HAVING count(DISTINCT cell_id) >= 60)")
+def large_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """P1 with a larger bound."""
+    return C.of_large_samples(order_cells(spark, sf), 60).select("sample_id", "cell_id")
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\" FROM (SELECT 1) WHERE (SELECT count(DISTINCT {c}) > 1 AND count(DISTINCT {c}) < count(*) FROM cell) AND (SELECT bool_or(k > 1) FROM (SELECT count(DISTINCT {c}) AS k FROM cell GROUP BY sample_id))" for c in ("status", "priority")))
+def annotation_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """Columns that can label cells."""
+    return spark.createDataFrame([(c,) for c in C.annotation_columns(order_cells(spark, sf))], "`column` string")
+
+
+@query("SELECT sample_id, cell_id FROM cell WHERE status IN ('F', 'P')")
+def cells_of_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """P6 by labels."""
+    cells = order_cells(spark, sf)
+    labels = cells.select("sample_id", "cell_id", F.col("status").alias("label"))
+    return mapping.chosen_cells(cells.select("sample_id", "cell_id"), labels, ["F", "P"])
+
+
+@query(_NEAREST + ", v AS (SELECT sample_id, cell_id, sum(exp(-dist)) FILTER (lm_id % 2 = 0) / sum(exp(-dist)) AS inside FROM nn GROUP BY 1, 2) SELECT sample_id, cell_id FROM v WHERE inside > 0.5")
+def cells_of_landmarks(spark: SparkSession, sf: str) -> DataFrame:
+    """P6 by a set of landmarks: cells whose weights lie mostly inside."""
+    chosen = [r.lm_id for r in vector_landmarks(spark, sf).where("lm_id % 2 = 0").select("lm_id").collect()]  # landmarks: 50 here
+    edges = _nn(spark, sf).withColumn("weight", F.exp(-F.col("dist")))
+    return mapping.chosen_cells(vector_cells(spark, sf).select("sample_id", "cell_id"), edges=edges, landmarks=chosen)
+
+
+@query("""SELECT sample_id, n_cells, CAST(least(ceil(n_cells * 0.1), ceil(least(sum(n_cells) OVER () * 0.1, 5000.0) / count(*) OVER ())) AS BIGINT) AS quota
+FROM (SELECT sample_id, count(DISTINCT cell_id) AS n_cells FROM cell WHERE status = 'F' GROUP BY 1 HAVING count(DISTINCT cell_id) >= 20)""")
+def subset_quotas(spark: SparkSession, sf: str) -> DataFrame:
+    """Quotas anew for the cells of a label, small samples dropped."""
+    cells = order_cells(spark, sf)
+    kept = mapping.chosen_cells(cells.select("sample_id", "cell_id"), cells.select("sample_id", "cell_id", F.col("status").alias("label")), ["F"])
+    return C.quotas(C.samples(kept, 20))
+
+
+@query(_TOTAL + """, l AS (SELECT sample_id, cell_id, feature, log2(value + 1) AS value FROM nv), n AS (SELECT count(DISTINCT cell_id) AS n FROM l),
+mo AS (SELECT feature, sum(value) / any_value(n) AS mean, sqrt(greatest((sum(value * value) - sum(value) * sum(value) / any_value(n)) / (any_value(n) - 1), 0)) AS sd FROM l, n GROUP BY 1)
+SELECT sample_id, cell_id, feature, round((value - mean) / sd, 6) + 0.0 AS value FROM l JOIN mo USING (feature) WHERE sd > 0""")
+def standardised(spark: SparkSession, sf: str) -> DataFrame:
+    """M4: scores of the values by feature, over all cells."""
+    assay = C.log2p1(C.normalised(order_assay(spark, sf)))
+    return C.standardised(assay, C.feature_moments(assay, [])).withColumn("value", _r("value"))
+
+
+@query(", t AS (SELECT sample_id, cell_id, sum(value) AS total FROM assay GROUP BY 1, 2) SELECT sample_id, cell_id, feature, round(value / (total / 30.0), 6) AS value FROM assay JOIN t USING (sample_id, cell_id)")
+def landmark_normalised(spark: SparkSession, sf: str) -> DataFrame:
+    """M2: by a given mean total, as the map does with that of the landmarks."""
+    return C.normalised(order_assay(spark, sf), 30.0).withColumn("value", _r("value"))
+
+
+#: Feature names for M5, of several gene families.
+_FAMILY = ("RPS", "MT-ND", "ACTB", "trbv", "RPLP")
+
+
+@query("WITH f AS (SELECT DISTINCT [" + ", ".join(f"'{f}'" for f in _FAMILY) + "][p_partkey % 5 + 1] || CAST(p_partkey % 130 AS VARCHAR) AS feature FROM part) SELECT feature FROM f WHERE feature = 'RPS25' OR NOT regexp_matches(feature, '" + X.EXCLUDED + "')", views=False)
+def features_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """M5, M6: without receptor, mitochondrial and ribosomal names, but for a forced one."""
+    key = F.col("p_partkey")
+    names = spark.read.parquet(f"{sf}/part.parquet").select(F.concat(F.array(*[F.lit(f) for f in _FAMILY])[(key % 5).cast("int")], (key % 130).cast("string")).alias("feature")).distinct()
+    return C.without_excluded(names, ["RPS25"])
+
+
+@query("SELECT cell_id, CAST(i - 1 AS INTEGER) AS feature, round(asinh(features[i] / 5.0), 6) + 0.0 AS value FROM vec, (SELECT unnest(range(1, 65)) AS i)")
+def arcsinh(spark: SparkSession, sf: str) -> DataFrame:
+    """M13."""
+    return C.long_form(vector_cells(spark, sf)).select("cell_id", "feature", _r(X.arcsinh(F.col("value"))).alias("value"))
+
+
+_SHARES = """, c AS (SELECT sample_id, label, count(*) AS count FROM vec GROUP BY 1, 2), gr AS (SELECT * FROM (SELECT DISTINCT sample_id FROM vec), (SELECT DISTINCT label FROM vec)),
+comp AS (SELECT sample_id, label, coalesce(count, 0) AS count, 100.0 * coalesce(count, 0) / sum(coalesce(count, 0)) OVER (PARTITION BY sample_id) AS perc FROM gr LEFT JOIN c USING (sample_id, label))
+"""
+
+
+def _samples(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_cells(spark, sf).select("sample_id", F.when(F.col("sample_id") % 2 == 1, "odd").otherwise("even").alias("side")).distinct()
+
+
+def _shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mapping.composition(vector_cells(spark, sf).select("sample_id", "cell_id", "label"))
+
+
+@query(_SHARES + "SELECT sample_id, label, CASE sample_id % 2 WHEN 1 THEN 'odd' ELSE 'even' END AS side, count, round(perc, 6) AS perc, round(log2(perc + 0.5), 6) + 0.0 AS log_perc FROM comp WHERE label IN ('1', '2', '3')")
+def percentages(spark: SparkSession, sf: str) -> DataFrame:
+    """Percents of chosen labels with the samples' columns."""
+    out = report.percentages(_shares(spark, sf), _samples(spark, sf), ["1", "2", "3"])
+    return out.select("sample_id", "label", "side", "count", _r("perc").alias("perc"), _r(X.log_norm(F.col("perc"))).alias("log_perc"))
+
+
+@query(_NEAREST + "SELECT lm_id, d.sample_id, CASE d.sample_id % 2 WHEN 1 THEN 'odd' ELSE 'even' END AS side, label, round(log2(norm + 0.5), 6) + 0.0 AS log_norm FROM dens d JOIN lm ON lm.cell_id = lm_id")
+def density_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Density with the samples' columns and the landmarks' labels."""
+    out = report.densities(_density(spark, sf), _samples(spark, sf), vector_landmarks(spark, sf).select("lm_id", "label"))
+    return out.select("lm_id", "sample_id", "side", "label", _r("log_norm").alias("log_norm"))
+
+
+_HASHED = "(CAST('0x' || substr(md5('{seed}_' || {ids}), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0"
+
+
+@query(_NEAREST + _SHARES.replace(", c AS", ", cc AS").replace("JOIN c ", "JOIN cc ") + ", f AS (SELECT lm_id, avg(log2(norm + 0.5)) FILTER (sample_id % 2 = 1) - avg(log2(norm + 0.5)) FILTER (sample_id % 2 = 0) AS coef, " + _HASHED.format(seed=9, ids="lm_id") + """ AS q FROM dens GROUP BY 1),
+mean AS (SELECT label, avg(perc) AS mean_perc FROM comp GROUP BY 1)
+SELECT lm_id, round(coef, 6) + 0.0 AS coef, round(q, 6) AS q, CASE WHEN q <= 0.3 AND round(coef, 6) > 0 THEN 'more abundant' WHEN q <= 0.3 AND round(coef, 6) < 0 THEN 'less abundant' ELSE 'not sig.' END AS sig, lm.label, round(mean_perc, 6) AS mean_perc
+FROM f JOIN lm ON lm.cell_id = lm_id JOIN mean ON mean.label = lm.label""")
+def beeswarm(spark: SparkSession, sf: str) -> DataFrame:
+    """Coefficients by landmark with significance, label and mean percent."""
+    fit = density_contrast(spark, sf).withColumn("q", X.u01(9, F.col("lm_id")))
+    out = report.beeswarm(fit, vector_landmarks(spark, sf).select("lm_id", "label"), _shares(spark, sf), cut=0.3)
+    return out.select("lm_id", "coef", _r("q").alias("q"), "sig", "label", _r("mean_perc").alias("mean_perc"))
+
+
+@query(", m AS (SELECT feature, status AS term, round(avg(value) - 25, 6) + 0.0 AS coef FROM assay JOIN cell USING (sample_id, cell_id) WHERE status <> 'P' GROUP BY 1, 2), q AS (SELECT DISTINCT feature, status AS term, round(" + _HASHED.format(seed=11, ids="feature || '_' || status") + """, 6) AS q FROM assay JOIN cell USING (sample_id, cell_id) WHERE status <> 'O')
+SELECT feature, term, coef, q, CASE WHEN q <= 0.5 AND coef > 0 THEN 'higher' WHEN q <= 0.5 AND coef < 0 THEN 'lower' ELSE 'not sig.' END AS sig FROM m FULL JOIN q USING (feature, term)""")
+def coefficient_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Coefficients and adjusted p by unit and term, full outer."""
+    both = order_assay(spark, sf).join(order_cells(spark, sf).select("cell_id", F.col("status").alias("term")), "cell_id")
+    coef = both.where("term <> 'P'").groupBy("feature", "term").agg(_r(F.avg("value") - 25).alias("coef"))
+    q = both.where("term <> 'O'").select("feature", "term").distinct().withColumn("q", _r(X.u01(11, F.col("feature"), F.col("term"))))
+    return report.coefficient_table(coef, q, ["feature", "term"], 0.5).select("feature", "term", "coef", "q", "sig")
+
+
+@query(", m AS (SELECT status AS label, feature, median(value) AS median FROM assay JOIN cell USING (sample_id, cell_id) GROUP BY 1, 2), s AS (SELECT *, stddev_samp(median) OVER (PARTITION BY feature) AS sd, avg(median) OVER (PARTITION BY feature) AS mean FROM m) SELECT label, feature, median, round((median - mean) / sd, 6) + 0.0 AS z FROM s WHERE sd > 0")
+def heatmap(spark: SparkSession, sf: str) -> DataFrame:
+    """Medians standardised by feature, where they differ."""
+    spread = F.stddev_samp("median").over(Window.partitionBy("feature"))
+    medians = median_expression(spark, sf).withColumn("sd", spread).where("sd > 0").drop("sd")
+    return report.heatmap(medians).withColumn("z", _r("z"))
+
+
+@query("SELECT cell_id AS lm_id, label, row_number() OVER (ORDER BY label, features[1] DESC, cell_id) AS place, round(features[1], 6) + 0.0 AS x, round(features[2], 6) + 0.0 AS y FROM lm")
+def landmark_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Landmarks by several keys, with two coordinates and a feature."""
+    lm = vector_landmarks(spark, sf)
+    at = report.coordinates(lm.withColumnRenamed("features", "coord").select("lm_id", "coord"), 0, 1, lm.select("lm_id", "label"))
+    return report.ordered(at, "label", "-x").select("lm_id", "label", F.col("place").cast("long").alias("place"), _r("x").alias("x"), _r("y").alias("y"))
+
+
+@query(", f AS (SELECT label, dense_rank() OVER (ORDER BY min(cell_id)) AS number FROM lm GROUP BY 1) SELECT lm.cell_id AS lm_id, 'cluster.' || lpad(CAST(number AS VARCHAR), 2, '0') AS cluster FROM lm JOIN f USING (label)")
+def cluster_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels renumbered by first appearance."""
+    return annotate.numbered(vector_landmarks(spark, sf).select("lm_id", "label")).select("lm_id", X.cluster_label(F.col("number"), 2).alias("cluster"))
+
+
+@query("SELECT cell_id AS lm_id, CASE WHEN label < '5' THEN 'low' ELSE 'high' END AS label FROM lm")
+def cell_types(spark: SparkSession, sf: str) -> DataFrame:
+    """Landmarks take their cells' labels, then the type of each."""
+    cells = vector_cells(spark, sf)
+    lm = vector_landmarks(spark, sf).select("lm_id", "sample_id", F.col("lm_id").alias("cell_id"))
+    annot = annotate.from_cells(lm, cells.select("sample_id", "cell_id", "label"))
+    known = sorted(r.label for r in annot.select("label").distinct().collect())  # labels: ten
+    types = {"low": [k for k in known if k < "5"], "high": [k for k in known if k >= "5"]}
+    return annotate.from_clusters(annot, types)
+
+
+@query(_NEAREST + """, m AS (SELECT cell_id, lm_label AS said FROM (SELECT cell_id, lm_label, count(*) AS n FROM nn GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY n DESC, lm_label) = 1)
+SELECT label AS truth, said, count(*) AS n FROM m JOIN vec USING (cell_id) GROUP BY 1, 2""")
+def label_confusion(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels against the majority among neighbours."""
+    labels = vector_landmarks(spark, sf).select(F.col("lm_id").alias("id"), "label")
+    said = validate.majority_label(_nn(spark, sf).select(F.col("cell_id").alias("src"), F.col("lm_id").alias("dst")), labels)
+    truth = vector_cells(spark, sf).select(F.col("cell_id").alias("src"), F.col("label").alias("truth"))
+    return validate.confusion(truth.join(said.withColumnRenamed("label", "said"), "src"))
+
+
+@query(_P + "SELECT term AS model, CAST(count(*) FILTER (p <= 0.1) AS BIGINT) AS n_sig, round(min(p), 9) AS min_q FROM p GROUP BY 1")
+def discoveries(spark: SparkSession, sf: str) -> DataFrame:
+    """X2."""
+    p = order_assay(spark, sf).select("feature", F.col("sample_id").alias("model")).distinct().withColumn("q", X.u01(7, F.col("feature"), F.col("model")))
+    return validate.discoveries(p).select("model", "n_sig", _r("min_q", 9).alias("min_q"))
+
+
+@query("SELECT sample_id, min(CAST(cell_id AS BIGINT)) AS first FROM cell GROUP BY 1")
+def sample_order(spark: SparkSession, sf: str) -> DataFrame:
+    """SC7: samples by first appearance."""
+    return store.sample_order(order_cells(spark, sf).withColumn("cell_ord", F.col("cell_id").cast("long")))
+
+
+@query("SELECT vec_id AS cell_id, CASE WHEN label % 4 = 0 THEN NULL ELSE 'type' || CAST(label % 4 AS VARCHAR) END AS value FROM embeddings", views=False)
+def decoded_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """SC4: dictionary codes, below zero null."""
+    codes = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("cell_id"), (F.col("label") % 4 - 1).alias("code"))
+    return store.decoded(codes, spark.createDataFrame([(k, f"type{k + 1}") for k in range(3)], "code int, value string")).select("cell_id", "value")
+
+
+@query(_NEAREST + "SELECT sample_id, cell_id FROM nn WHERE rank = 1 AND lm_id IN (SELECT min(cell_id) FROM lm GROUP BY sample_id)")
+def cells_nearest_to(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells whose nearest landmark is a chosen one."""
+    chosen = [r.first for r in vector_landmarks(spark, sf).groupBy("sample_id").agg(F.min("lm_id").alias("first")).collect()]  # one a sample
+    return mapping.nearest_landmark_cells(_nn(spark, sf), chosen)
+
+
+@query(_GRAPH + ", deg AS (SELECT src, sum(weight) AS d FROM j GROUP BY 1) SELECT src, dst, round(CAST(weight / d AS DOUBLE), 6) AS p FROM j JOIN deg USING (src)")
+def random_walk(spark: SparkSession, sf: str) -> DataFrame:
+    """Transition shares of the landmark graph."""
+    edges = neighbors.shared_neighbors(_graph(spark, sf), 10)
+    return neighbors.transitions(edges).select("src", "dst", _r("p").alias("p"))
+
+
+@query(None)
+def cell_leverage(spark: SparkSession, sf: str) -> DataFrame:
+    """(sample_id, cell_id, weight), leverage of each cell within its sample. Tests hold it against the hat matrix."""
+    return linalg.leverage(vector_cells(spark, sf).select("sample_id", "cell_id", "features"))
