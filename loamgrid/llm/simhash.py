@@ -214,7 +214,11 @@ def linked(distinct: DataFrame, words: int, band_bits: int, radius: int, hot: in
 
 
 def stars(edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """(u, v): v is the smallest vertex of u's component, for all vertices but the smallest themselves. edges: (u, v) in any order."""
+    """(u, v): v is the smallest vertex of u's component, for all vertices but the smallest themselves. edges: (u, v) in any order.
+
+    The minima are written before they are joined: a join with an aggregate keeps the aggregate's partitions, and all edges of a
+    vertex that links a large share of the rows would be one task; between two exchanges Spark splits such a partition.
+    """
     now = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
     before = None
     for _ in range(rounds):
@@ -223,9 +227,10 @@ def stars(edges: DataFrame, rounds: int = 30) -> DataFrame:
             return now
         before = mark
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = written(large, "large")
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         now = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
     raise RuntimeError("components did not settle")
