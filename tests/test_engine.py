@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from loamgrid.functions.columns import LOW_CONFIDENCE
-from loamgrid.operators import annotate, cells as C, mapping, validate
+from loamgrid.operators import annotate, cells as C, linalg, mapping, validate
 from loamgrid.plans.pipeline import Analysis, Config
 from loamgrid.sources.store import Store, checked_cells, simulate_abundance
 
@@ -119,3 +119,14 @@ def test_permutation_test_counts(spark):
     truth = np.arange(40) < 5
     got = validate.permutation_test(spark, y, ["A"] * 4 + ["B"] * 4, [1, 1, 2, 2, 1, 1, 2, 2], truth).toPandas().set_index("perm")
     assert len(got) == 36 and got.loc[0, "n_sig"] >= 5 and got.loc[0, "mcc"] > 0.8
+
+
+def test_leverage_is_the_diagonal_of_the_hat_matrix(spark):
+    rng = np.random.default_rng(3)
+    x = {s: rng.normal(size=(30, 4)) * [1, 5, 0.1, 2] + k for k, s in enumerate("ab")}
+    cells = spark.createDataFrame([(s, i, row.tolist()) for s, m in x.items() for i, row in enumerate(m)], "sample_id string, cell_id int, features array<double>")
+    got = {(r.sample_id, r.cell_id): r.weight for r in linalg.leverage(cells).collect()}
+    for s, m in x.items():
+        z = m - m.mean(0)
+        hat = np.diag(z @ np.linalg.inv(z.T @ z) @ z.T)
+        assert np.allclose([got[s, i] for i in range(30)], hat)
