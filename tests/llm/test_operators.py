@@ -162,6 +162,20 @@ def test_packing_of_odd_texts(spark):
     assert packing.pack(docs_of(spark, []), TOKENIZER).count() == 0
 
 
+def test_packing_has_the_ids_of_the_untouched_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(TOKENIZER)
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "x <|endoftext|> <|endoftext|>\n", "<|endoftext |>", "a" + " " * 1_000_000, "b" + "\n \u3000" * 400_000 + "c", "d" + " " * 60_000 + "e"]
+    want = {i: [*t.encode(x, add_special_tokens=False).ids, 0] for i, x in enumerate(texts)}
+    assert 50256 in want[0]
+    for r in packing.pack(docs_of(spark, texts), TOKENIZER).collect():
+        own = want[r.doc_id]
+        assert r.doc_tokens == len(own) and r.ids_crc32 == zlib.crc32(np.array(own[r.start : r.start + r.length], "<u4").tobytes())
+    enc = packing.encoder(TOKENIZER)
+    assert enc.merges and not any(enc.plain(texts[i]) for i in (0, 1, 2, 4, 5, 6)) and enc.plain(texts[3])
+
+
 def test_first_fit_decreasing_is_what_it_says():
     rng = np.random.default_rng(1)
     lengths = rng.integers(1, 101, 300).tolist()
