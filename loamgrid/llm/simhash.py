@@ -13,8 +13,9 @@ searches (measured figures are in the README). A shard is a task's own tree.
 
 ``bands`` bands of one word each at radius below ``bands`` lose nothing (pigeonhole). Shards of over ``hot``
 members are dealt anew by sub-bands of the other bits, with the same guarantee. With more words the bands
-find pairs up to a similarity with a stated probability (``plan``); ``near_deduplicated`` takes what they
-link as candidates, and links by the exact Jaccard similarity of the shingle sets (``verified``).
+find pairs up to a similarity with a stated probability (``plan``), except sets of so few shingles that a near copy
+is the set less one of them (``small``): these are joined by sums of their hashes, and none is missed. ``near_deduplicated``
+takes what both link as candidates, and links by the exact Jaccard similarity of the shingle sets (``verified``).
 
 Cases: null and empty texts have fingerprint zero and link like any other; rows with equal texts are one
 fingerprint; ids may repeat or be null (a component's id is its smallest id that is not null).
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,7 @@ SEED = 42
 HOT = 4096
 SLICE = 4096
 BLOCK_BYTES = 4 << 20
+SUMS = 0x5EED
 
 
 def shingles(text: bytes, k: int, distinct: bool = False) -> list[bytes]:
@@ -55,8 +58,11 @@ def hashed(said: Iterable[bytes]) -> np.ndarray:
     return np.array([digest(s, SEED) for s in said], "<u8")
 
 
-def fingerprint(texts: list[bytes], k: int = 3, words: int = 1, distinct: bool = False) -> np.ndarray:
-    """A row of uint64 words for each text."""
+def fingerprint(texts: list[bytes], k: int = 3, words: int = 1, distinct: bool = False, most: int = 0, sums: dict[int, np.ndarray] | None = None) -> np.ndarray:
+    """A row of uint64 words for each text.
+
+    sums is filled for each text of at most ``most`` shingles: the sum of its mixed hashes, and the sum without each of them.
+    """
     out = np.zeros((len(texts), words), np.uint64)
     for a, b in chunks(texts, 1 << 19):
         said = [shingles(t, k, distinct) for t in texts[a:b]]
@@ -66,6 +72,12 @@ def fingerprint(texts: list[bytes], k: int = 3, words: int = 1, distinct: bool =
             continue
         first = (np.cumsum(sizes) - sizes)[some]
         base = hashed(s for own in said for s in own)
+        if most and sums is not None:
+            mixed = mix(base, SUMS)
+            for i, at in zip(some.tolist(), first.tolist(), strict=True):
+                if sizes[i] <= most:
+                    own = mixed[at : at + sizes[i]]
+                    sums[a + i] = own.sum() - np.r_[np.uint64(0), own]
         for w in range(words):
             h = mix(base, w) if w else base
             bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -74,18 +86,25 @@ def fingerprint(texts: list[bytes], k: int = 3, words: int = 1, distinct: bool =
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, words: int = 1, distinct: bool = False, also: str | None = None) -> DataFrame:
-    """doc_id and fp (array of long) of each row, and the long column ``also``."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, words: int = 1, distinct: bool = False, also: str | None = None, most: int = 0) -> DataFrame:
+    """doc_id and fp (array of long) of each row, and the long column ``also``; sums (array of long, empty for larger sets) if ``most``."""
     kind = pa.list_(pa.int64())
 
     def run(batches):
         for batch in batches:
-            fp = fingerprint(byte_list(batch.column(1)), k, words, distinct).view(np.int64)
+            sums: dict[int, np.ndarray] = {}
+            fp = fingerprint(byte_list(batch.column(1)), k, words, distinct, most, sums).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, fp.size + 1, words, dtype=np.int32)), pa.array(fp.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, *batch.columns[2:]], schema=pa.schema([("doc_id", batch.column(0).type), ("fp", kind), *list(batch.schema)[2:]]))
+            cols, fields = [batch.column(0), lists, *batch.columns[2:]], [("doc_id", batch.column(0).type), ("fp", kind), *list(batch.schema)[2:]]
+            if most:
+                sizes = [len(sums.get(i, ())) for i in range(batch.num_rows)]
+                flat = np.concatenate([np.zeros(0, np.uint64), *sums.values()]).view(np.int64)  # in the order of the rows
+                cols.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]).astype(np.int32)), pa.array(flat)))
+                fields.append(("sums", kind))
+            yield pa.RecordBatch.from_arrays(cols, schema=pa.schema(fields))
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *([also] if also else []))
-    return rows.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, fp array<long>" + (f", {also} long" if also else ""))
+    return rows.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, fp array<long>" + (f", {also} long" if also else "") + (", sums array<long>" if most else ""))
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -259,15 +278,62 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(least.select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def small(similarity: float) -> int:
+    """The largest size of sets of which any two different ones with that Jaccard similarity are one and the same less one member.
+
+    Two sets of m that share all but one each have (m - 1) / (m + 1), the most of all other pairs up to m.
+    """
+    return min(32, math.ceil((1 + similarity) / max(1 - similarity, 1e-3) - 1e-9) - 1)
+
+
+def less_one(one: DataFrame) -> DataFrame:
+    """(u, v): u's shingles are v's and one more, for all such pairs. one: key and sums, one row for each fingerprint."""
+    whole = one.where(F.size("sums") > 0).select(F.col("sums")[0].alias("sum"), F.col("key").alias("v"))
+    less = one.where(F.size("sums") > 1).select(F.col("key").alias("u"), F.explode(F.expr("slice(sums, 2, size(sums) - 1)")).alias("sum"))
+    return less.join(whole.hint("merge"), "sum").select("u", "v")  # both grow with the documents: never broadcast
+
+
+def odds(n: int) -> np.ndarray:
+    """The chances of 0 to n ones among n bits."""
+    return np.array([math.comb(n, x) / 2**n for x in range(n + 1)])
+
+
+def differing(a: int, b: int, both: int) -> float:
+    """The probability that a bit differs between sets of a and b hashes that share some: it is 1 where over half of a set's are 1."""
+
+    def over(own: int, size: int) -> np.ndarray:
+        tail = np.r_[np.cumsum(odds(own)[::-1])[::-1], 0]
+        return tail[np.clip(size // 2 + 1 - np.arange(both + 1), 0, own + 1)]
+
+    one, two = over(a - both, a), over(b - both, b)
+    return float((odds(both) * (one * (1 - two) + two * (1 - one))).sum())
+
+
+@cache
+def worst(similarity: float, sizes: int = 200) -> float:
+    """The largest probability that a bit differs between sets of at least that Jaccard similarity, beyond those of ``small``.
+
+    Exact up to a size; beyond it acos(2j / (1 + j)) / pi, which large sets of one size come to. Sets of few members are
+    above that, as a tie counts as 0.
+    """
+    out = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    for a in range(1, sizes + 1):
+        for b in range(a, math.floor(a / similarity + 1e-9) + 1):
+            both = math.ceil(similarity * (a + b) / (1 + similarity) - 1e-9)
+            if b > small(similarity) and both <= a:
+                out = max(out, differing(a, b, both))
+    return out
+
+
 def plan(n: int, similarity: float = 0.8, recall: float = 0.99) -> tuple[int, int, int]:
     """(words, band_bits, radius) for n fingerprints: bands wide enough for small shards, and as many as the recall at that Jaccard similarity takes.
 
-    Two sets of one size with Jaccard similarity j have cosine 2j / (1 + j), and a bit differs with probability acos(cosine) / pi;
-    the radius is three standard errors beyond the expected distance.
+    The radius is three standard errors beyond the expected distance of the pair of ``worst``, which 0.998 of such pairs are
+    within; to agree in a band and to be near favour each other, so the product of both chances is a lower bound of the recall.
     """
-    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    differ = worst(similarity)
     bits = min(32, max(12, math.ceil(math.log2(max(n, 2))) - 8))
-    bands = math.log(1 - recall) / math.log(1 - (1 - differ) ** bits)
+    bands = math.log(1 - recall / 0.998) / math.log(1 - (1 - differ) ** bits)
     words = max(4, math.ceil(bands / (64 // bits)))
     return words, bits, round(64 * words * differ + 3 * math.sqrt(64 * words * differ * (1 - differ)))
 
@@ -368,14 +434,14 @@ def text_hash(text_col: str):
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id and component_id of each row: texts of exact Jaccard similarity ``similarity`` or more are linked.
 
-    Candidates come from the trees, with the recall of ``plan``; texts of one fingerprint (hundreds of equal bits) count as equal.
+    Candidates come from the trees, with the recall of ``plan``, and all pairs of ``small`` sets from ``less_one``; texts of one fingerprint (hundreds of equal bits) count as equal.
     """
     words, bits, radius = plan(docs.count(), similarity)
-    made = fingerprints(docs.withColumn("__tie", text_hash(text_col)), id_col, text_col, k, words, True, also="__tie")
+    made = fingerprints(docs.withColumn("__tie", text_hash(text_col)), id_col, text_col, k, words, True, "__tie", small(similarity))
     rows = written(made.withColumn("key", F.xxhash64("fp")).withColumnRenamed("__tie", "tie"), "simhash")
-    one = rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("rep"), F.first("fp").alias("fp"))
-    one = written(one.select("key", "fp", "first", "rep.doc_id", "rep.tie"), "distinct")
-    member = members(stars(linked(one.select("key", "fp"), words, bits, radius)))
+    one = rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("rep"), F.first("fp").alias("fp"), F.first("sums").alias("sums"))
+    one = written(one.select("key", "fp", "sums", "first", "rep.doc_id", "rep.tie"), "distinct")
+    member = members(stars(linked(one.select("key", "fp"), words, bits, radius).unionByName(less_one(one))))
     star = stars(verified(docs, one.join(member, "key").select("key", "root", "doc_id", "tie"), id_col, text_col, k, similarity))
     least = least_of(one.select("key", "first"), star)
     return rows.select("doc_id", "key").join(least, "key").select("doc_id", "component_id")

@@ -469,6 +469,31 @@ def test_flood_equals_brute_force():
     assert simhash.similar([], 0.8).tolist() == []
 
 
+def test_near_copies_of_few_shingles_are_all_found(spark):
+    rng = np.random.default_rng(5)
+    texts, pairs = [], 300
+    for p in range(pairs):
+        own = [f"w{x}" for x in rng.integers(0, 10**9, 8 + p % 5)]  # 4 to 8 shingles; the copy has one more
+        texts += [" ".join(own), " ".join([*own, "end"] if p % 2 else ["start", *own])]
+    texts = [t for p in range(pairs) for t in texts[2 * p : 2 * p + (1 if p % 5 == 4 else 2)]]
+    got = [r["component_id"] for r in rows(simhash.near_components(docs_of(spark, texts)), "doc_id")]
+    assert got == brute_near(texts) and len(set(got)) == pairs
+
+
+@pytest.mark.parametrize("a,b,both", [(13, 14, 12), (12, 15, 12), (9, 9, 8), (8, 10, 8), (200, 200, 178)])
+def test_recall_of_the_plan(a, b, both):
+    rng = np.random.default_rng(6)
+    words, bits, radius = simhash.plan(1000)
+    texts = [" ".join(map(str, own)) for h in rng.integers(0, 10**12, (400, a + b - both)) for own in (h[:a], h[-b:])]
+    fp = simhash.fingerprint([t.encode() for t in texts], 1, words)
+    x, y = fp[::2], fp[1::2]
+    band = np.zeros(len(x), bool)
+    for at in range(64 // bits):
+        band |= ((x ^ y) >> np.uint64(at * bits) & np.uint64((1 << bits) - 1) == 0).any(1)
+    assert abs(np.bitwise_count(x ^ y).mean() / 64 - simhash.differing(a, b, both)) < 0.005
+    assert (band & (simhash.distance(x, y) <= radius)).mean() >= 0.98  # 0.99 and over, less the error of 400 pairs
+
+
 def test_large_candidate_components_are_split_and_lose_nothing(spark):
     texts = chains()
     docs = docs_of(spark, texts)
