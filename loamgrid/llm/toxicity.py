@@ -17,6 +17,8 @@ positive class (0 without labels); repeated rows get equal scores.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +30,7 @@ BITS = 20
 STEMS = (4, 5, 6)
 FACTORS = 4
 MOST = 20_000
+THREADS = 4
 
 
 def columns(texts: list[bytes], bits: int = BITS, stems: tuple[int, ...] = STEMS) -> tuple[np.ndarray, np.ndarray]:
@@ -63,11 +66,30 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.logits(rows, cols, len(texts)), -30, 30)))
 
 
-def fit(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, bits: int = BITS, factors: int = FACTORS, steps: int = 120, rate: float = 0.1, prior: float = 1.0, least: int = 4, told_from: float = 3.0) -> Machine:
+def summed(pool: ThreadPoolExecutor, values: np.ndarray, at: np.ndarray, edges: np.ndarray, size: int = 1 << 16) -> np.ndarray:
+    """Sums of values[at] between edges (no span empty), by pieces of about ``size``, so that no copy is as long as at."""
+    out, cuts = np.empty((len(edges) - 1, values.shape[1]), np.float32), [0]
+    while cuts[-1] < len(out):
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(edges, edges[cuts[-1]] + size, "right")) - 1))
+
+    def piece(i: int, j: int) -> None:
+        np.add.reduceat(np.take(values, at[edges[i] : edges[j]], axis=0), edges[i:j] - edges[i], axis=0, out=out[i:j])
+
+    list(pool.map(piece, cuts[:-1], cuts[1:]))
+    return out
+
+
+def counted(x: np.ndarray, size: int) -> np.ndarray:
+    """np.bincount by pieces: it makes a copy of 64-bit numbers."""
+    return sum((np.bincount(x[i : i + (1 << 20)], minlength=size) for i in range(0, len(x), 1 << 20)), np.zeros(size, np.int64))
+
+
+def fit(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, bits: int = BITS, factors: int = FACTORS, steps: int = 120, rate: float = 0.1, prior: float = 1.0, least: int = 4, told_from: float = 3.0, quiet: float = 0.1) -> Machine:
     """Full-batch Adam on the logistic loss with a Gaussian prior, as strong for few rows as for many.
 
-    Left out are columns in fewer than ``least`` texts or over half of them, and those whose count among positive
-    texts is within ``told_from`` standard errors of what chance gives.
+    All columns in at least ``least`` texts have a weight and factors: none is left out for what it tells alone, as a pair
+    may tell what neither of its words does. Those whose count among positive texts is within ``told_from`` standard errors of
+    what chance gives have ``quiet`` for x while the machine is fitted (a prior 1 / quiet**2 as strong; w and v take it up). rows are sorted.
     """
     n = len(y)
     ridge = prior / max(n, 1)
@@ -75,34 +97,41 @@ def fit(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, bits: int = BITS, fac
     share = float(y.mean()) if n else 0.0
     if not 0 < share < 1:
         return Machine(30.0 if share == 1 else -30.0, w, v)
-    df = np.bincount(cols, minlength=1 << bits)
-    used = np.flatnonzero((df >= least) & (df <= max(least, n / 2)))
-    pos = np.bincount(cols[y[rows] > 0], minlength=1 << bits)[used]
-    told = np.abs(pos - df[used] * share) / np.sqrt(df[used] * share * (1 - share) + 1e-9)
-    used = used[told >= told_from]
-    spot = np.full(1 << bits, -1)
+    used = np.flatnonzero(counted(cols, 1 << bits) >= least)
+    if not len(used):
+        return Machine(float(np.log(share / (1 - share))), w, v)
+    spot = np.full(1 << bits, -1, np.int32)
     spot[used] = np.arange(len(used))
     at = spot[cols]
-    rows, at = rows[at >= 0], at[at >= 0]
+    rows, at = rows[at >= 0].astype(np.int32), at[at >= 0]
+    starts = np.flatnonzero(np.diff(rows, prepend=-1))
+    some, by_row = rows[starts], np.r_[starts, len(at)]
+    df = counted(at, len(used))
+    by_col = np.r_[0, np.cumsum(df)]
+    turned = rows[np.argsort(at, kind="stable")]
+    told = np.abs(counted(at[(y > 0)[rows]], len(used)) - df * share) / np.sqrt(df * share * (1 - share) + 1e-9)
+    x = np.where(told >= told_from, 1, quiet).astype(np.float32)[:, None]
     rng = np.random.default_rng(7)
-    p = [np.array([np.log(share / (1 - share))]), np.zeros(len(used)), rng.normal(0, 0.02, (len(used), factors))]
+    p = [np.array([np.log(share / (1 - share))]), np.zeros((len(used), 1), np.float32), rng.normal(0, 0.02, (len(used), factors)).astype(np.float32)]
     m1, m2 = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p]
-    for step in range(1, steps + 1):
-        b, wu, vu = p
-        vr = vu[at]
-        sums = np.stack([np.bincount(rows, vr[:, f], n) for f in range(factors)], 1)
-        squares = np.bincount(rows, (vr * vr).sum(1), n)
-        z = b[0] + np.bincount(rows, wu[at], n) + 0.5 * ((sums * sums).sum(1) - squares)
-        e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
-        er = e[rows]
-        gw = np.bincount(at, er, len(used)) + ridge * wu
-        gv = np.stack([np.bincount(at, er * (sums[rows, f] - vr[:, f]), len(used)) for f in range(factors)], 1) + ridge * vu
-        for k, g in enumerate((np.array([e.sum()]), gw, gv)):
-            m1[k] = 0.9 * m1[k] + 0.1 * g
-            m2[k] = 0.999 * m2[k] + 0.001 * g * g
-            p[k] = p[k] - rate * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-8)
-    w[used] = np.where(p[1] == 0, 1e-12, p[1])
-    v[used] = p[2]
+    total = np.zeros((n, factors + 2), np.float32)
+    with ThreadPoolExecutor(THREADS) as pool:
+        for step in range(1, steps + 1):
+            b, wu, vu = p
+            xv = x * vu
+            total[some] = summed(pool, np.hstack([x * wu, xv, (xv * xv).sum(1, keepdims=True)]), at, by_row)
+            sums = total[:, 1:-1]
+            z = b[0] + total[:, 0] + 0.5 * ((sums * sums).sum(1) - total[:, -1])
+            e = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n).astype(np.float32)[:, None]
+            at_x = x * summed(pool, np.hstack([e, e * sums]), turned, by_col)
+            gw, gv = at_x[:, :1] + ridge * wu, at_x[:, 1:] - at_x[:, :1] * xv + ridge * vu
+            for k, g in enumerate((np.array([e.sum()]), gw, gv)):
+                m1[k] = 0.9 * m1[k] + 0.1 * g
+                m2[k] = 0.999 * m2[k] + 0.001 * g * g
+                p[k] = p[k] - rate * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-8)
+    wu, vu = x * p[1], x * p[2]
+    w[used] = np.where(wu[:, 0] == 0, 1e-12, wu[:, 0])
+    v[used] = vu
     return Machine(float(p[0][0]), w, v)
 
 
@@ -130,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     lists = got.column("cols").combine_chunks() if got.num_rows else pa.array([], out.field("cols").type)
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     sizes = np.diff(lists.offsets.to_numpy()) if len(lists) else np.zeros(0, int)
-    return fit(np.repeat(np.arange(len(y)), sizes), lists.flatten().to_numpy().astype(np.int64), y)
+    return fit(np.repeat(np.arange(len(y), dtype=np.int32), sizes), lists.flatten().to_numpy(), y)
 
 
 def scores(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -316,6 +316,17 @@ def test_pairs_add_what_words_alone_miss():
     assert vector(b"insult") @ vector(b"group") > 0.3
 
 
+def test_pairs_of_which_neither_word_tells_anything_alone():
+    rng = np.random.default_rng(1)
+    texts, y = [], []
+    for i in range(2000):  # each word is in as many toxic as clean texts
+        a, b = i % 2, i // 2 % 2
+        texts.append(" ".join([*(["insult"] if a else []), *(["group"] if b else []), *[f"w{k}" for k in rng.integers(0, 400, 6)]]).encode())
+        y.append(float(a == b))
+    z = toxicity.fit(*toxicity.columns(texts), np.array(y)).score([b"insult group", b"insult", b"group"])
+    assert z[0] > 0.8 and max(z[1:]) < 0.5
+
+
 def test_toxicity_without_labels(spark):
     docs = docs_of(spark, ODD, score=1.0, y=2.0)
     none = spark.createDataFrame([], "doc_id long, toxic int")
