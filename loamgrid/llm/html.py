@@ -2,7 +2,9 @@
 
 The tree builder closes what HTML lets authors leave open (paragraphs, list items, cells, rows, options,
 terms) and keeps elements at a depth of ``DEPTH`` at most, as browsers do; what lies deeper becomes a sibling.
-Hidden are the head, scripts, styles, templates and the like, the ``hidden`` attribute, inline
+Text or a tag that has no place in the head ends it. Hidden are the head, scripts, styles, templates, what stands for audio,
+video and canvas where they cannot be shown, the annotations of formulas (the same in another notation), the titles,
+descriptions and metadata of drawings, and the like, the ``hidden`` attribute, inline
 ``display:none`` and ``visibility:hidden``, dialogs and details that are not open (their summary shows).
 All other text is emitted: blocks on lines of their own, paragraphs, headings, lists and tables set off by
 an empty line, list items with a dash or their number and indented by depth, preformatted text as it is,
@@ -25,7 +27,9 @@ from pyspark.sql import functions as F
 DEPTH = 256
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style template noscript iframe noembed noframes title textarea xmp".split())
-HIDDEN = frozenset("head script style template noscript iframe noembed noframes title meta link base datalist audio video canvas object svg math area param source track".split())
+HIDDEN = frozenset("head script style template noscript iframe noembed noframes title meta link base datalist audio video canvas area param source track".split())
+#: What the head may hold; any other tag ends it.
+IN_HEAD = frozenset("script style template noscript noframes title meta link base basefont bgsound head html".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul caption xmp".split())
 SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 hr ol p pre table ul xmp".split())
 #: Tags that end an open paragraph.
@@ -38,13 +42,15 @@ IMPLIED = {
     "dd": ({"dt", "dd"}, {"dl"}),
     "option": ({"option"}, {"select", "datalist", "optgroup"}),
     "optgroup": ({"option", "optgroup"}, {"select"}),
-    "td": ({"td", "th"}, {"tr", "table"}),
-    "th": ({"td", "th"}, {"tr", "table"}),
+    "td": ({"td", "th", "caption", "colgroup"}, {"tr", "table"}),
+    "th": ({"td", "th", "caption", "colgroup"}, {"tr", "table"}),
     "tr": ({"tr", "td", "th", "caption", "colgroup"}, {"table", "tbody", "thead", "tfoot"}),
     "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
     "body": ({"head"}, {"html"}),
 }
 IMPLIED["thead"] = IMPLIED["tfoot"] = IMPLIED["tbody"]
+#: Tags that are hidden in drawings or formulas only.
+UNSEEN = {"desc": "svg", "metadata": "svg", "annotation": "math", "annotation-xml": "math"}
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _REST = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>")
 _ATTR = re.compile(r"([^\s=/>\"'][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
@@ -83,8 +89,15 @@ def tree(html: str) -> Node:
 
     def text(said: str) -> None:
         if said:
+            while stack[-1].tag == "head" and said.strip(" \t\n\r\f"):
+                stack.pop()  # text begins the body
             stack[-1].children.append(unescape(said) if "&" in said else said)
 
+    def foreign() -> str:
+        """svg or math where the next tag is one of theirs, else empty."""
+        tag = next((x.tag for x in reversed(stack) if x.tag in ("svg", "math", "foreignobject")), "")
+        return "" if tag == "foreignobject" else tag
+
     def close(names, stops) -> None:
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in names:
@@ -139,12 +152,14 @@ def tree(html: str) -> Node:
             close({f"h{i}" for i in range(1, 7)} & {stack[-1].tag}, set())
         if tag in IMPLIED:
             close(*IMPLIED[tag])
-        if stack[-1].tag == "head" and tag not in HIDDEN:
+        while stack[-1].tag == "head" and tag not in IN_HEAD:
             stack.pop()
         if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
             stack[-1].children.append(row := Node("tr", {}))
             stack.append(row)
         node = Node(tag, attributes(said))
+        if tag in UNSEEN and foreign() == UNSEEN[tag]:
+            node.attrs["hidden"] = ""
         stack[-1].children.append(node)
         if tag in RAW:
             low = re.compile(f"</{tag}[\\s/>]", re.I).search(html, at) if f"</{tag}" not in unended else None
@@ -155,7 +170,7 @@ def tree(html: str) -> Node:
                 node.children.append(unescape(html[at:end]) if tag == "textarea" else html[at:end])
             at = find(">", end) + 1 if low else n
             at = at or n
-        elif tag not in VOID and not (said.endswith("/") and tag in ("svg", "path")) and len(stack) < DEPTH:
+        elif tag not in VOID and not (said.endswith("/") and (tag in ("svg", "math") or foreign())) and len(stack) < DEPTH:
             stack.append(node)
     return root
 
@@ -277,6 +292,10 @@ def render(node: Node, out: Lines, pre: bool = False) -> None:
             out.flow(" ")
             if tag == "tr":
                 out.end()
+        elif tag in ("text", "mtr", "mtd") or node.tag == "mfrac":  # apart in drawings and formulas
+            out.flow(" ")
+            render(child, out, pre)
+            out.flow(" ")
         else:
             render(child, out, pre or tag == "textarea")
 
@@ -326,9 +345,11 @@ def table(node: Node) -> list[str]:
                 continue
             elif child.tag == "caption":
                 lines.extend(rendered(child))
-            elif child.tag in ("tbody", "thead", "tfoot"):
+            elif child.tag in ("tbody", "thead", "tfoot", "colgroup"):
                 gather(child)
-            elif child.tag == "tr":
+            elif child.tag != "tr":  # a table or cell that markup has put here
+                loose.children.append(child)
+            else:
                 row, extra = [], Node("div", {})
                 for cell in child.children:
                     if isinstance(cell, Node) and cell.tag in ("td", "th"):

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -268,6 +269,45 @@ def test_layout():
     assert t("x<br>y<hr>z") == "x\ny\n\n---\n\nz"
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<table><table><tr><td>in</table>", "in"),
+        ("<table><tbody><table><tr><td>in</table><tr><td>out</table>", "in out"),
+        ("<table><colgroup><td>a<td>b<tr><td>c</table>", "a b c"),
+        ("<table><colgroup>x<col><tr><td>c</table>", "c x"),
+        ("<table><caption>a<td>b</table>", "a b"),
+        ("<html><head><title>t</title>shown <p>too", "shown too"),
+        ("<head><meta charset=x>\n <head> shown", "shown"),
+        ("<head><svg><text>s</text></svg></head>x", "s x"),
+        ("<math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac><annotation>no</annotation></math>", "1 2 x="),
+        ("<svg><title>no</title><desc>no</desc><circle style='display:none'/><text>one</text><text>two</text></svg>", "one two"),
+        ("<svg><foreignObject><p>p</p></foreignObject></svg><desc>d</desc>", "d p"),
+        ("<object data=x><param name=y>fall<b>back</b></object>", "fallback"),
+    ],
+)
+def test_misplaced_and_foreign_text_is_emitted(page, want):
+    assert sorted(html.text(page).split()) == want.split()
+
+
+def test_texts_of_pages_are_whole(spark):
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        words = []
+
+        def walk(node, words=words):
+            for c in node.children:
+                if isinstance(c, str):
+                    words.extend(c.split())
+                elif html.visible(c) and not (c.tag == "details" and "open" not in c.attrs):
+                    walk(c)
+
+        walk(html.tree(r.html or ""))
+        said = re.sub(r"\s", "", html.text(r.html))
+        marks = Counter("".join(re.findall(r"(?m)^\s*(?:- |\d+\. |---$)", html.text(r.html))).replace(" ", "").replace("\n", ""))
+        assert not Counter("".join(words)) - Counter(said)
+        assert not Counter(said) - Counter("".join(words)) - marks - Counter("".join(re.findall(r'value="([^"]*)"', r.html or "")))
+
+
 def test_all_visible_words_of_pages_are_emitted(spark):
     for r in spark.read.parquet(f"{SF}/pages.parquet").limit(50).collect():
         body = re.sub(r"(?s)<(script|style|title|noscript)\b.*?</\1>|<!--.*?-->", " ", r.html or "")
