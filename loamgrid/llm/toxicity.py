@@ -84,6 +84,24 @@ def counted(x: np.ndarray, size: int) -> np.ndarray:
     return sum((np.bincount(x[i : i + (1 << 20)], minlength=size) for i in range(0, len(x), 1 << 20)), np.zeros(size, np.int64))
 
 
+def index_type(n: int) -> type:
+    return np.uint16 if n < 1 << 16 else np.int32
+
+
+def by_column(rows: np.ndarray, at: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """rows in the order of at, as a stable sort has it; by pieces, as the driver has no room for the order of all."""
+    out, free = np.empty_like(rows), edges[:-1].copy()
+    for i in range(0, len(at), 1 << 20):
+        own = at[i : i + (1 << 20)]
+        order = np.argsort(own, kind="stable")
+        own = own[order]
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        sizes = np.diff(np.r_[first, len(own)])
+        out[free[own] + np.arange(len(own)) - np.repeat(first, sizes)] = rows[i : i + (1 << 20)][order]
+        free[own[first]] += sizes
+    return out
+
+
 def fit(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, bits: int = BITS, factors: int = FACTORS, steps: int = 120, rate: float = 0.1, prior: float = 1.0, least: int = 4, told_from: float = 3.0, quiet: float = 0.1) -> Machine:
     """Full-batch Adam on the logistic loss with a Gaussian prior, as strong for few rows as for many.
 
@@ -103,12 +121,12 @@ def fit(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, bits: int = BITS, fac
     spot = np.full(1 << bits, -1, np.int32)
     spot[used] = np.arange(len(used))
     at = spot[cols]
-    rows, at = rows[at >= 0].astype(np.int32), at[at >= 0]
-    starts = np.flatnonzero(np.diff(rows, prepend=-1))
+    rows, at = rows[at >= 0].astype(index_type(n), copy=False), at[at >= 0]
+    starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
     some, by_row = rows[starts], np.r_[starts, len(at)]
     df = counted(at, len(used))
     by_col = np.r_[0, np.cumsum(df)]
-    turned = rows[np.argsort(at, kind="stable")]
+    turned = by_column(rows, at, by_col)
     told = np.abs(counted(at[(y > 0)[rows]], len(used)) - df * share) / np.sqrt(df * share * (1 - share) + 1e-9)
     x = np.where(told >= told_from, 1, quiet).astype(np.float32)[:, None]
     rng = np.random.default_rng(7)
@@ -159,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     lists = got.column("cols").combine_chunks() if got.num_rows else pa.array([], out.field("cols").type)
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     sizes = np.diff(lists.offsets.to_numpy()) if len(lists) else np.zeros(0, int)
-    return fit(np.repeat(np.arange(len(y), dtype=np.int32), sizes), lists.flatten().to_numpy(), y)
+    return fit(np.repeat(np.arange(len(y), dtype=index_type(len(y))), sizes), lists.flatten().to_numpy(), y)
 
 
 def scores(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
