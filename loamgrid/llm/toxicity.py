@@ -6,13 +6,14 @@ sigmoid(b + sum of w_i x_i + sum over pairs of <v_i, v_j> x_i x_j): the pairwise
 together (an insult and the name of a group) mean more than the sum of both. x_i is 1 for
 each column that the text has.
 
-The model is fitted on the driver on at most ``most`` labelled rows (a documented bound: those of the
-smallest hash of the id, so the choice is the same in every run); scoring is a map over all rows with the
-model (fixed size) broadcast. Only the text is an input of a score.
+The model is fitted in one task of an executor on at most ``most`` labelled ids, and of these on as many as have ``most_pairs``
+(row, column) pairs (both documented bounds; ids are taken by their hash, so the choice is the same in every run and a
+lost executor's task gives the same model). Only the columns that count come back to the driver. Scoring is a map over
+all rows with the model (fixed size) broadcast. Only the text is an input of a score.
 
 Cases: null and empty texts score the intercept; labels that are null are left out, and of several labels
-for one id the largest counts; without any label, or with one class only, every score is the share of the
-positive class (0 without labels); repeated rows get equal scores.
+for one id the largest counts; of several rows of a labelled id, that of the smallest text hash is learned from; without any
+label, or with one class only, every score is the share of the positive class (0 without labels); repeated rows get equal scores.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ BITS = 20
 STEMS = (4, 5, 6)
 FACTORS = 4
 MOST = 20_000
-THREADS = 4
+MOST_PAIRS = 32_000_000
+THREADS = 2
 
 
 def columns(texts: list[bytes], bits: int = BITS, stems: tuple[int, ...] = STEMS) -> tuple[np.ndarray, np.ndarray]:
@@ -46,16 +48,24 @@ def columns(texts: list[bytes], bits: int = BITS, stems: tuple[int, ...] = STEMS
 
 
 class Machine:
-    """b, w (columns) and v (columns x factors)."""
+    """b, and w and v (columns x factors) of the sorted columns in ``used``; all other columns have neither."""
 
-    def __init__(self, b: float, w: np.ndarray, v: np.ndarray):
-        self.b, self.w, self.v = b, w, v
+    def __init__(self, b: float, used: np.ndarray, w: np.ndarray, v: np.ndarray):
+        self.b, self.used, self.w, self.v = b, used, w, v
+        self._place: np.ndarray | None = None
+
+    def place(self, cols: np.ndarray) -> np.ndarray:
+        """Where each column is in ``used``, or -1. The table is made where it is needed, so that it does not travel."""
+        if self._place is None:
+            self._place = np.full(1 << BITS, -1, np.int32)
+            self._place[self.used] = np.arange(len(self.used))
+        return self._place[cols]
 
     def logits(self, rows: np.ndarray, cols: np.ndarray, n: int) -> np.ndarray:
-        keep = self.w[cols] != 0  # columns that the fit has never kept have no weight and no factors
-        rows, cols = rows[keep], cols[keep]
-        v = self.v[cols]
-        out = self.b + np.bincount(rows, self.w[cols], n)
+        at = self.place(cols)
+        rows, at = rows[at >= 0], at[at >= 0]
+        v = self.v[at]
+        out = self.b + np.bincount(rows, self.w[at], n)
         for f in range(v.shape[1]):
             s = np.bincount(rows, v[:, f], n)
             out += 0.5 * (s * s - np.bincount(rows, v[:, f].astype(np.float64) ** 2, n))
@@ -111,13 +121,10 @@ def fit(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, bits: int = BITS, fac
     """
     n = len(y)
     ridge = prior / max(n, 1)
-    w, v = np.zeros(1 << bits, np.float32), np.zeros((1 << bits, factors), np.float32)
     share = float(y.mean()) if n else 0.0
-    if not 0 < share < 1:
-        return Machine(30.0 if share == 1 else -30.0, w, v)
-    used = np.flatnonzero(counted(cols, 1 << bits) >= least)
-    if not len(used):
-        return Machine(float(np.log(share / (1 - share))), w, v)
+    used = np.flatnonzero(counted(cols, 1 << bits) >= least).astype(np.int32)
+    if not len(used) or not 0 < share < 1:
+        return Machine(float(np.log(share / (1 - share))) if 0 < share < 1 else 30.0 if share else -30.0, used[:0], np.zeros(0, np.float32), np.zeros((0, factors), np.float32))
     spot = np.full(1 << bits, -1, np.int32)
     spot[used] = np.arange(len(used))
     at = spot[cols]
@@ -147,10 +154,7 @@ def fit(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, bits: int = BITS, fac
                 m1[k] = 0.9 * m1[k] + 0.1 * g
                 m2[k] = 0.999 * m2[k] + 0.001 * g * g
                 p[k] = p[k] - rate * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-8)
-    wu, vu = x * p[1], x * p[2]
-    w[used] = np.where(wu[:, 0] == 0, 1e-12, wu[:, 0])
-    v[used] = vu
-    return Machine(float(p[0][0]), w, v)
+    return Machine(float(p[0][0]), used, (x * p[1])[:, 0].astype(np.float32), (x * p[2]).astype(np.float32))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -158,26 +162,50 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = MOST) -> Machine:
-    """Fits on labelled rows that are not held out, ``most`` at most."""
+def gathered(batches, most_pairs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """rows, columns and labels of batches with y and cols, up to the row with which there are most_pairs pairs."""
+    ys, cols, sizes, held = [], [], [], 0
+    for batch in batches:
+        own = np.diff(batch.column("cols").offsets.to_numpy())
+        n = int(np.searchsorted(held + np.cumsum(own), most_pairs, "right"))
+        ys.append(batch.column("y").to_numpy()[:n])
+        sizes.append(own[:n])
+        cols.append(batch.column("cols").flatten().to_numpy()[: own[:n].sum()].copy())
+        held += int(own[:n].sum())
+        if n < len(own):
+            break
+    y, sizes = np.concatenate([np.zeros(0), *ys]), np.concatenate([np.zeros(0, np.int64), *sizes])
+    return np.repeat(np.arange(len(y), dtype=index_type(len(y))), sizes), np.concatenate([np.zeros(0, np.int32), *cols]), y
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = MOST, most_pairs: int = MOST_PAIRS) -> Machine:
+    """Fits on labelled ids that are not held out, ``most`` at most, with ``most_pairs`` pairs at most."""
     chosen = labels.where(~held_out(id_col) & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).cast("double").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # bounded, so it may be broadcast
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
-    out = pa.schema([("y", pa.float64()), ("cols", pa.list_(pa.int32()))])
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie")).join(F.broadcast(chosen), "doc_id")
 
     def featured(batches):
         for batch in batches:
             texts = byte_list(batch.column("text"))
             r, c = columns(texts)
             edges = np.searchsorted(r, np.arange(len(texts) + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.ListArray.from_arrays(pa.array(edges), pa.array(c.astype(np.int32)))], schema=out)
-
-    got = rows.select("text", "y").mapInArrow(featured, "y double, cols array<int>").limit(2 * most).toArrow().combine_chunks()
-    y = got.column("y").to_numpy()
-    lists = got.column("cols").combine_chunks() if got.num_rows else pa.array([], out.field("cols").type)
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    sizes = np.diff(lists.offsets.to_numpy()) if len(lists) else np.zeros(0, int)
-    return fit(np.repeat(np.arange(len(y), dtype=index_type(len(y))), sizes), lists.flatten().to_numpy(), y)
+            lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(c.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), batch.column("tie"), lists], names=["doc_id", "y", "tie", "cols"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    made = rows.select("doc_id", "y", "tie", "text").mapInArrow(featured, f"doc_id {kind}, y double, tie long, cols array<int>")
+    made = made.groupBy("doc_id").agg(F.min(F.struct("tie", "y", "cols")).alias("row")).select(F.xxhash64("doc_id").alias("turn"), "doc_id", "row.y", "row.cols")
+    one = made.repartition(1).sortWithinPartitions("turn", "doc_id").select("y", "cols")  # at most ``most`` rows
+    out = pa.schema([("b", pa.float64()), ("used", pa.binary()), ("w", pa.binary()), ("v", pa.binary())])
+
+    def fitted(batches):
+        m = fit(*gathered(batches, most_pairs))
+        yield pa.RecordBatch.from_arrays([pa.array([m.b]), *(pa.array([x.tobytes()], pa.binary()) for x in (m.used, m.w, m.v))], schema=out)
+
+    got = one.mapInArrow(fitted, "b double, used binary, w binary, v binary").first()
+    if got is None:  # no labelled row
+        return fit(*gathered([], most_pairs))
+    return Machine(got.b, np.frombuffer(got.used, np.int32), np.frombuffer(got.w, np.float32), np.frombuffer(got.v, np.float32).reshape(-1, FACTORS))
 
 
 def scores(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

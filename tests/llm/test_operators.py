@@ -350,8 +350,9 @@ def test_pairs_add_what_words_alone_miss():
     m = toxicity.fit(r, c, np.array(y), steps=300)
     z = m.score([b"insult group", b"insult", b"group", b"w1"])
     assert z[0] > 0.5 > max(z[1:])
+
     def vector(word):
-        return m.v[toxicity.columns([word])[1][0]]
+        return m.v[m.place(toxicity.columns([word])[1])[0]]
 
     assert vector(b"insult") @ vector(b"group") > 0.3
 
@@ -367,6 +368,42 @@ def test_pairs_of_which_neither_word_tells_anything_alone():
     assert z[0] > 0.8 and max(z[1:]) < 0.5
 
 
+def test_logits_are_the_sum_over_all_pairs():
+    rng = np.random.default_rng(3)
+    used = np.sort(rng.choice(1 << toxicity.BITS, 5000, replace=False)).astype(np.int32)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 3000, n)).encode() for n in (0, 1, 2, 30, 200)]
+    r, c = toxicity.columns(texts)
+    used = np.unique(np.r_[used, c[::2]]).astype(np.int32)
+    m = toxicity.Machine(0.3, used, rng.normal(0, 1, len(used)).astype(np.float32), rng.normal(0, 1, (len(used), 4)).astype(np.float32))
+    at = {int(k): i for i, k in enumerate(used)}
+    for i in range(len(texts)):
+        own = [at[int(k)] for k in c[r == i] if int(k) in at]
+        want = 0.3 + sum(float(m.w[k]) for k in own) + sum(float(m.v[a].astype(float) @ m.v[b].astype(float)) for a, b in itertools.combinations(own, 2))
+        assert np.isclose(m.logits(r, c, len(texts))[i], want, atol=1e-3)
+    assert len(m.logits(r, c, len(texts))) == len(texts) and not len(m.score([]))
+
+
+def test_repeated_labelled_rows_and_the_bounds_of_training(spark):
+    said = [(i, f"insult group w{i}" if i % 2 else f"kind group w{i}") for i in range(400)]
+    docs = spark.createDataFrame(said, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    one = toxicity.train(docs, labels)
+    assert (one.score([b"insult group"]) > 0.5).all() and (one.score([b"kind group"]) < 0.5).all()
+    again = toxicity.train(docs.unionByName(docs).repartition(5), labels.unionByName(labels))
+    assert np.array_equal(one.used, again.used) and np.allclose(one.w, again.w) and np.allclose(one.v, again.v)
+    few = toxicity.train(docs, labels, most_pairs=1000)
+    assert not np.allclose(few.w, one.w)  # learned from fewer rows
+
+
+def test_without_toxic_keeps_rows_below_the_threshold(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    machine = toxicity.train(docs, labels)
+    want = [r for r in docs.collect() if machine.score([(r.text or "").encode()])[0] < 0.5]
+    got = toxicity.without_toxic(docs, machine)
+    assert got.schema == docs.schema and sorted(map(str, got.collect())) == sorted(map(str, want))
+    assert toxicity.without_toxic(docs.limit(0), machine).count() == 0
+
+
 def test_toxicity_without_labels(spark):
     docs = docs_of(spark, ODD, score=1.0, y=2.0)
     none = spark.createDataFrame([], "doc_id long, toxic int")
