@@ -12,8 +12,10 @@ Shards instead of one broadcast tree: a tree over all fingerprints grows with th
 searches (measured figures are in the README). A shard is a task's own tree.
 
 ``bands`` bands of one word each at radius below ``bands`` lose nothing (pigeonhole). Shards of over ``hot``
-members are dealt anew by sub-bands of the other bits, with the same guarantee. With more words the bands
-find pairs up to a similarity with a stated probability (``plan``), except sets of so few shingles that a near copy
+members are dealt anew by sub-bands of the other bits, with the same guarantee. What is still over ``hot``, of one word or many, is
+divided by ``spread``: members near one chosen pivot are linked to it, and all pairs that this leaves open are dealt as pairs of blocks.
+With more words the bands
+find pairs up to a similarity with a stated probability (``plan``, the same for every number of documents), except sets of so few shingles that a near copy
 is the set less one of them (``small``): these are joined by sums of their hashes, and none is missed. ``near_deduplicated``
 takes what both link as candidates, and links by the exact Jaccard similarity of the shingle sets (``verified``).
 
@@ -31,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import written
@@ -39,7 +41,13 @@ from ._text import byte_list, chunks, mix
 
 SEED = 42
 HOT = 4096
-SLICE = 4096
+#: Pairs of a query and a member that a search holds at once.
+SLICE = 1 << 21
+#: Members of a large shard that are tried as its pivot.
+PIVOTS = 8
+#: Bits of a band and words that a tree compares, of fingerprints of many words.
+BAND_BITS = 16
+TREE = 3
 BLOCK_BYTES = 4 << 20
 SUMS = 0x5EED
 
@@ -58,6 +66,21 @@ def hashed(said: Iterable[bytes]) -> np.ndarray:
     return np.array([digest(s, SEED) for s in said], "<u8")
 
 
+def majority(h: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A word for each span of h (none is empty): bits that over half of the span's hashes have.
+
+    Every eighth bit of a hash is in a byte of its own, so sums of up to 255 hashes count eight bits at once.
+    """
+    spans = -(-sizes // 255)
+    lead = np.cumsum(spans) - spans
+    start = np.repeat(first, spans) + 255 * (np.arange(spans.sum()) - np.repeat(lead, spans))
+    ones = np.empty((len(sizes), 8, 8), np.int32)
+    for k in range(8):
+        part = np.add.reduceat((h >> np.uint64(k)) & np.uint64(0x0101010101010101), start).view(np.uint8).reshape(-1, 8)
+        ones[:, :, k] = part if len(part) == len(sizes) else np.add.reduceat(part, lead, axis=0, dtype=np.int32)
+    return np.packbits(2 * ones.reshape(-1, 64) > sizes[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+
+
 def fingerprint(texts: list[bytes], k: int = 3, words: int = 1, distinct: bool = False, most: int = 0, sums: dict[int, np.ndarray] | None = None) -> np.ndarray:
     """A row of uint64 words for each text.
 
@@ -79,10 +102,7 @@ def fingerprint(texts: list[bytes], k: int = 3, words: int = 1, distinct: bool =
                     own = mixed[at : at + sizes[i]]
                     sums[a + i] = own.sum() - np.r_[np.uint64(0), own]
         for w in range(words):
-            h = mix(base, w) if w else base
-            bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
-            out[a + some, w] = np.packbits(2 * ones > sizes[some, None], axis=1, bitorder="little").view("<u8")[:, 0]
+            out[a + some, w] = majority(mix(base, w) if w else base, first, sizes[some])
     return out
 
 
@@ -141,9 +161,12 @@ class Forest:
         self.child, self.key = child[order], key[order]
 
     def links(self, radius: int):
-        """Yields (query, found) pairs within radius, query > found, for slices of queries."""
-        for s in range(0, len(self.fp), SLICE):
-            q = np.arange(s, min(s + SLICE, len(self.fp)))
+        """Yields (query, found) pairs within radius, query > found, for slices of queries of about ``SLICE`` pairs."""
+        size = np.bincount(self.root, minlength=len(self.fp))[self.root] if len(self.fp) else np.zeros(0, np.int64)
+        piece = np.cumsum(size) // SLICE
+        cuts = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1], True]) if len(piece) else np.zeros(0, np.int64)
+        for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+            q = np.arange(start, end)
             node = self.root[q]
             while len(q):
                 nq, nn = [], []
@@ -180,18 +203,49 @@ class Forest:
         return label
 
 
-def linked(distinct: DataFrame, words: int, band_bits: int, radius: int, hot: int = HOT) -> DataFrame:
-    """(u, v): each member of a shard, with the key of the smallest member of its component there, where that is another.
+def apart(fp: Column, other: Column, words: int) -> Column:
+    """Differing bits."""
+    return sum((F.bit_count(fp[w].bitwiseXOR(other[w])) for w in range(words)), F.lit(0))
+
 
-    distinct: key (long) and fp (array of long), one row for each fingerprint.
+def spread(base: DataFrame, radius: int, words: int, hot: int) -> tuple[DataFrame, DataFrame | None]:
+    """base (key, fp, shard) with no shard of over ``hot`` members, and links that this has found; nothing is lost.
+
+    Of each larger shard a few members are tried as pivot, and the one with most members within the radius is taken. These are one
+    component, by links to the pivot. All other pairs of the shard are one of the rest with one of the rest, or with one near the
+    pivot: both kinds are dealt as pairs of blocks. A shard that one group of copies fills so costs about its members, not their square.
+    """
+    large = written(base.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("shard"), "large")
+    if large.isEmpty():
+        return base, None
+    held = written(base.join(large, "shard", "left_semi"), "hot")
+    tried = F.array(*[F.min(F.struct(F.xxhash64("key", F.lit(i)).alias("turn"), F.col("key").alias("pivot"), F.col("fp").alias("at")))  for i in range(PIVOTS)])
+    tried = written(held.groupBy("shard").agg(tried.alias("tried")), "tried")
+    met = held.join(tried, "shard").select("shard", F.posexplode(F.transform("tried", lambda t: (apart(F.col("fp"), t["at"], words) <= radius).cast("long"))).alias("i", "near"))
+    best = met.groupBy("shard", "i").agg(F.sum("near").alias("near"), F.count("*").alias("n")).groupBy("shard").agg(F.max(F.struct("near", "i", "n")).alias("best"))
+    half = max(1, hot // 2)
+    blocks = lambda n: F.ceil(n / half).cast("int")
+    best = best.join(tried, "shard").select("shard", F.col("tried")[F.col("best.i")].alias("p"), blocks(F.col("best.near")).alias("near_blocks"), blocks(F.col("best.n") - F.col("best.near")).alias("rest_blocks"))
+    told = held.join(written(best, "pivots"), "shard").withColumn("near", apart(F.col("fp"), F.col("p.at"), words) <= radius)
+    told = written(told.select("key", "fp", "shard", "near", "p.pivot", "rest_blocks", "near_blocks", F.pmod(F.xxhash64("key", F.lit("block")), F.when(F.col("near"), F.col("near_blocks")).otherwise(F.col("rest_blocks"))).cast("int").alias("b")), "told")
+    to_rest = F.when(F.col("rest_blocks") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("rest_blocks"), F.lit(1)) - 1), lambda j: F.when(F.col("near"), F.struct(F.lit(1).alias("kind"), F.col("b").alias("i"), j.alias("j"))).otherwise(F.struct(F.lit(0).alias("kind"), F.least("b", j).alias("i"), F.greatest("b", j).alias("j")))))
+    to_near = F.when(~F.col("near") & (F.col("near_blocks") > 0), F.transform(F.sequence(F.lit(0), F.greatest(F.col("near_blocks"), F.lit(1)) - 1), lambda i: F.struct(F.lit(1).alias("kind"), i.alias("i"), F.col("b").alias("j"))))
+    none = F.expr("cast(array() as array<struct<kind:int,i:int,j:int>>)")
+    dealt = told.select("key", "fp", "shard", F.explode(F.concat(F.coalesce(to_rest, none), F.coalesce(to_near, none))).alias("g")).select("key", "fp", F.xxhash64("shard", "g.kind", "g.i", "g.j").alias("shard"))
+    return base.join(large, "shard", "left_anti").select("key", "fp", "shard").unionByName(dealt), told.where("near and key <> pivot").select(F.greatest("key", "pivot").alias("u"), F.least("key", "pivot").alias("v"))
+
+
+def linked(distinct: DataFrame, words: int, band_bits: int, radius: int, tree: int = 1, hot: int = HOT) -> DataFrame:
+    """(u, v): members of one component of a shard, as stars to its member of the smallest key.
+
+    distinct: key (long) and fp (array of long), one row for each fingerprint; trees compare the first ``tree`` words.
     """
     per = 64 // band_bits
     mask = (1 << band_bits) - 1
-    base = distinct.select("key", "fp", F.explode(F.array(*[F.array(F.lit(w * per + b), F.shiftrightunsigned(F.col("fp")[w], b * band_bits).bitwiseAND(F.lit(mask)).cast("int")) for w in range(words) for b in range(per)])).alias("shard"))
+    base = distinct.select("key", F.slice("fp", 1, tree).alias("fp"), F.explode(F.array(*[F.array(F.lit(w * per + b), F.shiftrightunsigned(F.col("fp")[w], b * band_bits).bitwiseAND(F.lit(mask)).cast("int")) for w in range(words) for b in range(per)])).alias("shard"))
     base = base.select("key", "fp", F.xxhash64("shard").alias("shard"), F.col("shard")[0].alias("band"))
-    exact = words == 1 and radius < per
-    if exact:
-        large = base.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("shard", F.lit(True).alias("large"))
+    if words == 1 and radius < per:
+        large = written(base.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("shard", F.lit(True).alias("large")), "large")
         dealt = base.join(large, "shard", "left")
         # the other bits, closed up, in radius + 1 parts: two fingerprints that agree in the band agree in one of them
         fp, at = F.col("fp")[0], (F.col("band") * band_bits).cast("int")
@@ -202,6 +256,7 @@ def linked(distinct: DataFrame, words: int, band_bits: int, radius: int, hot: in
         sub = F.array(*[F.xxhash64("shard", F.lit(k), F.shiftrightunsigned(F.col("rest"), k * part).bitwiseAND(F.lit((1 << part) - 1) if k < radius else F.lit(-1).cast("long"))) for k in range(radius + 1)])
         dealt = dealt.withColumn("rest", rest)
         base = dealt.select("key", "fp", F.explode(F.when(F.col("large"), sub).otherwise(F.array("shard"))).alias("shard"))
+    base, found = spread(base.select("key", "fp", "shard"), radius, tree, hot)
     out = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches):
@@ -215,8 +270,8 @@ def linked(distinct: DataFrame, words: int, band_bits: int, radius: int, hot: in
         for batch in batches:
             if not batch.num_rows:
                 continue
-            fp = batch.column(1).flatten().to_numpy().view(np.uint64).reshape(-1, words)
-            held.append((batch.column(0).to_numpy(), fp, batch.column(2).to_numpy()))
+            fp = np.stack([batch.column(2 + w).to_numpy().view(np.uint64) for w in range(tree)], 1)
+            held.append((batch.column(0).to_numpy(), fp, batch.column(1).to_numpy()))
             if held[-1][2][-1] == held[0][2][0] or sum(len(x[0]) for x in held) < 20_000:
                 continue
             key, fp, shard = (np.concatenate([x[i] for x in held]) for i in range(3))
@@ -229,10 +284,11 @@ def linked(distinct: DataFrame, words: int, band_bits: int, radius: int, hot: in
             yield solve(*(np.concatenate([x[i] for x in held]) for i in range(3)))
 
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return base.select("key", "fp", "shard").repartition(parts, "shard").sortWithinPartitions("shard", "key").mapInArrow(run, "u long, v long").distinct()
+    links = base.select("key", "shard", *[F.col("fp")[w].alias(f"w{w}") for w in range(tree)]).repartition(parts, "shard").sortWithinPartitions("shard", "key").mapInArrow(run, "u long, v long")
+    return (links.unionByName(found) if found is not None else links).distinct()
 
 
-def stars(edges: DataFrame, rounds: int = 30) -> DataFrame:
+def stars(edges: DataFrame) -> DataFrame:
     """(u, v): v is the smallest vertex of u's component, for all vertices but the smallest themselves. edges: (u, v) in any order.
 
     The minima are written before they are joined: a join with an aggregate keeps the aggregate's partitions, and all edges of a
@@ -240,7 +296,7 @@ def stars(edges: DataFrame, rounds: int = 30) -> DataFrame:
     """
     now = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
     before = None
-    for _ in range(rounds):
+    while True:  # settles after steps in the order of the square of the logarithm of a component's size
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before or not mark[0]:
             return now
@@ -252,7 +308,6 @@ def stars(edges: DataFrame, rounds: int = 30) -> DataFrame:
         least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         now = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-    raise RuntimeError("components did not settle")
 
 
 def members(star: DataFrame) -> DataFrame:
@@ -261,10 +316,13 @@ def members(star: DataFrame) -> DataFrame:
 
 
 def least_of(one: DataFrame, star: DataFrame) -> DataFrame:
-    """(key, component_id): the smallest ``first`` in each key's component. Vertices without a link join nothing on the root."""
+    """(key, component_id): the smallest ``first`` in each key's component. Vertices without a link join nothing on the root.
+
+    The minima are written before they are joined, so that Spark can split the rows of a root that a large share of them has.
+    """
     placed = written(one.join(members(star), "key", "left"), "placed")
     linked_ = placed.where("root is not null")
-    least = linked_.groupBy("root").agg(F.min("first").alias("component_id"))
+    least = written(linked_.groupBy("root").agg(F.min("first").alias("component_id")), "least")
     return placed.where("root is null").select("key", F.col("first").alias("component_id")).unionByName(linked_.join(least, "root").select("key", "component_id"))
 
 
@@ -325,17 +383,16 @@ def worst(similarity: float, sizes: int = 200) -> float:
     return out
 
 
-def plan(n: int, similarity: float = 0.8, recall: float = 0.99) -> tuple[int, int, int]:
-    """(words, band_bits, radius) for n fingerprints: bands wide enough for small shards, and as many as the recall at that Jaccard similarity takes.
+def plan(similarity: float = 0.8, recall: float = 0.99, band_bits: int = BAND_BITS, tree: int = TREE) -> tuple[int, int]:
+    """(words, radius): as many words as the recall at that Jaccard similarity takes with bands of ``band_bits`` bits.
 
-    The radius is three standard errors beyond the expected distance of the pair of ``worst``, which 0.998 of such pairs are
+    The radius, over the first ``tree`` words, is three standard errors beyond the expected distance of the pair of ``worst``, which 0.998 of such pairs are
     within; to agree in a band and to be near favour each other, so the product of both chances is a lower bound of the recall.
     """
     differ = worst(similarity)
-    bits = min(32, max(12, math.ceil(math.log2(max(n, 2))) - 8))
-    bands = math.log(1 - recall / 0.998) / math.log(1 - (1 - differ) ** bits)
-    words = max(4, math.ceil(bands / (64 // bits)))
-    return words, bits, round(64 * words * differ + 3 * math.sqrt(64 * words * differ * (1 - differ)))
+    bands = math.log(1 - recall / 0.998) / math.log(1 - (1 - differ) ** band_bits)
+    words = max(tree, math.ceil(bands / (64 // band_bits)))
+    return words, round(64 * tree * differ + 3 * math.sqrt(64 * tree * differ * (1 - differ)))
 
 
 def similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:
@@ -431,17 +488,18 @@ def text_hash(text_col: str):
     return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, recall: float = 0.99, band_bits: int = BAND_BITS) -> DataFrame:
     """doc_id and component_id of each row: texts of exact Jaccard similarity ``similarity`` or more are linked.
 
-    Candidates come from the trees, with the recall of ``plan``, and all pairs of ``small`` sets from ``less_one``; texts of one fingerprint (hundreds of equal bits) count as equal.
+    Candidates come from the trees, with the recall of ``plan``, and all pairs of ``small`` sets from ``less_one``; texts of one fingerprint (over a thousand equal bits) count as equal.
+    ``band_bits`` trades fewer members of a shard for more bands; the recall is the same.
     """
-    words, bits, radius = plan(docs.count(), similarity)
+    words, radius = plan(similarity, recall, band_bits)
     made = fingerprints(docs.withColumn("__tie", text_hash(text_col)), id_col, text_col, k, words, True, "__tie", small(similarity))
     rows = written(made.withColumn("key", F.xxhash64("fp")).withColumnRenamed("__tie", "tie"), "simhash")
     one = rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("rep"), F.first("fp").alias("fp"), F.first("sums").alias("sums"))
     one = written(one.select("key", "fp", "sums", "first", "rep.doc_id", "rep.tie"), "distinct")
-    member = members(stars(linked(one.select("key", "fp"), words, bits, radius).unionByName(less_one(one))))
+    member = members(stars(linked(one.select("key", "fp"), words, band_bits, radius, TREE).unionByName(less_one(one))))
     star = stars(verified(docs, one.join(member, "key").select("key", "root", "doc_id", "tie"), id_col, text_col, k, similarity))
     least = least_of(one.select("key", "first"), star)
     return rows.select("doc_id", "key").join(least, "key").select("doc_id", "component_id")

@@ -496,11 +496,37 @@ def test_hot_shards_lose_nothing(spark):
     fps = sorted(fps)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     df = spark.createDataFrame([(s, [s]) for s in signed], "key long, fp array<long>")
-    star = simhash.stars(simhash.linked(df, 1, 16, 3, hot=5))
-    root = {s: s for s in signed} | {r.u: r.v for r in star.collect()}
     want = brute_components(dict(enumerate(fps)))
     groups = lambda m: sorted(sorted(g) for g in {v: [k for k in m if m[k] == v] for v in set(m.values())}.values())
-    assert groups({i: root[s] for i, s in enumerate(signed)}) == groups(want)
+    for hot in (5, 40, 4096):
+        star = simhash.stars(simhash.linked(df, 1, 16, 3, hot=hot))
+        root = {s: s for s in signed} | {r.u: r.v for r in star.collect()}
+        assert groups({i: root[s] for i, s in enumerate(signed)}) == groups(want)
+
+
+def test_large_shards_are_divided_and_lose_nothing(spark):
+    rng = np.random.default_rng(9)
+    near = [sum(1 << int(k) for k in rng.choice(64, rng.integers(0, 4), replace=False)) for _ in range(300)]  # copies of zero
+    fps = sorted({*near, *(int(x) >> 1 for x in rng.integers(0, 1 << 63, 40, dtype=np.uint64)), *(f ^ 0b11 << 60 for f in near[:30])})
+    df = spark.createDataFrame([(i, [f - (1 << 64) if f >> 63 else f], 7) for i, f in enumerate(fps)], "key long, fp array<long>, shard long")
+    dealt, found = simhash.spread(df, 3, 1, 64)
+    assert dealt.groupBy("shard").count().agg(F.max("count")).first()[0] <= 80  # blocks by hash, of 64 for two on average
+    pairs = {(r.a, r.b) for r in dealt.alias("x").join(dealt.alias("y"), "shard").where("x.key < y.key").select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).collect()}
+    root = {i: i for i in range(len(fps))}
+    for u, v in [*((r.u, r.v) for r in found.collect()), *((a, b) for a, b in pairs if (fps[a] ^ fps[b]).bit_count() <= 3)]:
+        a, b = sorted((root[u], root[v]))
+        root = {k: a if x == b else x for k, x in root.items()}
+    assert root == brute_components(dict(enumerate(fps)))
+    assert simhash.spread(df.limit(5), 3, 1, 64)[1] is None
+
+
+def test_bits_of_fingerprints_are_the_majority():
+    rng = np.random.default_rng(4)
+    sizes = np.array([1, 2, 255, 256, 700, 3])
+    h = rng.integers(0, 1 << 64, sizes.sum(), dtype=np.uint64)
+    first = np.cumsum(sizes) - sizes
+    want = [sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in h[a : a + n]) > n) for a, n in zip(first.tolist(), sizes.tolist(), strict=True)]
+    assert simhash.majority(h, first, sizes).tolist() == want
 
 
 def test_forest_finds_all_within_the_radius():
@@ -568,10 +594,11 @@ def test_near_copies_of_few_shingles_are_all_found(spark):
     assert got == brute_near(texts) and len(set(got)) == pairs
 
 
-@pytest.mark.parametrize("a,b,both", [(13, 14, 12), (12, 15, 12), (9, 9, 8), (8, 10, 8), (200, 200, 178)])
-def test_recall_of_the_plan(a, b, both):
+@pytest.mark.parametrize("bits", [12, 16, 20, 24])
+@pytest.mark.parametrize("a,b,both", [(13, 14, 12), (9, 9, 8), (200, 200, 178)])
+def test_recall_of_the_plan(a, b, both, bits):
     rng = np.random.default_rng(6)
-    words, bits, radius = simhash.plan(1000)
+    words, radius = simhash.plan(band_bits=bits)
     texts = [" ".join(map(str, own)) for h in rng.integers(0, 10**12, (400, a + b - both)) for own in (h[:a], h[-b:])]
     fp = simhash.fingerprint([t.encode() for t in texts], 1, words)
     x, y = fp[::2], fp[1::2]
@@ -579,7 +606,7 @@ def test_recall_of_the_plan(a, b, both):
     for at in range(64 // bits):
         band |= ((x ^ y) >> np.uint64(at * bits) & np.uint64((1 << bits) - 1) == 0).any(1)
     assert abs(np.bitwise_count(x ^ y).mean() / 64 - simhash.differing(a, b, both)) < 0.005
-    assert (band & (simhash.distance(x, y) <= radius)).mean() >= 0.98  # 0.99 and over, less the error of 400 pairs
+    assert (band & (simhash.distance(x[:, : simhash.TREE], y[:, : simhash.TREE]) <= radius)).mean() >= 0.98  # 0.99 and over, less the error of 400 pairs
 
 
 def test_large_candidate_components_are_split_and_lose_nothing(spark):
