@@ -4,8 +4,9 @@ Archives are written by Spark's text writer (records end in CRLF CRLF, files are
 hold at most ``records`` records of at most ``segment`` bytes each), so any file system that Spark knows
 will do. A block longer than ``segment`` bytes becomes a response record and continuation records with
 WARC-Segment-Origin-ID, WARC-Segment-Number and, on the last, WARC-Segment-Total-Length. Cuts, of chunks and
-of segments, fall between characters. Readers frame records by Content-Length alone; only segments of long
-blocks are shuffled (by origin), so a group is one page's block. A segment that is missing, or a total
+of segments, fall between characters. Readers frame records by Content-Length alone. Segments are dealt by origin and by
+the copy of it that they are of (rows that repeat have one origin, but each write has its own WARC-Segment-Copy), sorted by number, and
+joined as they stream by: no task holds more than one page's block. A segment that is missing, or a total
 length that is wrong, is an error.
 
 Of records with equal payloads of at least ``least`` bytes, that of the smallest page is the response, the
@@ -24,6 +25,7 @@ import re
 import uuid
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,14 +81,14 @@ def record_id(page: object, digest: str) -> str:
     return f"<urn:uuid:{uuid.UUID(hashlib.md5(f'{page} {digest}'.encode()).hexdigest())}>"
 
 
-def records(page: int | None, url: str | None, html: bytes, digest: str, first: int | None, date: str = "2024-01-01T00:00:00Z", segment: int = SEGMENT) -> list[bytes]:
-    """The records of a page. first: the page that it revisits."""
+def records(page: int | None, url: str | None, html: bytes, digest: str, first: int | None, date: str = "2024-01-01T00:00:00Z", segment: int = SEGMENT, chunk: int = CHUNK, copy: str = "") -> list[bytes]:
+    """The records of a page. first: the page that it revisits; copy: tells the segments of rows that repeat apart."""
     own = record_id(page, digest)
     shared = [f"WARC-Date: {date}"] + ([f"WARC-Target-URI: {re.sub(r'[\x00-\x20\x7f]', lambda m: f'%{ord(m[0]):02X}', url)}"] if url else []) + ([f"WARC-Page-ID: {page}"] if page is not None else [])
     if first is not None:
         head = ["WARC-Type: revisit", f"WARC-Record-ID: {own}", *shared, f"WARC-Refers-To: {record_id(first, digest)}", f"WARC-Profile: {_PROFILE}", f"WARC-Payload-Digest: sha256:{digest}"]
         return [_record(head, _HTTP)]
-    parts = cut(block := _HTTP + chunked(html), segment)
+    parts = cut(block := _HTTP + chunked(html, chunk), segment)
     out = []
     for i, part in enumerate(parts):
         if not i:
@@ -95,6 +97,8 @@ def records(page: int | None, url: str | None, html: bytes, digest: str, first:
             head = ["WARC-Type: continuation", f"WARC-Record-ID: {record_id(page, f'{digest} {i}')}", *shared, f"WARC-Segment-Origin-ID: {own}"]
         if len(parts) > 1:
             head.append(f"WARC-Segment-Number: {i + 1}")
+            if copy:
+                head.append(f"WARC-Segment-Copy: {copy}")
             if i + 1 == len(parts):
                 head.append(f"WARC-Segment-Total-Length: {len(block)}")
         out.append(_record(head, part))
@@ -123,7 +127,7 @@ def parsed(stream) -> list[tuple[dict[str, str], bytes]]:
         yield head, block
 
 
-def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST, segment: int = SEGMENT, per_file: int = RECORDS, most_firsts: int = MOST_FIRSTS) -> None:
+def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST, segment: int = SEGMENT, chunk: int = CHUNK, per_file: int = RECORDS, most_firsts: int = MOST_FIRSTS) -> None:
     """Archives of all pages, as gzip files below path.
 
     Pages that others revisit are broadcast while they number at most ``most_firsts`` (counted), else joined.
@@ -136,10 +140,12 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     rows = rows.withColumn("first", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
 
     def run(batches):
+        part, n = TaskContext.get().partitionId(), 0
         for batch in batches:
             out = []
             for page, url, html, digest, first in zip(*(batch.column(i) for i in range(5)), strict=True):
-                out += [r[:-2] for r in records(page.as_py(), url.as_py(), html.as_py(), digest.as_py(), first.as_py(), segment=segment)]
+                out += [r[:-2] for r in records(page.as_py(), url.as_py(), html.as_py(), digest.as_py(), first.as_py(), segment=segment, chunk=chunk, copy=f"{part}-{n}")]
+                n += 1
                 if len(out) >= 1000:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
                     out = []
@@ -149,8 +155,8 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     made.select(F.col("value").cast("string")).write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
-RECORD = "record string, kind string, page_id long, refers string, digest string, segment int, total long, payload_bytes long, block binary"
-_RECORD = pa.schema([("record", pa.string()), ("kind", pa.string()), ("page_id", pa.int64()), ("refers", pa.string()), ("digest", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("payload_bytes", pa.int64()), ("block", pa.binary())])
+RECORD = "record string, copy string, kind string, page_id long, refers string, digest string, segment int, total long, payload_bytes long, block binary"
+_RECORD = pa.schema([("record", pa.string()), ("copy", pa.string()), ("kind", pa.string()), ("page_id", pa.int64()), ("refers", pa.string()), ("digest", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("payload_bytes", pa.int64()), ("block", pa.binary())])
 
 
 def read(spark: SparkSession, path: str, keep_payload: bool = False) -> DataFrame:
@@ -164,6 +170,7 @@ def read(spark: SparkSession, path: str, keep_payload: bool = False) -> DataFram
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _RECORD, strict=True)], schema=_RECORD)
 
     def run(batches):
+        n = 0
         for batch in batches:
             for content in batch.column(0):
                 rows, held = [], 0
@@ -177,36 +184,61 @@ def read(spark: SparkSession, path: str, keep_payload: bool = False) -> DataFram
                     page = head.get("warc-page-id")
                     digest = head.get("warc-payload-digest", "").removeprefix("sha256:")
                     name = head.get("warc-segment-origin-id") or head["warc-record-id"]
-                    row = [name, kind, int(page) if page else None, head.get("warc-refers-to"), digest, int(number) if number else None, int(head["warc-segment-total-length"]) if "warc-segment-total-length" in head else None, None, block]
+                    n += 1  # whole records go to any task
+                    row = [name, head.get("warc-segment-copy", "") if number else str(n), kind, int(page) if page else None, head.get("warc-refers-to"), digest, int(number) if number else None, int(head["warc-segment-total-length"]) if "warc-segment-total-length" in head else None, None, block]
                     if kind == "revisit":
-                        row[8] = None
+                        row[9] = None
                     elif not number:
                         said = payload(block)
-                        row[4:9] = [checked(said, digest), None, None, len(said), said if keep_payload else None]
+                        row[5:10] = [checked(said, digest), None, None, len(said), said if keep_payload else None]
                     rows.append(row)
-                    held += len(row[8] or b"")
+                    held += len(row[9] or b"")
                     if len(rows) >= 2000 or held > 1 << 23:
                         yield table(rows)
                         rows, held = [], 0
                 if rows:
                     yield table(rows)
 
-    files = spark.read.format("binaryFile").load(path).select("content")
-    rows = written(files.mapInArrow(run, RECORD), "records")
-
-    def joined(key, group):
-        """A page's segments; those of rows that repeat come as often."""
-        segments = sorted(zip(*(group.column(n).to_pylist() for n in ("segment", "total", "page_id", "digest", "block")), strict=True), key=lambda s: s[0])
+    def joined(name, segments):
+        """A page's record from its segments; those that come several times (of rows that repeat, without a copy's name) make as many."""
+        segments.sort(key=lambda s: s[0])
         times = sum(s[0] == 1 for s in segments)
         own = segments[::times] if times else segments
         block = b"".join(s[4] for s in own)
-        if [s[0] for s in own] != list(range(1, len(own) + 1)) or own[-1][1] != len(block):
-            raise ValueError(f"segments of {key[0]} are missing or have another total length")
+        if len(segments) != times * len(own) or [s[0] for s in own] != list(range(1, len(own) + 1)) or own[-1][1] != len(block):
+            raise ValueError(f"segments of {name} are missing or have another total length")
         said = payload(block)
-        return pa.Table.from_batches([table([[key[0].as_py(), "response", own[0][2], None, checked(said, own[0][3]), None, None, len(said), said if keep_payload else None]] * times)])
+        return [[name, "", "response", own[0][2], None, checked(said, own[0][3]), None, None, len(said), said if keep_payload else None]] * times
 
-    whole = rows.where("kind = 'response' and segment is null").unionByName(rows.where("segment is not null").groupBy("record").applyInArrow(joined, RECORD))
+    def reassembled(batches):
+        key, segments, rows, held = None, [], [], 0
+        for batch in batches:
+            blocks = (x.as_py() for x in batch.column(9))  # one at a time
+            for row in zip(*(c.to_pylist() for c in batch.columns[:9]), blocks, strict=True):
+                if segments and row[:2] != key:
+                    rows += joined(key[0], segments)
+                    segments = []
+                if row[6] is None:
+                    rows.append(row)
+                else:
+                    key = row[:2]
+                    segments.append((row[6], row[7], row[3], row[5], row[9]))
+                held += len(row[9] or b"") if keep_payload else 0
+                if len(rows) >= 2000 or held > 1 << 23:
+                    yield table(rows)
+                    rows, held = [], 0
+        if segments:
+            rows += joined(key[0], segments)
+        if rows:
+            yield table(rows)
+
+    files = spark.read.format("binaryFile").load(path).select("content")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = files.mapInArrow(run, RECORD).repartition(parts, "record", "copy").sortWithinPartitions("record", "copy", "segment")
+    rows = written(dealt.mapInArrow(reassembled, RECORD), "records")
+    whole = rows.where("kind = 'response'")
     known = whole.groupBy("record").agg(F.first("page_id").alias("refers_to"), F.first("payload_bytes").alias("bytes"), F.first("digest").alias("known"), *([F.first("block").alias("payload")] if keep_payload else []))
+    known = written(known, "known")  # so that Spark can split the revisits of a page that a large share of all rows repeats
     also = ["payload"] if keep_payload else []
     again = rows.where("kind = 'revisit'").join(known.withColumnRenamed("record", "refers"), "refers", "left")
     bad = F.when(F.col("known").eqNullSafe(F.col("digest")), F.col("bytes")).otherwise(F.raise_error(F.lit("a revisit's response is missing or differs")).cast("long"))
@@ -223,8 +255,9 @@ def checked(said: bytes, digest: str) -> str:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of 2 KB and chunks of 512 bytes, so that most pages are put together from continuation records and several chunks."""
     path = fresh(spark, "warc")
-    write(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+    write(spark.read.parquet(f"{sf_dir}/pages.parquet"), path, segment=2048, chunk=512)
     return read(spark, path)
 
 

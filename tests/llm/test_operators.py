@@ -1,5 +1,6 @@
 """The operators against brute force, round trips and held-out rows; and nulls, empty and long texts, ties, repeats, empty tables, clashing columns."""
 
+import gzip
 import hashlib
 import itertools
 import re
@@ -120,6 +121,19 @@ def test_a_lost_segment_is_an_error(spark, tmp_path):
     assert warc.read(spark, str(tmp_path)).first().payload_bytes == 5000
 
 
+def test_rows_that_repeat_a_long_page_are_told_apart(spark, tmp_path):
+    long = [f"<p>{i}</p>" * 400 for i in range(3)]
+    said = [(1, "u", long[0])] * 40 + [(None, "u", long[1])] * 3 + [(2, "u", long[2]), (3, "u", long[2]), (4, "u", "short")]
+    pages = spark.createDataFrame(said, "page_id long, url string, html string").repartition(6)
+    warc.write(pages, str(tmp_path / "w"), segment=500, chunk=64)
+    got = warc.read(spark, str(tmp_path / "w"), keep_payload=True).collect()
+    assert sorted((repr(r.page_id), bytes(r.payload).decode(), r.record_type) for r in got) == sorted((repr(i), h, "revisit" if i == 3 else "response") for i, _, h in said)
+    archives = b"".join(gzip.decompress(f.read_bytes()) for f in (tmp_path / "w").glob("*.gz"))
+    assert archives.count(b"WARC-Type: continuation") > 44 * 5 and len(set(re.findall(rb"WARC-Segment-Copy: (.*)\r", archives))) == 44
+    warc.write(pages.limit(0), str(tmp_path / "none"))
+    assert warc.read(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_chunked_framing():
     data = "añb中".encode() * 500
     for size in (4, 7, 100, 10_000):
