@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import re
 import zlib
+from concurrent.futures import ThreadPoolExecutor
 from collections import Counter
 
 import duckdb
@@ -222,6 +223,62 @@ def test_compaction_keeps_all_rows_and_versions(spark, tmp_path):
     assert table.read().count() == 50
 
 
+def test_merged_files_have_about_the_target_size(spark, tmp_path):
+    table = sharding.Table(spark, str(tmp_path / "t"), fanout=4, target=200_000, smallest=1 << 14)
+    for k in range(8):
+        table.append(spark.range(k * 20_000, k * 20_000 + 20_000).select("id", F.xxhash64("id").alias("x"), F.xxhash64("id", F.lit(1)).alias("y")).repartition(3))
+    (run,) = table.compact().runs
+    sizes = [f.stat().st_size for f in (tmp_path / "t/runs" / run.name).glob("part-*.parquet")]
+    assert run.rows == 160_000 and len(sizes) <= round(run.bytes / 200_000) + 1 and max(sizes) <= 320_000
+    small = sharding.Table(spark, str(tmp_path / "s"), smallest=1 << 20)
+    for k in range(4):
+        small.append(spark.range(k * 10, k * 10 + 10).repartition(3))
+    (run,) = small.compact().runs
+    assert len(list((tmp_path / "s/runs" / run.name).glob("part-*.parquet"))) == 1
+
+
+def test_of_writers_of_one_version_one_wins(spark, tmp_path):
+    table = sharding.Table(spark, str(tmp_path / "t"))
+    table.append(spark.range(3))
+    before = table.manifest()
+    with ThreadPoolExecutor(8) as pool:
+        made = list(pool.map(lambda k: sharding.Table(spark, str(tmp_path / "t")).commit(before, [*before.runs, sharding.Run(f"r{k}", 1, 1)]), range(8)))
+    (won,) = [m for m in made if m]
+    assert table.manifest() == won and won.version == 2
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(lambda k: sharding.Table(spark, str(tmp_path / "u")).append(spark.range(k * 5, k * 5 + 5)), range(6)))
+    assert sorted(r.id for r in sharding.Table(spark, str(tmp_path / "u")).read().collect()) == list(range(30))
+
+
+def test_vacuum_keeps_what_another_writer_has_not_yet_committed(spark, tmp_path):
+    table = sharding.Table(spark, str(tmp_path / "t"), fanout=2, smallest=1 << 20)
+    for k in range(2):
+        table.append(spark.range(k, k + 1))
+    late = table.written(spark.range(5, 6))
+    table.compact()
+    table.vacuum()
+    assert len(list((tmp_path / "t/runs").iterdir())) == 2  # the merged run and the late one
+    table.add(late, spark.range(1).schema)
+    assert sorted(r.id for r in table.read().collect()) == [0, 1, 5]
+    table.written(spark.range(9, 10))
+    table.vacuum(grace=-10)
+    assert len(list((tmp_path / "t/runs").iterdir())) == 2
+
+
+def test_compaction_of_empty_and_odd_tables(spark, tmp_path):
+    with pytest.raises(ValueError, match="nothing"):
+        sharding.Table(spark, str(tmp_path / "n")).read()
+    docs = docs_of(spark, [])
+    docs.write.parquet(str(tmp_path / "e/documents.parquet"))
+    got = sharding.op4_compaction(spark, str(tmp_path / "e"))
+    assert got.columns == ["doc_id", "text_sha256", "lang", "source", "n_chars"] and not got.collect()
+    odd = docs_of(spark, ODD, arrival="x", Arrival_=2)
+    odd = odd.unionByName(odd).withColumn("doc_id", F.when(F.col("doc_id") > 3, F.col("doc_id")))
+    odd.write.parquet(str(tmp_path / "o/documents.parquet"))
+    got = sharding.op4_compaction(spark, str(tmp_path / "o")).collect()
+    assert sorted(r.text_sha256 for r in got) == sorted(2 * [hashlib.sha256((t or "").encode()).hexdigest() for t in ODD])
+
+
 # decontamination
 
 
