@@ -1,10 +1,11 @@
 """Benchmark decontamination: a broadcast set of item windows, scanned over every word window of the documents.
 
 Words are runs of digits, letters a-z (A-Z lowered first) and any character from U+0080. A window is
-``window`` consecutive words of an item; an item with fewer words, but not none, is one window. The hashes
-of all windows are broadcast while they number at most ``block`` (checked); a larger benchmark is scanned
-in blocks of whole items, one pass each, and the passes' hits are merged by a shuffle on the document.
-Every hash hit is verified word by word. Each word inside a verified window is hit.
+``window`` consecutive words of an item; an item with fewer words, but not none, is one window. The windows
+are broadcast if the benchmark has at most about ``block`` words (its bytes are added up first); a larger one is scanned
+in blocks of whole items by hash, one pass over the documents each: the driver holds and broadcasts one block at a time, and the
+passes' hits, written by digest of the text, are joined to the documents. Every hash hit is verified word by word. Each word inside a
+verified window is hit. (A single item is one block, however long it is.)
 
 Cases: null and empty texts have no words and are clean; rows that repeat give repeated results; an empty
 benchmark hits nothing; other columns are never read by the scan.
@@ -13,13 +14,15 @@ benchmark hits nothing; other columns are never read by the scan.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._shared import written
 from ._text import Words, byte_list, chunks, mix
 
 WINDOW = 10
@@ -86,15 +89,74 @@ def scan(texts: list[bytes], index: Index) -> Iterator[tuple[Words, np.ndarray,
         yield w, np.cumsum(mark[:-1]) > 0, items
 
 
-def load_index(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, block: int = BLOCK) -> list[Index]:
-    """The benchmark's windows in blocks of at most about ``block`` words; one block is held on the driver at a time while it is read."""
-    rows = benchmark.select(F.col(id_col).alias("i"), F.col(text_col).cast("binary").alias("t"))
+def recalled(texts: list[bytes], spans: list[list[dict]], items: list[list[str]]) -> Iterator[tuple[Words, np.ndarray, list[set[str]]]]:
+    """As ``scan``, from hits that earlier passes have found."""
+    for a, b in chunks(texts):
+        w = Words(texts[a:b])
+        counts = w.counts()
+        first = np.cumsum(counts) - counts
+        mark = np.zeros(len(w.hash) + 1, np.int32)
+        for d in range(b - a):
+            for x in spans[a + d] or ():
+                mark[first[d] + x["first"]] += 1
+                mark[first[d] + x["after"]] -= 1
+        yield w, np.cumsum(mark[:-1]) > 0, [set(x or ()) for x in items[a:b]]
+
+
+def runs(w: Words, hit: np.ndarray) -> list[list[dict]]:
+    """Runs of hit words of each text, as first word and the word after the last."""
+    counts = w.counts()
+    first = np.cumsum(counts) - counts
+    out: list[list[dict]] = [[] for _ in w.texts]
+    edge = np.diff(np.r_[False, hit, False].astype(np.int8))
+    for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
+        while a < b:  # a run may go on from the end of one text to the start of the next
+            d = int(w.doc[a])
+            end = min(b, int(first[d] + counts[d]))
+            out[d].append({"first": a - int(first[d]), "after": end - int(first[d])})
+            a = end
+    return out
+
+
+SPANS = "array<struct<first:long,after:long>>"
+_SPANS = pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64())]))
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, text_col: str, window: int, block: int) -> tuple[DataFrame, Callable]:
+    """docs and a function that gives what ``scan`` does for a batch of its rows and their texts.
+
+    With more than one block docs has two more columns at its end, __spans and __items.
+    """
+    spark = docs.sparkSession
+    rows = benchmark.select(F.col("item_id").alias("i"), F.col("text").cast("binary").alias("t"))
     size = rows.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = max(1, -(-size // (4 * block)))
     if blocks == 1:
-        return [Index([(r.i, r.t) for r in rows.toLocalIterator()], window)]
-    part = F.pmod(F.xxhash64("i", "t"), F.lit(blocks))
-    return [Index([(r.i, r.t) for r in rows.where(part == k).toLocalIterator()], window) for k in range(blocks)]
+        held = spark.sparkContext.broadcast(Index([(r.i, r.t) for r in rows.toLocalIterator()], window))
+        return docs, lambda batch, texts: scan(texts, held.value)
+    key = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    own, part, found = docs.select(key.alias("key"), F.col(text_col).alias("text")), F.pmod(F.xxhash64("i", "t"), F.lit(blocks)), []
+    for k in range(blocks):
+        held = spark.sparkContext.broadcast(Index([(r.i, r.t) for r in rows.where(part == k).toLocalIterator()], window))
+
+        def run(batches, held=held):
+            for batch in batches:
+                at, keys, spans, items = 0, [], [], []
+                for w, hit, names in scan(byte_list(batch.column(1)), held.value):
+                    for d, own in enumerate(runs(w, hit)):
+                        if own:
+                            keys.append(batch.column(0)[at + d].as_py())
+                            spans.append(own)
+                            items.append(sorted(names[d]))
+                    at += len(w.texts)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))], names=["key", "spans", "items"])
+
+        found.append(written(own.mapInArrow(run, f"key string, spans {SPANS}, items array<string>").dropDuplicates(["key"]), "hits"))
+        held.destroy()
+    every = reduce(DataFrame.unionByName, found).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("__spans"), F.flatten(F.collect_list("items")).alias("__items"))
+    every = written(every, "hits")  # so that Spark can split the rows of a text that a large share of them has
+    joined = docs.withColumn("__key", key).join(every.withColumnRenamed("key", "__key"), "__key", "left").select(*docs.columns, "__spans", "__items")
+    return joined, lambda batch, texts: recalled(texts, batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block: int = BLOCK) -> DataFrame:
@@ -102,39 +164,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     ``hit_spans`` lists runs of hit words as [first word, after the last word).
     """
-    spark = docs.sparkSession
-    indexes = load_index(benchmark, window=window, block=block)
-    held = [spark.sparkContext.broadcast(x) for x in indexes]
-    key = docs.schema[id_col].dataType
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = f"doc_id {key.simpleString()}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit_spans array<struct<first:long,after:long>>"
-    out = pa.schema([("doc_id", pa.int64() if key.simpleString() == "bigint" else pa.int32() if key.simpleString() == "int" else pa.string()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("hit_spans", pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64())])))])
+    base, marks = hits(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), benchmark, "text", window, block)
+    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit_spans {SPANS}"
 
     def run(batches):
         for batch in batches:
-            texts = byte_list(batch.column("text"))
             n_words, n_hit, n_items, sha, spans = [], [], [], [], []
-            parts = [scan(texts, h.value) for h in held]
-            for across in zip(*parts, strict=True):
-                w = across[0][0]
-                hit = np.logical_or.reduce([x[1] for x in across])
-                items = [set().union(*(x[2][d] for x in across)) for d in range(len(w.texts))]
-                counts = w.counts()
-                n_words += counts.tolist()
+            for w, hit, items in marks(batch, byte_list(batch.column(1))):
+                n_words += w.counts().tolist()
                 n_hit += np.bincount(w.doc[hit], minlength=len(w.texts)).tolist()
-                first = np.cumsum(counts) - counts
-                mine: list[list] = [[] for _ in w.texts]
-                edge = np.diff(np.r_[False, hit, False].astype(np.int8))
-                for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
-                    while a < b:  # a run may go on from the end of one text to the start of the next
-                        d = int(w.doc[a])
-                        end = min(b, int(first[d] + counts[d]))
-                        mine[d].append({"first": a - int(first[d]), "after": end - int(first[d])})
-                        a = end
-                spans += mine
+                spans += runs(w, hit)
                 n_items += [len(x) for x in items]
                 sha += [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(out.field("doc_id").type), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(sha, pa.string()), pa.array([x > 0 for x in n_hit], pa.bool_()), pa.array(spans, out.field("hit_spans").type)], schema=out)
+            own = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(sha, pa.string()), pa.array([x > 0 for x in n_hit], pa.bool_()), pa.array(spans, _SPANS)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *own], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans"])
 
     return base.mapInArrow(run, schema)
 
@@ -144,8 +187,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
     Clean documents pass unchanged, byte for byte. ``n_chars``, where there is such a column, follows a cut text.
     """
-    held = [docs.sparkSession.sparkContext.broadcast(x) for x in load_index(benchmark, window=window, block=block)]
-    schema = docs.schema
+    base, marks = hits(docs, benchmark, text_col, window, block)
+    width = len(docs.columns)
 
     def run(batches):
         for batch in batches:
@@ -153,23 +196,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
             texts = byte_list(batch.column(where))
             new: dict[int, bytes | None] = {}
             at = 0
-            for across in zip(*[scan(texts, h.value) for h in held], strict=True):
-                w = across[0][0]
-                hit = np.logical_or.reduce([x[1] for x in across])
+            for w, hit, _ in marks(batch, texts):
                 counts = w.counts()
-                for d in np.unique(w.doc[hit]).tolist():
-                    own = np.flatnonzero(w.doc == d)
-                    flags = hit[own]
-                    if flags.sum() >= drop_from * counts[d]:
+                first = np.cumsum(counts) - counts
+                for d, own in enumerate(runs(w, hit)):
+                    if not own:
+                        continue
+                    if sum(x["after"] - x["first"] for x in own) >= drop_from * counts[d]:
                         new[at + d] = None
                         continue
-                    edge = np.diff(np.r_[False, flags, False].astype(np.int8))
                     text, kept, last = w.texts[d], [], 0
-                    for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
-                        kept.append(text[last : w.start[own[a]] - w.first[d]])
-                        last = w.end[own[b - 1]] - w.first[d]
+                    for x in own:
+                        kept.append(text[last : w.start[first[d] + x["first"]] - w.first[d]])
+                        last = w.end[first[d] + x["after"] - 1] - w.first[d]
                     new[at + d] = b"".join([*kept, text[last:]])
                 at += len(w.texts)
+            batch = pa.RecordBatch.from_arrays(batch.columns[:width], schema=pa.schema(list(batch.schema)[:width]))
             if new:
                 keep = pa.array([new.get(i, b"") is not None for i in range(len(texts))], pa.bool_())
                 cols = list(batch.columns)
@@ -186,7 +228,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                 batch = pa.RecordBatch.from_arrays(cols, schema=batch.schema).filter(keep)
             yield batch
 
-    return docs.mapInArrow(run, schema)
+    return base.mapInArrow(run, docs.schema)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,8 @@ owner-specific and looks live. Wider candidates become spans only if they are ow
 always stay. Only hashes with owner and repository are shuffled, never texts; each task removes
 repeats first, so a value copied a million times costs a row for each task and owner.
 
-The verdicts go back to the rows by a join on the hash of candidates; a value that is in very many rows is
-split by Spark's skew join, as either side of that join has few distinct rows for each value.
+The verdicts go back to the rows by a join on the hash of candidates. They are written first, so that both sides of the join are
+dealt anew and Spark's skew join can split a value that is in very many rows.
 
 Cases: null texts are empty; null owners count as one owner of their own; rows that repeat give repeated
 results but count once; overlapping spans of different kinds are all listed.
@@ -125,11 +125,12 @@ def ownership(found: DataFrame, owner: str = "owner", repo: str = "repo", wide:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: Column | None = None, repo: Column | None = None, wide: int = WIDE) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans (string), live: owner-specific spans [kind, start, end]."""
-    owner = F.col("source").cast("string") if owner is None else owner
-    repo = F.concat_ws("/", F.col("source").cast("string"), F.col("lang").cast("string")) if repo is None else repo
+    col = lambda c: F.col(c).cast("string") if c in docs.columns else F.lit("")
+    owner = col("source") if owner is None else owner
+    repo = F.concat_ws("/", col("source"), col("lang")) if repo is None else repo
     rows = candidates(docs, [F.col(id_col).alias("doc_id"), owner.alias("owner"), repo.alias("repo")], text_col)
     rows = written(rows, "secrets")  # few bytes a row: the texts are scanned once
-    verdict = ownership(rows, wide=wide).where("widely_copied").select("hash", F.lit(True).alias("copied"))
+    verdict = written(ownership(rows, wide=wide).where("widely_copied").select("hash", F.lit(True).alias("copied")), "verdict")
     # rows without candidates, nearly all, need no join
     none = rows.where(F.size("found") == 0).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.lit("").alias("spans"), F.expr("cast(array() as array<struct<kind:string,start:int,end:int>>)").alias("live"))
     some = rows.where(F.size("found") > 0).withColumn("row", F.monotonically_increasing_id())  # read from a written table: stable
@@ -167,6 +168,7 @@ def redact(docs: DataFrame, text_col: str = "text", owner: str = "source", repo:
     schema, rows = docs.schema, docs
     if not small:
         own = found.select("key", F.explode("found.hash").alias("hash")).distinct().join(copied, "hash").groupBy("key").agg(F.collect_set("hash").alias("__copied"))
+        own = written(own, "own")
         rows = docs.withColumn("__key", key).join(own.withColumnRenamed("key", "__key"), "__key", "left").select(*docs.columns, "__copied")
 
     def run(batches):

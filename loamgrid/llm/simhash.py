@@ -450,7 +450,7 @@ def verified(docs: DataFrame, placed: DataFrame, id_col: str, text_col: str, k:
     texts = texts.mapInArrow(packed, f"own_id {docs.schema[id_col].dataType.simpleString()}, own_tie long, text binary, size long")
     met = texts.join(placed.hint("merge"), (F.col("tie") == F.col("own_tie")) & F.col("doc_id").eqNullSafe(F.col("own_id"))).select("root", "key", "text", "size")
     met = written(met, "candidates")
-    large = met.groupBy("root").agg(F.ceil(F.sum("size") / block_bytes).cast("int").alias("blocks")).where("blocks > 1")
+    large = written(met.groupBy("root").agg(F.ceil(F.sum("size") / block_bytes).cast("int").alias("blocks")).where("blocks > 1"), "large")
     dealt = met.join(large, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("b", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(i, F.col("b")).alias("i"), F.greatest(i, F.col("b")).alias("j")))
     dealt = dealt.withColumn("p", F.explode(pairs)).select("key", "text", F.xxhash64("root", "p.i", "p.j").alias("grp"))

@@ -314,12 +314,22 @@ def test_contamination_of_the_table(spark, table):
     assert [(r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in got] == [brute_hits(r["text"], items) for r in table]
 
 
-def test_decontaminated_documents_lose_only_spans(spark):
-    clean, leak = "nothing to see here at all, friend", " ".join("abcdefghijk")
-    texts = [clean, f"{clean}. {leak}! {clean}", leak, None]
-    got = rows(decontamination.decontaminate(docs_of(spark, texts), spark.createDataFrame([(1, leak)], "item_id long, text string")), "doc_id")
-    assert [(r["doc_id"], r["text"]) for r in got] == [(0, clean), (1, f"{clean}. ! {clean}"), (3, None)]
-    assert got[1]["n_chars"] == len(got[1]["text"])
+@pytest.mark.parametrize("block", [decontamination.BLOCK, 4])
+def test_decontaminated_documents_lose_only_spans(spark, block):
+    clean, leak, other = "nothing to see here at all, friend", " ".join("abcdefghijk"), " ".join("qrstuvwxyzo")
+    texts = [clean, f"{clean}. {leak}! {clean}", leak, None, f"{clean}. {other}! {clean} {leak}- {clean} and more clean words to the end of it", f"{leak} {other}"]
+    bench = spark.createDataFrame([(1, leak), (2, other), (3, None)], "item_id long, text string")
+    got = rows(decontamination.decontaminate(docs_of(spark, texts, key="k", spans=1), bench, block=block), "doc_id")
+    assert [(r["doc_id"], r["text"]) for r in got] == [(0, clean), (1, f"{clean}. ! {clean}"), (3, None), (4, f"{clean}. ! {clean} - {clean} and more clean words to the end of it")]
+    assert got[1]["n_chars"] == len(got[1]["text"]) and got[1]["spans"] == 1
+    assert not any(leak in (r["text"] or "") or other in (r["text"] or "") for r in got)
+
+
+def test_contamination_with_decimal_and_repeated_ids(spark):
+    leak = " ".join("abcdefghijk")
+    docs = spark.createDataFrame([(1, leak), (1, "clean"), (None, leak)], "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast("decimal(20,0)"))
+    got = decontamination.contamination(docs, spark.createDataFrame([(1, leak)], "item_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.contaminated) for r in got) == [("1", False), ("1", True), ("None", True)]
 
 
 # HTML
