@@ -1,13 +1,13 @@
 """URL filter: suffix rules first, gradient-boosted trees on lexical features for the rest.
 
 A rule is a host and a path: it fits its host and all subdomains if the url's path starts with its path; the
-longest rule wins. Urls that a rule judges are the labelled ones. A rule list names what is bad and its
-exceptions, so the urls that it passes over count as allowed with the small weight ``UNJUDGED``: the trees
-block what resembles blocked urls, not all that is unknown. They are fitted on the driver on at most ``most``
-urls (a documented bound; the smallest hashes, so the choice is the same in every run), and judge what no
-rule fits. Features: lengths, depth, share of digits, entropy, counts of parameters and
+longest rule wins. Urls that a rule judges are the labelled ones, and the trees are fitted on them alone, on the driver, on at most ``most``
+distinct ones (a documented bound; the smallest hashes, so the choice is the same in every run). Features: lengths, depth, share of digits, entropy, counts of parameters and
 separators, and for the url's last host labels and first path part how the labelled urls with them were
-judged (smoothed). Suffix tables and trees are bounded by the sample and are broadcast.
+judged (smoothed). No url is described by labels of its own site: sites (the last three host labels) are dealt to ``FOLDS`` folds, and a
+labelled url's suffix statistics come from the other folds. The trees of the other folds judge each fold, and the
+threshold is the lowest at which ``precision`` of what they block there is labelled so; where none reaches it, nothing
+is blocked. ``Judge.held_out`` has precision and recall there. Suffix tables and trees are bounded by the sample and are broadcast.
 
 Cases: null urls and urls without ``://`` have an empty host and path, no rule, and are judged by the trees;
 rows that repeat are judged alike; without labelled urls, or with one verdict only, the trees give that
@@ -17,6 +17,7 @@ verdict (allow if there are none).
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MOST = 20_000
-UNJUDGED = 0.3
+FOLDS = 4
+PRECISION = 0.9
 #: Fixed rules of the query, as (verdict, host, path).
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -142,43 +144,75 @@ def boost(x: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int = 60, depth:
     return model
 
 
+def fold(host: str, folds: int) -> int:
+    """A site's fold, by hash of its last three labels."""
+    return zlib.crc32(".".join(host.split(".")[-3:]).encode("utf-8", "replace")) % folds
+
+
 class Judge:
-    """Features with their suffix tables, and trees."""
+    """Features with their suffix tables, trees and a threshold."""
 
-    def __init__(self, urls: list[str | None], y: np.ndarray, w: np.ndarray | None = None):
-        w = np.ones(len(y)) if w is None else w
-        self.tables: list[dict[str, list[float]]] = [{} for _ in suffixes("", "")]
-        self.share = float((w * y).sum() / w.sum()) if len(y) else 0.0
+    def __init__(self, urls: list[str | None], y: np.ndarray, folds: int = FOLDS, precision: float = PRECISION):
         split = [parts(u) for u in urls]
-        # every other row fills the suffix tables, the rest fit the trees: no row is described by its own label
-        for (host, path), label, weight in list(zip(split, y.tolist(), w.tolist(), strict=True))[::2]:
+        own = np.array([fold(host, folds) for host, _ in split], int)
+        self.share = float(y.mean()) if len(y) else 0.0
+        self.tables: list[dict[str, np.ndarray]] = [{} for _ in suffixes("", "")]  # blocked and all urls of a suffix, by fold
+        for (host, path), label, f in zip(split, y.tolist(), own.tolist(), strict=True):
             for table, key in zip(self.tables, suffixes(host, path), strict=True):
-                seen = table.setdefault(key, [0.0, 0.0])
-                seen[0] += weight * label
-                seen[1] += weight
-        x = np.array([self.row(u, *s) for u, s in list(zip(urls, split, strict=True))[1::2]]) if len(urls) > 1 else np.zeros((0, 1))
-        self.trees = boost(x, y[1::2], w[1::2])
-
-    def row(self, url: str | None, host: str, path: str) -> list[float]:
+                seen = table.setdefault(key, np.zeros((2, folds)))
+                seen[0, f] += label
+                seen[1, f] += 1
+        x = np.array([self.row(u, *s, f) for u, s, f in zip(urls, split, own.tolist(), strict=True)]) if len(urls) else np.zeros((0, 1))
+        self.trees = boost(x, y, np.ones(len(y)))
+        z = np.full(len(y), -np.inf)
+        for f in np.unique(own):
+            if 0 < y[own != f].sum() < (own != f).sum():
+                z[own == f] = boost(x[own != f], y[own != f], np.ones((own != f).sum())).logits(x[own == f])
+        self.at, self.held_out = threshold(z, y, precision)
+        if not 0 < self.share < 1:
+            self.at = 0.0
+        self.tables = [{k: v.sum(1, keepdims=True) for k, v in t.items()} for t in self.tables]
+
+    def row(self, url: str | None, host: str, path: str, without: int | None = None) -> list[float]:
         out = lexical(url, host, path)
         for table, key in zip(self.tables, suffixes(host, path), strict=True):
-            hit, n = table.get(key, (0.0, 0.0))
+            seen = table.get(key)
+            hit, n = (0.0, 0.0) if seen is None else seen.sum(1) - (seen[:, without] if without is not None else 0)
             out += [(hit + 4 * self.share) / (n + 4), min(n, 100.0)]
         return out
 
     def blocks(self, urls: list[str | None], split: list[tuple[str, str]]) -> np.ndarray:
         if not urls:
             return np.zeros(0, bool)
-        return self.trees.logits(np.array([self.row(u, *s) for u, s in zip(urls, split, strict=True)])) >= 0
+        return self.trees.logits(np.array([self.row(u, *s) for u, s in zip(urls, split, strict=True)])) >= self.at
+
 
+def threshold(z: np.ndarray, y: np.ndarray, precision: float) -> tuple[float, tuple[float, float]]:
+    """The lowest value of z from which on a share ``precision`` of y is 1 (infinity if there is none), and precision and recall there."""
+    order = np.argsort(-z, kind="stable")
+    hit, n = np.cumsum(y[order]), np.arange(1, len(y) + 1)
+    last = np.r_[z[order][1:] != z[order][:-1], True] if len(y) else np.zeros(0, bool)
+    good = np.flatnonzero(last & (hit >= precision * n) & np.isfinite(z[order]))
+    if not len(good):
+        return np.inf, (1.0, 0.0)
+    k = good[-1]
+    return float(z[order][k]), (float(hit[k] / n[k]), float(hit[k] / max(1, y.sum())))
 
-def train(pages: DataFrame, rules: list[tuple[str, str, str]], url_col: str = "url", most: int = MOST) -> Judge:
-    """Fits on distinct urls: those that the rules judge, and with a small weight the others."""
+
+def train(pages: DataFrame, rules: list[tuple[str, str, str]], url_col: str = "url", most: int = MOST, precision: float = PRECISION) -> Judge:
+    """Fits on distinct urls that the rules judge."""
     known = Rules(rules)
-    urls = pages.select(F.col(url_col).alias("url")).where("url is not null").distinct()
-    got = urls.orderBy(F.xxhash64("url"), "url").limit(most).toArrow().column("url").to_pylist()
-    found = [known.find(*parts(u)) for u in got]
-    return Judge(got, np.array([float(f is not None and f[1] == "block") for f in found]), np.array([UNJUDGED if f is None else 1.0 for f in found]))
+
+    def run(batches):
+        for batch in batches:
+            said = batch.column(0).to_pylist()
+            found = [known.find(*parts(u)) for u in said]
+            some = [i for i, f in enumerate(found) if f]
+            yield pa.RecordBatch.from_arrays([pa.array([said[i] for i in some], pa.string()), pa.array([float(found[i][1] == "block") for i in some], pa.float64())], names=["url", "y"])
+
+    labelled = pages.select(F.col(url_col).alias("url")).where("url is not null").mapInArrow(run, "url string, y double").distinct()
+    got = labelled.orderBy(F.xxhash64("url"), "url").limit(most).toArrow()
+    return Judge(got.column("url").to_pylist(), got.column("y").to_numpy(), precision=precision)
 
 
 def judged(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", most: int = MOST) -> DataFrame:
