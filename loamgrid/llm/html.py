@@ -8,7 +8,9 @@ descriptions and metadata of drawings, and the like, the ``hidden`` attribute, i
 ``display:none`` and ``visibility:hidden``, dialogs and details that are not open (their summary shows).
 All other text is emitted: blocks on lines of their own, paragraphs, headings, lists and tables set off by
 an empty line, list items with a dash or their number and indented by depth, preformatted text as it is,
-table cells padded to the width of their column and parted by two spaces (cells with several lines keep them).
+table cells padded to the width of their column and parted by two spaces (cells with several lines keep them; those that
+span rows or columns take their places in all of them). Cells of over ``WIDE`` characters do not widen their column, and a table that
+padding would make over ``MOST_PADDED`` times as long as what it says is not padded: the text of a page is bounded by the page.
 
 Cases: null and empty pages give empty text; broken markup never fails: an unclosed comment or raw element
 runs to the end, a lone ``<`` is text; equal pages of one batch are rendered once.
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import re
 import sys
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -25,6 +28,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DEPTH = 256
+WIDE = 100
+MOST_PADDED = 8
+#: Columns from which on cells reach into no further row.
+COLUMNS = 256
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style template noscript iframe noembed noframes title textarea xmp".split())
 HIDDEN = frozenset("head script style template noscript iframe noembed noframes title meta link base datalist audio video canvas area param source track".split())
@@ -331,8 +338,15 @@ def listing(node: Node) -> list[str]:
     return lines
 
 
+def spanned(cell: Node, name: str) -> int:
+    """colspan, or rowspan (0 is to the end of the rows), as far as HTML lets them go."""
+    said = cell.attrs.get(name, "1")
+    n = int(said) if said.isdecimal() and len(said) < 9 else 1
+    return min(n, 65534) if n or name == "rowspan" else 1
+
+
 def table(node: Node) -> list[str]:
-    rows: list[list[tuple[list[str], int]]] = []
+    rows: list[list[tuple[list[str], int, int]]] = []
     lines: list[str] = []
     after: list[str] = []
 
@@ -354,32 +368,60 @@ def table(node: Node) -> list[str]:
                 for cell in child.children:
                     if isinstance(cell, Node) and cell.tag in ("td", "th"):
                         if visible(cell):
-                            span = cell.attrs.get("colspan", "1")
-                            row.append((rendered(cell) or [""], max(1, min(1000, int(span))) if span.isdecimal() else 1))
+                            row.append((rendered(cell) or [""], min(1000, spanned(cell, "colspan")), spanned(cell, "rowspan") or 65534))
                     else:
                         extra.children.append(cell)
-                if row:
-                    rows.append(row)
+                rows.append(row)
                 after.extend(rendered(extra))
         lines.extend(rendered(loose))  # text between rows is shown before the table
 
     gather(node)
-    width: dict[int, int] = {}
-    for row in rows:
-        at = 0
-        for said, span in row:
-            if span == 1:
-                width[at] = max(width.get(at, 0), *(len(x) for x in said))
-            at += span
+    return lines + grid(rows) + after
+
+
+def grid(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Lines of rows of cells (lines, columns, rows that they span)."""
+    placed: list[list[tuple[int, list[str], int]]] = []  # (first column, lines, columns) of each row
+    taken: list[tuple[int, int, int]] = []  # first column, columns and rows left of cells that reach into the next row
     for row in rows:
-        for i in range(max(len(said) for said, _ in row)):
-            at, line = 0, []
-            for said, span in row:
-                wide = sum(width.get(at + k, 0) for k in range(span)) + 2 * (span - 1)
-                line.append((said[i] if i < len(said) else "").ljust(wide))
-                at += span
-            lines.append("  ".join(line).rstrip())
-    return lines + after
+        own, at, k = [], 0, 0
+        for said, wide, high in row:
+            while k < len(taken) and taken[k][0] < at + 1:
+                at = max(at, taken[k][0] + taken[k][1])
+                k += 1
+            own.append((at, said, wide, high))
+            at += wide
+        placed.append([x[:3] for x in own])
+        taken = sorted([(c, n, left - 1) for c, n, left in taken if left > 1] + [(c, n, high - 1) for c, _, n, high in own if high > 1 and c < COLUMNS])
+    width: dict[int, int] = {}
+    for own in placed:
+        for at, said, wide in own:
+            if wide == 1:
+                width[at] = max(width.get(at, 0), *(len(x) if len(x) <= WIDE else 0 for x in said))
+    first = dict(zip(sorted(width), [0, *_sums(width[c] + 2 for c in sorted(width))], strict=False))  # where a column begins
+    left = lambda c: first.get(c, 0)
+    words = sum(len(x) for own in placed for _, said, _ in own for x in said)
+    padded = sum(max((left(at) for at, _, _ in own), default=0) * max((len(said) for _, said, _ in own), default=0) for own in placed)
+    aligned = padded <= MOST_PADDED * words + 1000
+    lines = []
+    for own in placed:
+        for i in range(max((len(said) for _, said, _ in own), default=0)):
+            line = ""
+            for at, said, _ in own:
+                cell = said[i] if i < len(said) else ""
+                if aligned and cell:
+                    line = line.ljust(left(at))
+                if cell:
+                    line += ("" if not line or line.endswith("  ") else " " if line.endswith(" ") else "  ") + cell
+            lines.append(line.rstrip())
+    return lines
+
+
+def _sums(values: Iterable[int]) -> Iterator[int]:
+    total = 0
+    for v in values:
+        total += v
+        yield total
 
 
 def text(html: str | None) -> str:
