@@ -51,6 +51,19 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def mark() -> int:
+    """To be given to ``release``: what ``fresh`` has named so far stays."""
+    return len(_folders)
+
+
+def release(since: int, *but: str) -> None:
+    """Removes what ``fresh`` has named since ``mark``, except the given paths. Only for folders that no plan in use reads."""
+    for spark, path in _folders[since:]:
+        if path not in but:
+            remove(spark, path)
+    _folders[since:] = [(s, p) for s, p in _folders[since:] if p in but]
+
+
 @atexit.register
 def _sweep() -> None:
     for spark, path in _folders:

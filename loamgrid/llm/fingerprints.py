@@ -2,7 +2,8 @@
 
 The lexicon holds the terms whose document frequency lies in [``low`` x N, ``high`` x N]. As a text has A
 distinct terms on average, at most A / ``low`` terms qualify however many texts there are, so the lexicon
-has a proven bound and is broadcast (the bound is checked). Sub-lexicon j keeps a term with probability
+has a proven bound and is broadcast. It is counted before it is collected: texts of so many terms that it exceeds ``most_terms`` (eight bytes
+each; over 2,000 distinct terms a text on average with the values given) are an error that says which parameter to raise. Sub-lexicon j keeps a term with probability
 2**-d for a random but fixed choice by hash; over all j, d runs through ``DEPTHS``, so that both short and
 long texts have sub-lexicons that hold few of their terms. A text's distinct kept terms are sorted and
 hashed, once for each sub-lexicon; the fingerprint is the row of these 16-bit hashes in hex (zeros: no
@@ -64,13 +65,14 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
-def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW, high: float = HIGH) -> np.ndarray:
+def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW, high: float = HIGH, most_terms: int = MOST_TERMS) -> np.ndarray:
     """Sorted hashes of the terms in the band."""
     n = docs.count()
-    kept = document_frequencies(docs, text_col).where((F.col("df") >= max(1, low * n)) & (F.col("df") <= max(1, high * n))).select("term").toArrow()
-    if len(kept) > MOST_TERMS:
-        raise ValueError(f"the band holds {len(kept)} terms; raise low")
-    return np.sort(kept.column(0).to_numpy().view(np.uint64))
+    kept = written(document_frequencies(docs, text_col).where((F.col("df") >= max(1, low * n)) & (F.col("df") <= max(1, high * n))).select("term"), "lexicon")
+    terms = kept.count()
+    if terms > most_terms:
+        raise ValueError(f"the band holds {terms} terms: raise low, or most_terms if each executor has {8 * terms >> 20} MB for them")
+    return np.sort(kept.toArrow().column(0).to_numpy().view(np.uint64))
 
 
 def fingerprint(texts: list[bytes], terms: np.ndarray) -> np.ndarray:

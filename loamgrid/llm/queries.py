@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .decontamination import op5_decontamination
+from .decontamination import OP5_SQL, op5_decontamination
 from .fingerprints import op1_fingerprints
 from .html import op6_html
 from .packing import op3_packing
@@ -15,4 +15,4 @@ from .warc import OP2_SQL, op2_warc
 
 QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_warc, op3_packing, op4_compaction, op5_decontamination, op6_html, op7_toxicity, op8_urls, op9_simhash, op10_secrets)}
 
-ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op4_compaction": OP4_SQL}
+ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op4_compaction": OP4_SQL, "op5_decontamination": OP5_SQL}

@@ -16,6 +16,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from loamgrid.llm import _shared as shared
 from loamgrid.llm import decontamination, fingerprints, html, packing, secrets, sharding, simhash, toxicity, urls, warc
 from loamgrid.llm.queries import ORACLES, QUERIES
 
@@ -52,7 +53,7 @@ def table(spark):
 @pytest.mark.parametrize("name", list(ORACLES))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = con.execute(ORACLES[name])
     names = [d[0] for d in want.description]
@@ -154,7 +155,6 @@ def check_packing(got, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(TOKENIZER)
-    t.encode_special_tokens = True
     ids = {i: [*t.encode(x or "", add_special_tokens=False).ids, 0] for i, x in texts.items()}
     seen, load = {}, {}
     for r in sorted(got, key=lambda r: (r["doc_id"], r["start"])):
@@ -861,3 +861,51 @@ def test_owner_frequency_tells_examples_from_live_secrets(spark):
     for most in (secrets.MOST_COPIED, 0):
         red = rows(secrets.redact(docs, most=most), "doc_id")
         assert [r["text"] for r in red] == texts[:6] + ["mine [secret]"] * 2 and red[7]["n_chars"] == 13
+
+
+# pipeline
+
+
+def test_stages_equal_plain_versions(spark, table):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    at = {}
+    for name, stage in corpus_pipeline.STAGES:
+        made = stage(spark, docs, SF)
+        if name != "packing":
+            assert made.schema == docs.schema
+            docs = shared.written(made, "stage")
+        at[name] = rows(docs if name != "packing" else made, *(["doc_id"] if name != "packing" else ["sequence_id", "offset"]))
+    machine = toxicity.train(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+    kept = [r for r in table if machine.score([(r["text"] or "").encode()])[0] < 0.5]
+    assert at["toxicity"] == kept
+    kept = [r for i, (r, root) in enumerate(zip(kept, brute_near([x["text"] for x in kept]), strict=True)) if root == i]
+    assert at["simhash"] == kept
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    told = {r["doc_id"]: brute_hits(r["text"], items) for r in kept}
+    assert {r["doc_id"] for r in at["decontamination"]} == {i for i, (n, hit, *_) in told.items() if not hit or hit < 0.5 * n}
+    for r in at["decontamination"]:
+        n, hit, *_ = told[r["doc_id"]]
+        before = next(x for x in kept if x["doc_id"] == r["doc_id"])
+        assert r == before if not hit else len(WORDS.findall(lower(r["text"]))) == n - hit
+    owners, repos, found = {}, {}, {}
+    for r in at["decontamination"]:
+        text = r["text"] or ""
+        found[r["doc_id"]] = sorted((a, b, v) for _, a, b, v in (*secrets.base_spans(text), *secrets.wide_spans(text)))
+        for _, _, v in found[r["doc_id"]]:
+            owners.setdefault(v, set()).add(r["source"])
+            repos.setdefault(v, set()).add((r["source"], r["lang"]))
+    want = {}
+    for r in at["decontamination"]:
+        out, last = "", 0
+        live = [(a, b) for a, b, v in found[r["doc_id"]] if len(owners[v]) < 3 and len(repos[v]) < 6]
+        for a, b in live:
+            if a >= last:
+                out += r["text"][last:a] + "[secret]"
+            last = max(last, b)
+        want[r["doc_id"]] = out + r["text"][last:] if live else r["text"]
+    assert {r["doc_id"]: r["text"] for r in at["secrets"]} == want
+    assert check_packing(at["packing"], {r["doc_id"]: r["text"] for r in at["secrets"]}) < 0.01
+    got = corpus_pipeline.run(spark, SF)
+    assert sorted(map(str, got.collect())) == sorted(map(str, spark.createDataFrame(at["packing"], got.schema).collect()))
