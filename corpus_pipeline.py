@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loamgrid.llm import decontamination, packing, secrets, simhash, toxicity
-from loamgrid.llm._shared import fresh
+from loamgrid.llm._shared import fresh, mark, release
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,10 +42,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; each stage's rows are written to the shared folder and read again.
+
+    Once they are written, the rows of the stage before and all that the stage has kept there go.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), mark()
     for name, stage in STAGES[:-1]:
         path = fresh(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
+        release(before, path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
