@@ -73,29 +73,61 @@ def totals(assay: DataFrame) -> DataFrame:
     return assay.groupBy(*CELL).agg(F.sum("value").alias("total"))
 
 
-def normalised(assay: DataFrame, mean_total: float | None = None) -> DataFrame:
-    """value / (cell total / mean total): of the cell's sample, or the given one (that of the landmarks)."""
-    size = totals(assay)
-    mean = size.groupBy("sample_id").agg(F.avg("total").alias("mean_total")) if mean_total is None else None
-    size = size.join(mean, "sample_id") if mean is not None else size.withColumn("mean_total", F.lit(float(mean_total)))
-    return assay.join(size, CELL).select(*CELL, "feature", (F.col("value") / (F.col("total") / F.col("mean_total"))).alias("value"))
+def normalised(assay: DataFrame, mean_total: float | None = None, with_cells: bool = False) -> DataFrame:
+    """value / (cell total / mean total): of the cell's sample, or the given one (that of the landmarks).
+
+    Totals come from a window over cells, so the assay is dealt by cell once; the samples' means are added up from the same rows.
+    with_cells: n_cells, the number of the sample's cells, is kept.
+    """
+    cell = Window.partitionBy(*CELL)
+    sized = assay.select(*CELL, "feature", "value", F.sum("value").over(cell).alias("total"), F.count("*").over(cell).alias("rows"))
+    if mean_total is not None:
+        return sized.select(*CELL, "feature", (F.col("value") / (F.col("total") / F.lit(float(mean_total)))).alias("value"))
+    mean = sized.groupBy("sample_id").agg(F.sum("value").alias("all"), F.round(F.sum(1 / F.col("rows"))).cast("long").alias("n_cells"), F.max("feature").alias("last"))
+    mean = F.broadcast(mean.where("last is not null or all is null").select("sample_id", (F.col("all") / F.col("n_cells")).alias("mean_total"), "n_cells"))  # one row a sample
+    return sized.join(mean, "sample_id").select(*CELL, "feature", (F.col("value") / (F.col("total") / F.col("mean_total"))).alias("value"), *(["n_cells"] if with_cells else []))
 
 
 def log2p1(assay: DataFrame) -> DataFrame:
     return assay.withColumn("value", F.log2(F.col("value") + 1))
 
 
+def missing_features(assay: DataFrame, names: list[str]) -> list[str]:
+    """Those of names that the assay does not have."""
+    return sorted(set(names) - {r.feature for r in assay.where(F.col("feature").isin(*names)).select("feature").distinct().collect()}) if names else []  # at most as many as names
+
+
+def sparse_cells(cells: DataFrame, assay: DataFrame, features: DataFrame) -> DataFrame:
+    """(sample_id, cell_id, at, x): of each cell the places and values of chosen features. features: (feature, at), with sample_id if each sample has its own.
+
+    Cells without any value have empty arrays. The assay is dealt by cell, as ``normalised`` leaves it.
+    """
+    on = ["sample_id", "feature"] if "sample_id" in features.columns else ["feature"]
+    held = assay.join(features, on).groupBy(*CELL).agg(F.sort_array(F.collect_list(F.struct(F.col("at").cast("int").alias("at"), "value"))).alias("v"))  # at most as many as features
+    none = lambda kind: F.expr(f"cast(array() as array<{kind}>)")
+    return cells.select(*CELL).join(held, CELL, "left").select(*CELL, F.coalesce(F.col("v.at"), none("int")).alias("at"), F.coalesce(F.col("v.value"), none("double")).alias("x"))
+
+
 def without_excluded(assay: DataFrame, force_in: list[str] = (), pattern: str = EXCLUDED) -> DataFrame:
     """Without features of the pattern, but for those forced in."""
     return assay.where(~F.col("feature").rlike(pattern) | F.col("feature").isin(*force_in))
 
 
-def feature_moments(assay: DataFrame, by: list[str] = ("sample_id",)) -> DataFrame:
-    """mean, variance and sd of each feature over all cells of a group, absent zeros included."""
+def feature_moments(assay: DataFrame, by: list[str] = ("sample_id",), cells: int | None = None) -> DataFrame:
+    """mean, variance and sd of each feature over all cells of a group, absent zeros included.
+
+    The number of cells is the given one (of all), that of the assay's column n_cells (of each sample, see ``normalised``), or is counted.
+    """
     by = list(by)
-    n = assay.select(*dict.fromkeys([*by, *CELL])).distinct().groupBy(*by).agg(F.count("*").alias("n")) if by else assay.select(*CELL).distinct().agg(F.count("*").alias("n"))
-    sums = assay.groupBy(*by, "feature").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
-    out = sums.join(n, by) if by else sums.crossJoin(F.broadcast(n))  # one row
+    sums = [F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q")]
+    if "n_cells" in assay.columns and by == ["sample_id"]:
+        out = assay.groupBy(*by, "feature").agg(*sums, F.max("n_cells").alias("n"))
+    elif cells is not None and not by:
+        out = assay.groupBy("feature").agg(*sums, F.lit(cells).cast("long").alias("n"))
+    else:
+        n = assay.select(*dict.fromkeys([*by, *CELL])).distinct().groupBy(*by).agg(F.count("*").alias("n")) if by else assay.select(*CELL).distinct().agg(F.count("*").alias("n"))
+        grouped = assay.groupBy(*by, "feature").agg(*sums)
+        out = grouped.join(n, by) if by else grouped.crossJoin(F.broadcast(n))  # one row
     var = F.greatest((F.col("q") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1), F.lit(0.0))
     return out.select(*by, "feature", "n", (F.col("s") / F.col("n")).alias("mean"), var.alias("variance"), F.sqrt(var).alias("sd"))
 
@@ -107,9 +139,18 @@ def most_variable(moments: DataFrame, k: int = 5000, by: list[str] = ("sample_id
     return moments.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def standardised(assay: DataFrame, moments: DataFrame) -> DataFrame:
-    """(value - mean) / sd by feature; features without spread are left out. Absent zeros stay absent: their score is -mean / sd."""
-    return assay.join(moments.where("sd > 0").select("feature", "mean", "sd"), "feature").select(*CELL, "feature", ((F.col("value") - F.col("mean")) / F.col("sd")).alias("value"))
+def standardised(assay: DataFrame, moments: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+    """(value - mean) / sd by feature; features without spread are left out.
+
+    Absent zeros, whose score is -mean / sd, are given for ``cells`` (those of landmarks: the result is cells x features); else they stay absent.
+    """
+    told = moments.where("sd > 0").select("feature", "mean", "sd")
+    if cells is not None:
+        grid = cells.select(*CELL).distinct().crossJoin(told)  # the result itself
+        joined = grid.join(assay, [*CELL, "feature"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+    else:
+        joined = assay.join(told, "feature")
+    return joined.select(*CELL, "feature", ((F.col("value") - F.col("mean")) / F.col("sd")).alias("value"))
 
 
 def quotas(sizes: DataFrame, share: float = 0.1, most: int = 5000) -> DataFrame:

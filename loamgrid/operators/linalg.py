@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from ..functions.special import elbow
 
 
+#: Features up to which a sample's Gram matrix is made.
+GRAM = 256
+
+
 @dataclass
 class PCA:
     center: np.ndarray
@@ -39,59 +43,130 @@ def pca(x: np.ndarray, k: int = 30, scale: bool = True) -> PCA:
     return PCA(center, sd, (vt[:k] * sign[:, None]).T, d[:k], u[:, :k] * d[:k] * sign)
 
 
-def leverage(cells: DataFrame, components: int | None = None) -> DataFrame:
-    """(sample_id, cell_id, weight): each cell's statistical leverage within its sample, after centring and scaling.
+def reconstructed(model: PCA) -> tuple[np.ndarray, np.ndarray]:
+    """(scaled, expression) of the rows that the model was made of, from its components alone: standardised anew, and in the units of the data."""
+    z = model.coord @ model.rotation.T
+    sd = z.std(0, ddof=1) if len(z) > 1 else np.ones(z.shape[1])
+    return (z - z.mean(0)) / np.where(sd > 0, sd, 1.0), z * model.scale + model.center
 
-    One pass sums n, x and x x' for each sample (features squared in size, whatever the number of cells), one
-    map scores the cells. With components, only that many leading directions count.
-    """
-    p = len(cells.select("features").first()[0])
+
+def vectors(pdf: pd.DataFrame, width: int) -> np.ndarray:
+    """Rows as a dense array: of features, or of places (at) and values (x)."""
+    if "features" in pdf:
+        return np.stack(pdf["features"].to_numpy()).astype(float) if len(pdf) else np.zeros((0, width))
+    out = np.zeros((len(pdf), width))
+    size = pdf["at"].map(len).to_numpy()
+    out[np.repeat(np.arange(len(pdf)), size), np.concatenate([np.zeros(0, int), *pdf["at"]])] = np.concatenate([np.zeros(0), *pdf["x"]])
+    return out
+
+
+def _columns(cells: DataFrame) -> list[str]:
+    return ["features"] if "features" in cells.columns else ["at", "x"]
+
+
+def _sums(cells: DataFrame, of, width: int, step: int = 2000) -> dict:
+    """By sample the sum of of(rows, sample), a flat array: partial sums of each partition, added up by position in a shuffle."""
     kind = f"sample_id {cells.schema['sample_id'].dataType.simpleString()}"
 
-    def moments(batches):
+    def run(batches):
         held: dict = {}
         for pdf in batches:
-            for s, own in pdf.groupby("sample_id"):
-                x = np.stack(own["features"].to_numpy()).astype(float)
-                n, a, g = held.get(s, (0, np.zeros(p), np.zeros((p, p))))
-                held[s] = n + len(x), a + x.sum(0), g + x.T @ x
-        yield pd.DataFrame([{"sample_id": s, "n": n, "a": a, "g": g.ravel()} for s, (n, a, g) in held.items()], columns=["sample_id", "n", "a", "g"])
-
-    sums: dict = {}
-    for row in cells.select("sample_id", "features").mapInPandas(moments, f"{kind}, n long, a array<double>, g array<double>").toLocalIterator():
-        n, a, g = sums.get(row.sample_id, (0, np.zeros(p), np.zeros((p, p))))
-        sums[row.sample_id] = n + row.n, a + np.array(row.a), g + np.array(row.g).reshape(p, p)
+            for a in range(0, len(pdf), step):
+                for s, own in pdf.iloc[a : a + step].groupby("sample_id"):
+                    v = of(vectors(own, width), s)
+                    held[s] = held[s] + v if s in held else v
+        yield pd.DataFrame([{"sample_id": s, "v": v} for s, v in held.items()], columns=["sample_id", "v"])
+
+    flat = cells.select("sample_id", *_columns(cells)).mapInPandas(run, f"{kind}, v array<double>").select("sample_id", F.posexplode("v").alias("i", "v"))
+    whole = flat.groupBy("sample_id", "i").agg(F.sum("v").alias("v")).groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("v"))
+    return {r.sample_id: np.array(r.v) for r in whole.select("sample_id", F.col("v.v").alias("v")).toLocalIterator()}  # one array a sample
+
+
+def leverage(cells: DataFrame, components: int | None = None, width: int | None = None, rounds: int = 8, seed: int = 123) -> DataFrame:
+    """(sample_id, cell_id, weight): each cell's statistical leverage within its sample, after centring and scaling.
+
+    Up to ``GRAM`` features one pass sums n, x and x x' for each sample (features squared in size, whatever the number of cells), and one
+    map scores the cells. With components, only that many leading directions count. Of more features x x' is never made: the
+    leading directions come from ``rounds`` passes of a block power iteration, whose sums are features x components.
+    cells: with features, or with at and x (then ``width`` is the number of features).
+    """
+    p = width if width is not None else len(cells.select("features").first()[0])
+    kind = f"sample_id {cells.schema['sample_id'].dataType.simpleString()}"
+    if p <= GRAM:
+        sums = _sums(cells, lambda x, _: np.r_[len(x), x.sum(0), (x.T @ x).ravel()], p)
+    else:
+        sums = _sums(cells, lambda x, _: np.r_[len(x), x.sum(0), (x * x).sum(0)], p)
     models = {}
-    for s, (n, a, g) in sums.items():
-        mean = a / n
-        cov = g - n * np.outer(mean, mean)
-        sd = np.sqrt(np.maximum(np.diag(cov) / max(1, n - 1), 0))
+    for s, v in sums.items():
+        n, mean = v[0], v[1 : 1 + p] / v[0]
+        square = np.diag(v[1 + p :].reshape(p, p)) if p <= GRAM else v[1 + p :]
+        var = square - n * mean * mean
+        sd = np.sqrt(np.maximum(var / max(1, n - 1), 0))
         sd = np.where(sd > 1e-12, sd, 1.0)
-        values, vectors = np.linalg.eigh(cov / np.outer(sd, sd))
-        keep = np.flatnonzero(values > 1e-9 * max(values.max(), 1e-300))[::-1][: components or p]
-        models[s] = mean, sd, vectors[:, keep] / np.sqrt(values[keep])
+        if p <= GRAM:
+            cov = (v[1 + p :].reshape(p, p) - n * np.outer(mean, mean)) / np.outer(sd, sd)
+            values, axes = np.linalg.eigh(cov)
+            keep = np.flatnonzero(values > 1e-9 * max(values.max(), 1e-300))[::-1][: components or p]
+            models[s] = mean, sd, axes[:, keep] / np.sqrt(values[keep])
+        else:
+            models[s] = mean, sd, None
+    if p > GRAM:
+        if components is None:
+            raise ValueError(f"of over {GRAM} features say how many components count")
+        models = _leading(cells, models, p, components, rounds, seed)
     held = cells.sparkSession.sparkContext.broadcast(models)
 
     def score(batches):
         for pdf in batches:
-            weight = np.zeros(len(pdf))
-            for s, at in pdf.groupby("sample_id").indices.items():
-                mean, sd, axes = held.value[s]
-                weight[at] = ((((np.stack(pdf["features"].to_numpy()[at]) - mean) / sd) @ axes) ** 2).sum(1)
-            yield pd.DataFrame({"sample_id": pdf["sample_id"], "cell_id": pdf["cell_id"], "weight": weight})
+            for a in range(0, len(pdf), 2000):
+                part = pdf.iloc[a : a + 2000]
+                weight = np.zeros(len(part))
+                for s, at in part.groupby("sample_id").indices.items():
+                    mean, sd, axes = held.value[s]
+                    weight[at] = ((((vectors(part.iloc[at], p) - mean) / sd) @ axes) ** 2).sum(1)
+                yield pd.DataFrame({"sample_id": part["sample_id"], "cell_id": part["cell_id"], "weight": weight})
 
-    return cells.select("sample_id", "cell_id", "features").mapInPandas(score, f"{kind}, cell_id {cells.schema['cell_id'].dataType.simpleString()}, weight double")
+    return cells.select("sample_id", "cell_id", *_columns(cells)).mapInPandas(score, f"{kind}, cell_id {cells.schema['cell_id'].dataType.simpleString()}, weight double")
+
+
+def _leading(cells: DataFrame, models: dict, p: int, components: int, rounds: int, seed: int) -> dict:
+    """models with the leading axes of each sample, over the root of their eigenvalues."""
+    k = min(p, components + 10)
+    start = np.linalg.qr(np.random.default_rng(seed).normal(size=(p, k)))[0]
+    axes = {s: start for s in models}
+    for step in range(rounds):
+        held = cells.sparkSession.sparkContext.broadcast({s: (m, sd, axes[s]) for s, (m, sd, _) in models.items()})
+
+        def of(x, s, held=held):
+            mean, sd, q = held.value[s]
+            z = (x - mean) / sd
+            return (z.T @ (z @ q)).ravel()
+
+        made = {s: v.reshape(p, k) for s, v in _sums(cells, of, p).items()}
+        held.destroy()
+        if step + 1 < rounds:
+            axes = {s: np.linalg.qr(v)[0] for s, v in made.items()}
+    out = {}
+    for s, (mean, sd, _) in models.items():
+        values, turn = np.linalg.eigh((axes[s].T @ made[s] + made[s].T @ axes[s]) / 2)
+        keep = np.flatnonzero(values > 1e-9 * max(values.max(), 1e-300))[::-1][:components]
+        out[s] = mean, sd, axes[s] @ turn[:, keep] / np.sqrt(values[keep])
+    return out
 
 
 def projected_leverage(cells: DataFrame, model: PCA) -> DataFrame:
     """(sample_id, cell_id, weight): the sum of squared scores on landmark components, each over its singular value. A pure map."""
-    axes = (model.rotation / model.d).T
-    shift = F.array(*[F.lit(float(x)) for x in model.center])
-    scale = F.array(*[F.lit(float(x)) for x in model.scale])
-    z = F.transform(F.arrays_zip(F.col("features").cast("array<double>").alias("x"), shift.alias("m"), scale.alias("s")), lambda v: (v["x"] - v["m"]) / v["s"])
-    dot = lambda a: F.aggregate(F.zip_with("z", F.array(*[F.lit(float(x)) for x in a]), lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
-    weight = sum((dot(a) * dot(a) for a in axes[1:]), dot(axes[0]) * dot(axes[0]))
-    return cells.withColumn("z", z).select("sample_id", "cell_id", weight.alias("weight"))
+    kind = f"sample_id {cells.schema['sample_id'].dataType.simpleString()}, cell_id {cells.schema['cell_id'].dataType.simpleString()}"
+    held = cells.sparkSession.sparkContext.broadcast((model.center, model.scale, model.rotation / model.d))
+
+    def score(batches):
+        center, scale, axes = held.value
+        for pdf in batches:
+            for a in range(0, len(pdf), 2000):
+                part = pdf.iloc[a : a + 2000]
+                yield pd.DataFrame({"sample_id": part["sample_id"], "cell_id": part["cell_id"], "weight": ((((vectors(part, len(center)) - center) / scale) @ axes) ** 2).sum(1)})
+
+    return cells.select("sample_id", "cell_id", *_columns(cells)).mapInPandas(score, f"{kind}, weight double")
 
 
 def laplacian_eigenmap(w: np.ndarray, most: int = 30) -> tuple[np.ndarray, np.ndarray]:

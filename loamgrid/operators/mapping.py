@@ -6,6 +6,8 @@ landmark- and sample-sized tables are broadcast.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,11 +95,16 @@ def chosen_cells(cells: DataFrame, labels: DataFrame | None = None, names: list[
 
 
 def marker_summary(assay: DataFrame, labels: DataFrame, features: list[str]) -> DataFrame:
-    """(feature, sample_id, label, count, perc): cells positive or negative for each feature (label "pos." or "neg." and the cell's), zeros kept."""
-    wanted = labels.select(*CELL, "label", F.explode(F.array(*[F.lit(f) for f in features])).alias("feature"))
-    hit = assay.where(F.col("feature").isin(*features) & (F.col("value") > 0)).select(*CELL, "feature").distinct().withColumn("hit", F.lit(True))
-    said = wanted.join(hit, [*CELL, "feature"], "left").withColumn("label", F.concat(F.when(F.col("hit"), "pos.").otherwise("neg."), "label"))
-    counts = said.groupBy("feature", "sample_id", "label").agg(F.count("*").alias("count"))
+    """(feature, sample_id, label, count, perc): cells positive or negative for each feature (label "pos." or "neg." and the cell's), zeros kept.
+
+    Positive cells are counted from the assay, negative ones are the label's others: no row is made for a cell and a feature that it lacks.
+    """
+    total = labels.groupBy("sample_id", "label").agg(F.count("*").alias("n"))
+    names = labels.sparkSession.createDataFrame([(f,) for f in dict.fromkeys(features)], "feature string")
+    hits = assay.where(F.col("feature").isin(*features) & (F.col("value") > 0)).select(*CELL, "feature").distinct()
+    hits = hits.join(labels.select(*CELL, "label"), CELL).groupBy("feature", "sample_id", "label").agg(F.count("*").alias("pos"))
+    both = total.crossJoin(F.broadcast(names)).join(hits, ["feature", "sample_id", "label"], "left").na.fill(0, ["pos"])  # samples x labels x features, as the result
+    counts = both.select("feature", "sample_id", F.explode(F.array(F.struct(F.concat(F.lit("pos."), "label").alias("label"), F.col("pos").alias("count")), F.struct(F.concat(F.lit("neg."), "label").alias("label"), (F.col("n") - F.col("pos")).alias("count")))).alias("c")).select("feature", "sample_id", "c.*").where("count > 0")
     grid = counts.select("sample_id").distinct().crossJoin(F.broadcast(counts.select("feature", "label").distinct()))  # the result itself
     return grid.join(counts, ["feature", "sample_id", "label"], "left").na.fill(0, ["count"]).withColumn("perc", percent(F.col("count"), "feature", "sample_id"))
 
@@ -106,6 +113,46 @@ def nearest_landmark_cells(nn: DataFrame, landmarks: list[int]) -> DataFrame:
     return nn.where((F.col("rank") == 1) & F.col("lm_id").isin(*landmarks)).select(*CELL)
 
 
-def median_expression(assay: DataFrame, labels: DataFrame) -> DataFrame:
-    """(label, feature, median) over the cells that have a value."""
-    return assay.join(labels, CELL).groupBy("label", "feature").agg(F.median("value").alias("median"))
+def median_expression(assay: DataFrame, labels: DataFrame, zeros: bool = False) -> DataFrame:
+    """(label, feature, median) over the cells that have a value, or with ``zeros`` over all cells of the label: absent zeros weigh by their number."""
+    held = assay.join(labels.select(*CELL, "label"), CELL)
+    if not zeros:
+        return held.groupBy("label", "feature").agg(F.median("value").alias("median"))
+    counted = held.groupBy("label", "feature", "value").agg(F.count("*").alias("k"))
+    grid = labels.groupBy("label").agg(F.count("*").alias("n")).crossJoin(F.broadcast(assay.select("feature").distinct()))  # the result's rows
+    absent = grid.join(counted.groupBy("label", "feature").agg(F.sum("k").alias("seen")), ["label", "feature"], "left").select("label", "feature", F.lit(0.0).alias("value"), (F.col("n") - F.coalesce("seen", F.lit(0))).alias("k"))
+    return counted.unionByName(absent.where("k > 0")).groupBy("label", "feature").agg(F.percentile("value", 0.5, F.col("k")).alias("median"))
+
+
+def voted(edges: DataFrame, annot: dict[int, str], threshold: float = 0.5) -> DataFrame:
+    """(sample_id, cell_id, label, confidence) as ``transferred`` of ``fuzzy_votes``, a map over cells with all their edges in one row.
+
+    edges: (sample_id, cell_id, lm_ids, weights); annot: the label of each landmark (landmark-sized, broadcast).
+    """
+    if not 0 <= threshold <= 1:
+        raise ValueError("the threshold is a share")
+    ids = np.array(sorted(annot))
+    names = sorted(set(annot.values()))
+    held = edges.sparkSession.sparkContext.broadcast((ids, np.array([names.index(annot[i]) for i in ids.tolist()], int), names))
+
+    def run(batches):
+        ids, label, names = held.value
+        for pdf in batches:
+            n, k = len(pdf), len(names)
+            size = pdf["lm_ids"].map(len).to_numpy()
+            flat = np.concatenate([np.zeros(0, ids.dtype), *pdf["lm_ids"]])
+            weight = np.concatenate([np.zeros(0), *pdf["weights"]])
+            row, at = np.repeat(np.arange(n), size), np.minimum(np.searchsorted(ids, flat), max(0, len(ids) - 1))
+            known = ids[at] == flat if len(ids) else np.zeros(len(flat), bool)
+            row, weight, flat, kind = row[known], weight[known], flat[known], label[at[known]]
+            votes = np.bincount(row * k + kind, weight, n * k).reshape(n, k)
+            first = np.full(n * k, np.iinfo(np.int64).max)
+            np.minimum.at(first, row * k + kind, flat)
+            share = votes / np.maximum(votes.sum(1, keepdims=True), 1e-300)
+            order = np.lexsort((np.tile(np.arange(k), (n, 1)), first.reshape(n, k), -share), axis=1)[:, 0] if k else np.zeros(n, int)
+            best = share[np.arange(n), order] if k else np.zeros(n)
+            said = [names[o] if b >= threshold and b > 0 else LOW_CONFIDENCE for o, b in zip(order.tolist(), best.tolist(), strict=True)]
+            yield pd.DataFrame({"sample_id": pdf["sample_id"], "cell_id": pdf["cell_id"], "label": said, "confidence": best})
+
+    kinds = {f.name: f.dataType.simpleString() for f in edges.schema.fields}
+    return edges.select(*CELL, "lm_ids", "weights").mapInPandas(run, f"sample_id {kinds['sample_id']}, cell_id {kinds['cell_id']}, label string, confidence double")

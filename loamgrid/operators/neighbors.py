@@ -7,7 +7,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .linalg import vectors
+
 MOST_LANDMARKS = 50_000
+#: Distances of cells to landmarks that a task holds at once.
+SQUARE = 1 << 23
 
 
 def nearest(x: np.ndarray, reference: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -20,12 +24,14 @@ def nearest(x: np.ndarray, reference: np.ndarray, k: int) -> tuple[np.ndarray, n
     return np.take_along_axis(rough, order, 1), np.take_along_axis(exact, order, 1)
 
 
-def smooth_weights(dist: np.ndarray, rounds: int = 64) -> np.ndarray:
-    """Fuzzy memberships: exp(-(d - rho) / sigma), rho the nearest positive distance, sigma such that they add up to log2 k."""
+def smooth_weights(dist: np.ndarray, rounds: int = 64, sigma: float | None = None) -> np.ndarray:
+    """Fuzzy memberships: exp(-(d - rho) / sigma), rho the nearest positive distance, sigma given or such that they add up to log2 k."""
     k = dist.shape[1]
     positive = np.where(dist > 0, dist, np.inf).min(1)
     rho = np.where(np.isfinite(positive), positive, 0.0)
     gap = np.maximum(dist - rho[:, None], 0)
+    if sigma is not None:
+        return np.exp(-gap / sigma)
     low, high = np.full(len(dist), 1e-12), np.full(len(dist), np.inf)
     sigma = np.ones(len(dist))
     for _ in range(rounds):
@@ -37,31 +43,49 @@ def smooth_weights(dist: np.ndarray, rounds: int = 64) -> np.ndarray:
     return np.exp(-gap / np.maximum(sigma, 1e-3 * dist.mean(1) + 1e-12)[:, None])
 
 
-def cell_neighbors(cells: DataFrame, landmarks: DataFrame, k: int = 20, transform=None, by_sample=None) -> DataFrame:
-    """(sample_id, cell_id, rank, lm_id, dist, weight): the k nearest landmarks of each cell.
+def cell_neighbors(cells: DataFrame, landmarks: DataFrame, k: int = 20, transform=None, by_sample=None, nested: bool = False, sigma: float | None = None) -> DataFrame:
+    """(sample_id, cell_id, rank, lm_id, dist, weight): the k nearest landmarks of each cell. nested: a row a cell, with arrays lm_ids, dists, weights.
 
-    landmarks: (lm_id, features), at most 50,000 (checked) and broadcast. transform: applied to arrays on both sides.
-    by_sample: applied instead to cells, with their samples.
+    cells: with features, or with at and x (see ``cells.sparse_cells``). landmarks: (lm_id, features), at most 50,000 (checked) and broadcast.
+    transform: applied to arrays on both sides. by_sample: applied instead to cells, with their samples. sigma: a fixed width of the weights.
     """
     rows = landmarks.select("lm_id", "features").orderBy("lm_id").limit(MOST_LANDMARKS + 1).collect()
     if len(rows) > MOST_LANDMARKS:
         raise ValueError("too many landmarks to broadcast")
-    ids = np.array([r.lm_id for r in rows])
+    ids, reference = np.array([r.lm_id for r in rows]), np.array([r.features for r in rows], float)
     place = transform or (lambda x: x)
-    held = cells.sparkSession.sparkContext.broadcast((ids, place(np.array([r.features for r in rows], float))))
+    return placed_neighbors(cells, ids, place(reference), landmarks.schema["lm_id"].dataType.simpleString(), k, by_sample or (lambda x, _: place(x)), reference.shape[1], nested, sigma)
+
+
+def placed_neighbors(cells: DataFrame, ids: np.ndarray, reference: np.ndarray, id_type: str, k: int, place, width: int, nested: bool = False, sigma: float | None = None) -> DataFrame:
+    """As ``cell_neighbors``, with landmarks that are arrays already. place: coordinates of rows of ``width`` features, given their samples."""
+    if len(ids) > MOST_LANDMARKS:
+        raise ValueError("too many landmarks to broadcast")
+    held = cells.sparkSession.sparkContext.broadcast((ids, reference))
+    step = max(1, min(2000, SQUARE // max(1, len(ids))))
 
     def run(batches):
         ids, ref = held.value
         for pdf in batches:
-            for a in range(0, len(pdf), 2000):
-                own = pdf.iloc[a : a + 2000]
-                x = np.stack(own["features"].to_numpy()).astype(float)
-                at, dist = nearest(by_sample(x, own["sample_id"].to_numpy()) if by_sample else place(x), ref, k)
+            for a in range(0, len(pdf), step):
+                own = pdf.iloc[a : a + step]
+                at, dist = nearest(place(vectors(own, width), own["sample_id"].to_numpy()), ref, k)
+                weight = smooth_weights(dist, sigma=sigma)
+                if nested:
+                    yield pd.DataFrame({"sample_id": own["sample_id"], "cell_id": own["cell_id"], "lm_ids": list(ids[at]), "dists": list(dist), "weights": list(weight)})
+                    continue
                 n, kk = at.shape
-                yield pd.DataFrame({"sample_id": np.repeat(own["sample_id"].to_numpy(), kk), "cell_id": np.repeat(own["cell_id"].to_numpy(), kk), "rank": np.tile(np.arange(1, kk + 1, dtype=np.int32), n), "lm_id": ids[at].ravel(), "dist": dist.ravel(), "weight": smooth_weights(dist).ravel()})
+                yield pd.DataFrame({"sample_id": np.repeat(own["sample_id"].to_numpy(), kk), "cell_id": np.repeat(own["cell_id"].to_numpy(), kk), "rank": np.tile(np.arange(1, kk + 1, dtype=np.int32), n), "lm_id": ids[at].ravel(), "dist": dist.ravel(), "weight": weight.ravel()})
+
+    kinds = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
+    schema = f"sample_id {kinds['sample_id']}, cell_id {kinds['cell_id']}, " + (f"lm_ids array<{id_type}>, dists array<double>, weights array<double>" if nested else f"rank int, lm_id {id_type}, dist double, weight double")
+    return cells.select("sample_id", "cell_id", *(["features"] if "features" in cells.columns else ["at", "x"])).mapInPandas(run, schema)
+
 
-    kinds = {f.name: f.dataType.simpleString() for f in (*cells.schema.fields, *landmarks.schema.fields)}
-    return cells.select("sample_id", "cell_id", "features").mapInPandas(run, f"sample_id {kinds['sample_id']}, cell_id {kinds['cell_id']}, rank int, lm_id {kinds['lm_id']}, dist double, weight double")
+def exploded(edges: DataFrame) -> DataFrame:
+    """Nested edges as a row for each: (sample_id, cell_id, rank, lm_id, dist, weight)."""
+    zipped = F.posexplode(F.arrays_zip("lm_ids", "dists", "weights")).alias("rank", "e")
+    return edges.select("sample_id", "cell_id", zipped).select("sample_id", "cell_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("e.lm_ids").alias("lm_id"), F.col("e.dists").alias("dist"), F.col("e.weights").alias("weight"))
 
 
 def shared_neighbors(nn: DataFrame, k: int, prune: float = 1 / 15) -> DataFrame:
@@ -73,11 +97,25 @@ def shared_neighbors(nn: DataFrame, k: int, prune: float = 1 / 15) -> DataFrame:
 
 def fuzzy_union(at: np.ndarray, weight: np.ndarray, n: int, prune: float = 0.0) -> np.ndarray:
     """Symmetric landmark graph: a + b - ab of the directed memberships."""
-    w = np.zeros((n, n))
+    w = np.zeros((n, n), np.float32)
     w[np.repeat(np.arange(len(at)), at.shape[1]), at.ravel()] = weight.ravel()
     np.fill_diagonal(w, 0)
-    w = w + w.T - w * w.T
-    return np.where(w > prune, w, 0)
+    product = w * w.T
+    w = w + w.T
+    w -= product
+    w[w <= prune] = 0
+    return w
+
+
+def jaccard(at: np.ndarray, prune: float = 1 / 15) -> np.ndarray:
+    """Dense form of ``shared_neighbors``: at has the neighbours of each of n landmarks."""
+    n, k = at.shape
+    adjacent = np.zeros((n, n), np.float32)
+    adjacent[np.repeat(np.arange(n), k), at.ravel()] = 1
+    common = adjacent @ adjacent.T
+    common /= 2 * k - common
+    common[common <= prune] = 0
+    return common
 
 
 def transitions(edges: DataFrame) -> DataFrame:

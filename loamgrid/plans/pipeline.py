@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -9,8 +10,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import LOW_CONFIDENCE
-from ..operators import annotate, cells as C, cluster, linalg, mapping, models, neighbors
+from ..functions.columns import LOW_CONFIDENCE, log_norm
+from ..operators import annotate, cells as C, cluster, expression, layout, linalg, mapping, models, neighbors
 
 
 @dataclass
@@ -26,67 +27,138 @@ class Config:
     least_cells: int = 10
     seed: int = 123
     batch: str | None = None
+    variable: int = 5000
+    exclude: bool = True
+    force_in: tuple[str, ...] = ()
+
+
+@dataclass
+class Genes:
+    """Chosen features of counts, in order, and the mean total of the landmarks that they were chosen on."""
+
+    names: list[str]
+    mean_total: float
 
 
 @dataclass
 class Analysis:
-    """One analysis of cells (sample_id, cell_id, features) in samples (sample_id, covariates). Each verb returns self."""
+    """One analysis of cells in samples (sample_id, covariates). Each verb returns self.
 
-    cells: DataFrame
+    cells: (sample_id, cell_id, features), or, with counts as an assay (sample_id, cell_id, feature, value; zeros absent), (sample_id, cell_id).
+    Counts are normalised, excluded genes and those of little variance left out, and go on as sparse rows.
+    """
+
+    cells: DataFrame | None
     samples: DataFrame
     config: Config = field(default_factory=Config)
     provenance: list[dict] = field(default_factory=list)
+    assay: DataFrame | None = None
+    results: dict = field(default_factory=dict)
 
     def setup(self) -> Analysis:
         c = self.config
-        if {"sample_id", "cell_id", "features"} - set(self.cells.columns):
+        if self.assay is not None:
+            if {"sample_id", "cell_id", "feature", "value"} - set(self.assay.columns):
+                raise ValueError("an assay needs sample_id, cell_id, feature and value")
+            self.cells = self.assay.select("sample_id", "cell_id").distinct() if self.cells is None else self.cells.select("sample_id", "cell_id")
+            if missing := C.missing_features(self.assay, list(c.force_in)):
+                warnings.warn(f"features to be forced in that the assay does not have: {missing}", stacklevel=2)
+        elif {"sample_id", "cell_id", "features"} - set(self.cells.columns):
             raise ValueError("cells need sample_id, cell_id and features")
         sizes = C.samples(self.cells, c.least_cells)
         self.cells = self.cells.join(sizes.select("sample_id"), "sample_id", "left_semi")
+        if self.assay is not None:
+            self.assay = self.assay.join(self.cells, ["sample_id", "cell_id"], "left_semi")
         self.sizes = sizes.persist(StorageLevel.MEMORY_AND_DISK)
         self.samples = self.samples.drop("n_cells", "log10_n_cells").join(self.sizes, "sample_id")
         if self.samples.count() != self.sizes.count():
             raise ValueError("samples and cells do not match")
         self.quota = C.quotas(self.sizes, c.share, c.most_landmarks)
+        if self.assay is not None and c.components >= (least := self.sizes.agg(F.min("n_cells")).first()[0]):
+            raise ValueError(f"{c.components} components of {least} cells, the fewest of a sample")
         return self
 
-    def _collected(self, chosen: DataFrame) -> tuple[list, list, np.ndarray]:
-        rows = self.cells.join(F.broadcast(chosen.select("sample_id", "cell_id")), ["sample_id", "cell_id"]).orderBy("sample_id", "cell_id").collect()  # at most most_landmarks and one a sample
-        return [r.sample_id for r in rows], [r.cell_id for r in rows], np.array([r.features for r in rows], float)
+    def _kept(self, values: DataFrame) -> DataFrame:
+        return C.without_excluded(values, list(self.config.force_in)) if self.config.exclude else values
+
+    def _rows(self, genes: Genes | None) -> DataFrame:
+        """All cells as rows of features: as they are, or of the chosen genes by the landmarks' mean total."""
+        if genes is None:
+            return self.cells
+        index = self.cells.sparkSession.createDataFrame(list(zip(genes.names, range(len(genes.names)), strict=True)), "feature string, at int")
+        return C.sparse_cells(self.cells, C.log2p1(C.normalised(self.assay, genes.mean_total)), F.broadcast(index))  # at most ``variable`` rows and those forced in
+
+    def _first_leverage(self) -> DataFrame:
+        """Leverage within samples, of counts on the genes that vary most in each."""
+        c = self.config
+        if self.assay is None:
+            return linalg.leverage(self.cells, c.components)
+        values = self._kept(C.log2p1(C.normalised(self.assay, with_cells=True)))
+        top = C.most_variable(C.feature_moments(values), c.variable, force_in=list(c.force_in)).select("sample_id", "feature", (F.col("rank") - 1).alias("at"))
+        top = top.persist(StorageLevel.MEMORY_AND_DISK)  # samples x variable
+        width = (top.agg(F.max("at")).first()[0] or 0) + 1
+        return linalg.leverage(C.sparse_cells(self.cells, values.drop("n_cells"), top), c.components, width)
+
+    def _collected(self, chosen: DataFrame) -> tuple[list, list, np.ndarray, Genes | None]:
+        """Samples, ids and features of the chosen cells (at most most_landmarks and one a sample); of counts also the genes."""
+        c = self.config
+        own = F.broadcast(chosen.select("sample_id", "cell_id"))
+        if self.assay is None:
+            rows = self.cells.join(own, ["sample_id", "cell_id"]).orderBy("sample_id", "cell_id").collect()
+            return [r.sample_id for r in rows], [r.cell_id for r in rows], np.array([r.features for r in rows], float), None
+        held = self.assay.join(own, ["sample_id", "cell_id"]).persist(StorageLevel.MEMORY_AND_DISK)
+        total = C.totals(held).agg(F.avg("total").alias("mean"), F.count("*").alias("n")).first()
+        values = self._kept(C.log2p1(C.normalised(held, total["mean"])))
+        top = C.most_variable(C.feature_moments(values, [], total["n"]), c.variable, [], list(c.force_in))
+        genes = Genes([r.feature for r in top.select("feature", "rank").orderBy("rank").collect()], total["mean"])
+        index = self.cells.sparkSession.createDataFrame(list(zip(genes.names, range(len(genes.names)), strict=True)), "feature string, at int")
+        pdf = C.sparse_cells(chosen, C.log2p1(C.normalised(held, total["mean"])), F.broadcast(index)).orderBy("sample_id", "cell_id").toPandas()
+        held.unpersist()
+        return pdf["sample_id"].tolist(), pdf["cell_id"].tolist(), linalg.vectors(pdf, len(genes.names)), genes
 
     def landmarks(self) -> Analysis:
         """Pass 1 by leverage within samples; pass 2 by leverage on the components of the first landmarks."""
         c = self.config
-        first = C.weighted_sample(linalg.leverage(self.cells, c.components), self.quota, c.seed)
-        _, _, x = self._collected(first)
+        first = C.weighted_sample(self._first_leverage(), self.quota, c.seed)
+        *_, x, genes = self._collected(first)
         model = linalg.pca(x, c.components)
-        second = C.weighted_sample(linalg.projected_leverage(self.cells, model), self.quota, c.seed)
-        self.lm_sample, self.lm_cell, self.lm_raw = self._collected(second)
+        second = C.weighted_sample(linalg.projected_leverage(self._rows(genes), model), self.quota, c.seed)
+        self.lm_sample, self.lm_cell, self.lm_raw, self.genes = self._collected(second)
         self.pca = linalg.pca(self.lm_raw, c.components)
         self.lm_coord = self.pca.coord
+        self.lm_scaled, self.lm_expr = linalg.reconstructed(self.pca) if self.genes else ((self.lm_raw - self.pca.center) / self.pca.scale, self.lm_raw)
         if c.batch:
             level = {r.sample_id: str(r[c.batch]) for r in self.samples.select("sample_id", c.batch).collect()}
             self.lm_batch = np.array([level[s] for s in self.lm_sample])
             self.lm_coord, self.memberships, self.centroids = linalg.batch_corrected(self.lm_coord, self.lm_batch, seed=c.seed)
         spark: SparkSession = self.cells.sparkSession
-        self.lm = spark.createDataFrame([(i, s, k, x.tolist()) for i, (s, k, x) in enumerate(zip(self.lm_sample, self.lm_cell, self.lm_raw, strict=True))], f"lm_id int, sample_id {self.cells.schema['sample_id'].dataType.simpleString()}, cell_id {self.cells.schema['cell_id'].dataType.simpleString()}, features array<double>")
+        kinds = {f.name: f.dataType.simpleString() for f in self.cells.schema.fields}
+        coord = [(i, s, k, x.tolist()) for i, (s, k, x) in enumerate(zip(self.lm_sample, self.lm_cell, self.lm_raw if self.genes is None else self.lm_coord, strict=True))]
+        self.lm = spark.createDataFrame(coord, f"lm_id int, sample_id {kinds['sample_id']}, cell_id {kinds['cell_id']}, features array<double>")
         return self
 
+    @property
+    def features(self) -> list[str]:
+        return self.genes.names if self.genes else [str(i) for i in range(self.lm_raw.shape[1])]
+
     def graph(self) -> Analysis:
         c = self.config
         n = len(self.lm_coord)
         at, dist = neighbors.nearest(self.lm_coord, self.lm_coord, min(c.neighbors, n))
         self.nn = at
         self.fuzzy = neighbors.fuzzy_union(at, neighbors.smooth_weights(dist), n)
-        adjacent = np.zeros((n, n))
-        adjacent[np.repeat(np.arange(n), at.shape[1]), at.ravel()] = 1
-        common = adjacent @ adjacent.T
-        jaccard = common / (2 * at.shape[1] - common)
-        self.snn = np.where(jaccard > c.prune, jaccard, 0)
-        self.eigenmap, _ = linalg.laplacian_eigenmap(np.maximum(adjacent, adjacent.T), self.lm_coord.shape[1])
+        self.snn = neighbors.jaccard(at, c.prune)
+        joined = np.zeros((n, n), np.float32)
+        joined[np.repeat(np.arange(n), at.shape[1]), at.ravel()] = 1
+        self.eigenmap, _ = linalg.laplacian_eigenmap(joined, self.lm_coord.shape[1])
         self.clustering = annotate.Solutions("clustering")
         return self.cluster(c.resolution)
 
+    def layout(self, epochs: int = 500) -> Analysis:
+        """Two coordinates of each landmark, in lm_layout."""
+        self.lm_layout = layout.two_dimensional(self.fuzzy, self.lm_coord[:, :2], epochs, self.config.seed)
+        return self
+
     def cluster(self, resolution: float, method: str = "snn", name: str | None = None) -> Analysis:
         w = self.snn if method == "snn" else np.where(self.fuzzy > 1 / 20, self.fuzzy, 0)
         start = cluster.kmeans(self.eigenmap, min(25, max(1, len(w) // 3)), self.config.seed)
@@ -100,41 +172,60 @@ class Analysis:
         self.typing.add(name, table)
         return self
 
+    def _placed(self):
+        """(reference coordinates of landmarks, the function that places rows of cells among them)."""
+        project = self.pca.project
+        if self.config.batch:
+            return self.lm_coord, self._batch_map(project)
+        return self.lm_coord, lambda x, _: project(x)
+
     def map(self) -> Analysis:
-        """Edges of all cells in one pass; density and labels from them."""
+        """Edges of all cells in one pass, a row a cell; density and labels from them."""
         c = self.config
-        model = self.pca
-        place = model.project
-        landmarks, by_sample = self.lm, None
-        if c.batch:
-            by_sample = self._batch_map(place)
-            corrected = [(i, x.tolist()) for i, x in enumerate(self.lm_coord)]
-            landmarks, place = self.cells.sparkSession.createDataFrame(corrected, "lm_id int, features array<double>"), None
-        self.edges = neighbors.cell_neighbors(self.cells, landmarks, c.neighbors, place, by_sample).persist(StorageLevel.DISK_ONLY)
+        reference, place = self._placed()
+        rows = neighbors.placed_neighbors(self._rows(self.genes), np.arange(len(reference)), reference, "int", c.neighbors, place, self.lm_raw.shape[1], nested=True)
+        self.cell_edges = rows.persist(StorageLevel.DISK_ONLY)
+        self.edges = neighbors.exploded(self.cell_edges)
         self.density = mapping.density(self.edges, self.lm, self.sizes)
         return self.refresh()
 
+    def map_to(self, reference: Analysis, k: int = 10, threshold: float | None = None) -> Analysis:
+        """Cell types of all cells from another analysis: votes of the k nearest of its landmarks, in its own components.
+
+        Counts are normalised by its landmarks' mean total, on its genes. (sample_id, cell_id, label, confidence) goes to reference_labels.
+        """
+        place = reference.pca.project
+        if reference.genes is None and self.genes is not None or reference.genes is not None and self.assay is None:
+            raise ValueError("counts map to an analysis of counts, features to one of features")
+        nn = neighbors.placed_neighbors(self._rows(reference.genes), np.arange(len(reference.pca.coord)), reference.pca.coord, "int", k, lambda x, _: place(x), reference.lm_raw.shape[1])
+        votes = mapping.neighbor_votes(nn, reference.typing.current())
+        self.reference_labels = mapping.transferred(votes, self.cells, self.config.confidence if threshold is None else threshold)
+        return self
+
     def _batch_map(self, project):
         """Projection and batch correction of cells: one pass sums memberships by batch, the returned function is a pure map."""
         level = {r.sample_id: str(r[self.config.batch]) for r in self.samples.select("sample_id", self.config.batch).collect()}
-        centroids = self.centroids
+        centroids, rows, width = self.centroids, self._rows(self.genes), self.lm_raw.shape[1]
 
         def sums(batches):
             import pandas as pd
 
             held: dict = {}
             for pdf in batches:
-                z = project(np.stack(pdf["features"].to_numpy()).astype(float))
-                r = linalg.memberships(z, centroids)
-                name = np.array([level[s] for s in pdf["sample_id"]])
-                for b in set(name.tolist()):
-                    own = name == b
-                    n, m = held.get(b, (0, 0))
-                    held[b] = n + r[own].sum(0), m + r[own].T @ z[own]
+                for a in range(0, len(pdf), 2000):
+                    part = pdf.iloc[a : a + 2000]
+                    z = project(linalg.vectors(part, width))
+                    r = linalg.memberships(z, centroids)
+                    name = np.array([level[s] for s in part["sample_id"]])
+                    for b in set(name.tolist()):
+                        own = name == b
+                        n, m = held.get(b, (0, 0))
+                        held[b] = n + r[own].sum(0), m + r[own].T @ z[own]
             yield pd.DataFrame([{"b": b, "n": n, "m": m.ravel()} for b, (n, m) in held.items()], columns=["b", "n", "m"])
 
         total: dict = {}
-        for row in self.cells.select("sample_id", "features").mapInPandas(sums, "b string, n array<double>, m array<double>").toLocalIterator():
+        columns = ["sample_id", *(["features"] if "features" in rows.columns else ["at", "x"])]
+        for row in rows.select(*columns).mapInPandas(sums, "b string, n array<double>, m array<double>").toLocalIterator():
             n, m = total.get(row.b, (0, 0))
             total[row.b] = n + np.array(row.n), m + np.array(row.m).reshape(len(row.n), -1)
         betas = linalg.query_betas(total, self.lm_coord, self.memberships)
@@ -142,16 +233,17 @@ class Analysis:
         def place(x, sample):
             z = project(x)
             r = linalg.memberships(z, centroids)
-            return np.stack([v - w @ betas[level[s]] for v, w, s in zip(z, r, sample, strict=True)])
+            return np.stack([v - w @ betas[level[s]] for v, w, s in zip(z, r, sample, strict=True)]) if len(z) else z
 
         return place
 
     def refresh(self) -> Analysis:
-        """Labels and composition of the active solutions, from the edges that are there."""
+        """Labels and composition of the active solutions, from the edges that are there: votes are a map."""
         for kind, s in (("clustering", self.clustering), ("celltyping", getattr(self, "typing", None))):
             if s is None:
                 continue
-            labels = mapping.transferred(mapping.fuzzy_votes(self.edges, s.current()), self.cells, self.config.confidence)
+            annot = {r.lm_id: r.label for r in s.current().collect()}  # landmarks
+            labels = mapping.voted(self.cell_edges, annot, self.config.confidence)
             setattr(self, f"{kind}_labels", labels)
             setattr(self, f"{kind}_composition", mapping.composition(labels))
             s.stale = [x for x in s.stale if x == "trad"]
@@ -169,22 +261,91 @@ class Analysis:
         self.sample_pca = models.sample_pca(log)
         return self
 
-    def lm_fit(self, design: np.ndarray, contrasts: np.ndarray | None = None, block: list | None = None) -> models.Fit:
-        """Moderated models of log density by landmark, with density-weighted q beside plain ones."""
-        log, norm, _ = self.matrix()
-        rho = models.block_correlation(log, design, block) if block is not None else 0.0
-        fit = models.ols(log, design, correlation=rho, block=block)
-        fit = models.moderated(models.contrasted(fit, contrasts) if contrasts is not None else fit)
+    def effect(self, full: np.ndarray | None = None, reduced: np.ndarray | None = None, design: np.ndarray | None = None, contrast: np.ndarray | None = None) -> models.Embedding:
+        """Samples along what a full model adds to a reduced one, or along one contrast of a design."""
+        log, *_ = self.matrix()
+        return models.contrast_embedding(log, design, contrast) if contrast is not None else models.nested_embedding(log, full, reduced)
+
+    def _once(self, kind: str, name: str, again: bool, make):
+        held = self.results.setdefault(kind, {})
+        if again or name not in held:
+            held[name] = make()
+        return held[name]
+
+    def lm_fit(self, design: np.ndarray, contrasts: np.ndarray | None = None, block: list | None = None, name: str = "default", again: bool = False) -> models.Fit:
+        """Moderated models of log density by landmark, with density- and component-weighted q beside plain ones.
+
+        Models of the log percents of clusters and of cell types, where there is more than one, go with it as ``composition``. Results are kept
+        by name; a name that is there is returned unless ``again``.
+        """
+        return self._once("lm", name, again, lambda: self._lm_fit(design, contrasts, block))
+
+    def _lm_fit(self, design, contrasts, block) -> models.Fit:
+        log, norm, self.sample_names = self.matrix()
+        fit = models.fitted(log, design, contrasts, block)
         fit.density_q = np.stack([models.density_q(fit.p[:, j], norm.sum(1)) for j in range(fit.p.shape[1])], 1)
+        expanded = models.checked_design(design, log.shape[1])[[self.sample_names.index(s) for s in self.lm_sample]]
+        fit.component_q = np.stack([models.covariate_q(fit.p[:, j], self.lm_coord, self.lm_coord.std(0, ddof=1), expanded) for j in range(fit.p.shape[1])], 1)
+        fit.composition = {}
+        for kind in ("clustering", "celltyping"):
+            table = getattr(self, f"{kind}_composition", None)
+            pdf = table.where(F.col("label") != LOW_CONFIDENCE).select("label", "sample_id", log_norm(F.col("perc")).alias("y")).toPandas() if table is not None else None  # labels x samples
+            if pdf is not None and pdf["label"].nunique() > 1:
+                wide = pdf.pivot(index="label", columns="sample_id", values="y").reindex(columns=self.sample_names)
+                fit.composition[kind] = models.fitted(wide.to_numpy(), design, contrasts, block), list(wide.index)
+                getattr(self, "clustering" if kind == "clustering" else "typing").stale.clear()
         return fit
 
+    def pb_de(self, design: np.ndarray | None = None, contrasts: np.ndarray | None = None, block: list | None = None, labels: list[str] | None = None, landmarks: list[int] | None = None, against: list[str] | None = None, against_landmarks: list[int] | None = None, sets: dict[str, list[str]] | None = None, model: str = "default", result: str = "pb", again: bool = False) -> expression.Result:
+        """Models of pseudobulk expression over samples (with a design), or of chosen cells against others in the same samples (markers).
+
+        Cells are those of labels of the active cell types (clusters without any), or those that a set of landmarks claims; all by default.
+        """
+        mode = expression.mode(design is not None, labels is not None, landmarks is not None, against is not None, against_landmarks is not None)
+        return self._once(f"pb.{mode}", f"{model}/{result}", again, lambda: self._pb_de(mode, design, contrasts, block, (labels, landmarks), (against, against_landmarks), sets))
+
+    def _pb_de(self, mode, design, contrasts, block, one, two, sets) -> expression.Result:
+        values = self.assay if self.assay is not None else C.long_form(self.cells).withColumn("feature", F.col("feature").cast("string"))
+        names = [r.sample_id for r in self.sizes.select("sample_id").orderBy("sample_id").collect()]
+        told = getattr(self, "celltyping_labels", None)
+        told = self.clustering_labels if told is None else told
+        chosen = lambda labels, landmarks: mapping.chosen_cells(self.cells.select("sample_id", "cell_id"), told, labels, self.edges, landmarks, self.config.confidence).withColumn("weight", F.lit(1.0))
+        first, counts = chosen(*one), self.assay is not None
+        if mode == "design":
+            return expression.design_mode(values, first, names, design, contrasts, block, counts, sets)
+        if two == (None, None):
+            second = self.cells.select("sample_id", "cell_id").join(first, ["sample_id", "cell_id"], "left_anti").withColumn("weight", F.lit(1.0))
+        else:
+            second = chosen(*two)
+        return expression.marker_mode(values, first, second, names, counts, sets)
+
+    def pls_programs(self, coef: int, name: str = "default", components: int = 5, design: np.ndarray | None = None, block: list | None = None, interaction: bool = True, method: str = "pearson", regularise: float = 0.0, lazy: float = 1.0) -> models.Pls:
+        """Feature programs along one coefficient of a fit that ``lm_fit`` has kept; scores by landmark, loadings by feature.
+
+        design: columns of the samples that are taken out of the features first (those that the coefficient does not use), with blocks.
+        """
+        fit = self.results.get("lm", {}).get(name)
+        if fit is None:
+            raise ValueError(f"no fit of the name {name}; there are {sorted(self.results.get('lm', {}))}")
+        at = [self.sample_names.index(s) for s in self.lm_sample]
+        nuisance = models.nuisance(design, block)[at] if design is not None or block is not None else None
+        x = self.lm_raw
+        if self.genes is not None:
+            x = x[:, (x > 0).mean(0) > 0.005]
+        walk = models.random_walk(self.snn, regularise, lazy)
+        made = models.graph_pls(walk, fit.coef[:, coef], x, components, interaction, nuisance, method, self.snn)
+        made.concordance = np.stack([models.concordance(fit.coef[:, coef] - fit.coef[:, coef].mean(), np.sqrt(fit.s2_post), t, x) for t in made.scores.T], 1) if made.scores.shape[1] else np.zeros((x.shape[1], 0))
+        self.results.setdefault("pls", {})[coef] = made
+        return made
+
     def subset(self, kept: DataFrame, note: dict) -> Analysis:
         """A new analysis of some cells: nothing computed is carried over, the batch column is."""
-        cells = self.cells.join(kept.select("sample_id", "cell_id").distinct(), ["sample_id", "cell_id"], "left_semi")
-        return Analysis(cells, self.samples, self.config, [*self.provenance, note]).setup()
+        keep = kept.select("sample_id", "cell_id").distinct()
+        cells = self.cells.join(keep, ["sample_id", "cell_id"], "left_semi")
+        return Analysis(cells, self.samples, self.config, [*self.provenance, note], self.assay).setup()
 
     def run(self) -> Analysis:
         return self.setup().landmarks().graph().map().embed()
 
 
-__all__ = ["LOW_CONFIDENCE", "Analysis", "Config"]
+__all__ = ["LOW_CONFIDENCE", "Analysis", "Config", "Genes"]
