@@ -18,6 +18,8 @@ label, or with one class only, every score is the share of the positive class (0
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
@@ -112,12 +114,13 @@ def by_column(rows: np.ndarray, at: np.ndarray, edges: np.ndarray) -> np.ndarray
     return out
 
 
-def fit(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, bits: int = BITS, factors: int = FACTORS, steps: int = 120, rate: float = 0.1, prior: float = 1.0, least: int = 4, told_from: float = 3.0, quiet: float = 0.1) -> Machine:
+def fit(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, bits: int = BITS, factors: int = FACTORS, steps: int = 120, rate: float = 0.1, prior: float = 1.0, least: int = 4, told_from: float = 3.0, quiet: float = 0.1, spend: bool = False) -> Machine:
     """Full-batch Adam on the logistic loss with a Gaussian prior, as strong for few rows as for many.
 
     All columns in at least ``least`` texts have a weight and factors: none is left out for what it tells alone, as a pair
     may tell what neither of its words does. Those whose count among positive texts is within ``told_from`` standard errors of
     what chance gives have ``quiet`` for x while the machine is fitted (a prior 1 / quiet**2 as strong; w and v take it up). rows are sorted.
+    spend: rows and cols may be overwritten, so that the task holds no second copy.
     """
     n = len(y)
     ridge = prior / max(n, 1)
@@ -127,14 +130,24 @@ def fit(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, bits: int = BITS, fac
         return Machine(float(np.log(share / (1 - share))) if 0 < share < 1 else 30.0 if share else -30.0, used[:0], np.zeros(0, np.float32), np.zeros((0, factors), np.float32))
     spot = np.full(1 << bits, -1, np.int32)
     spot[used] = np.arange(len(used))
-    at = spot[cols]
-    rows, at = rows[at >= 0].astype(index_type(n), copy=False), at[at >= 0]
+    at, kept = cols if spend else np.empty(len(cols), np.int32), 0
+    rows = rows if spend else rows.astype(index_type(n))
+    for i in range(0, len(cols), 1 << 20):
+        own = spot[cols[i : i + (1 << 20)]]
+        some = own >= 0
+        k = int(some.sum())
+        rows[kept : kept + k] = rows[i : i + (1 << 20)][some]
+        at[kept : kept + k] = own[some]
+        kept += k
+    rows, at = rows[:kept], at[:kept]
     starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
     some, by_row = rows[starts], np.r_[starts, len(at)]
     df = counted(at, len(used))
     by_col = np.r_[0, np.cumsum(df)]
     turned = by_column(rows, at, by_col)
-    told = np.abs(counted(at[(y > 0)[rows]], len(used)) - df * share) / np.sqrt(df * share * (1 - share) + 1e-9)
+    positive = y > 0
+    toxic = sum((np.bincount(at[i : i + (1 << 20)][positive[rows[i : i + (1 << 20)]]], minlength=len(used)) for i in range(0, len(at), 1 << 20)), np.zeros(len(used), np.int64))
+    told = np.abs(toxic - df * share) / np.sqrt(df * share * (1 - share) + 1e-9)
     x = np.where(told >= told_from, 1, quiet).astype(np.float32)[:, None]
     rng = np.random.default_rng(7)
     p = [np.array([np.log(share / (1 - share))]), np.zeros((len(used), 1), np.float32), rng.normal(0, 0.02, (len(used), factors)).astype(np.float32)]
@@ -164,18 +177,27 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def gathered(batches, most_pairs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """rows, columns and labels of batches with y and cols, up to the row with which there are most_pairs pairs."""
-    ys, cols, sizes, held = [], [], [], 0
+    ys, sizes, held = [], [], 0
+    cols = np.empty(most_pairs, np.int32)  # only what is filled takes memory
     for batch in batches:
         own = np.diff(batch.column("cols").offsets.to_numpy())
         n = int(np.searchsorted(held + np.cumsum(own), most_pairs, "right"))
-        ys.append(batch.column("y").to_numpy()[:n])
+        size = int(own[:n].sum())
+        ys.append(batch.column("y").to_numpy()[:n].copy())
         sizes.append(own[:n])
-        cols.append(batch.column("cols").flatten().to_numpy()[: own[:n].sum()].copy())
-        held += int(own[:n].sum())
+        cols[held : held + size] = batch.column("cols").flatten().to_numpy()[:size]
+        held += size
         if n < len(own):
             break
     y, sizes = np.concatenate([np.zeros(0), *ys]), np.concatenate([np.zeros(0, np.int64), *sizes])
-    return np.repeat(np.arange(len(y), dtype=index_type(len(y))), sizes), np.concatenate([np.zeros(0, np.int32), *cols]), y
+    return np.repeat(np.arange(len(y), dtype=index_type(len(y))), sizes), cols[:held], y
+
+
+def give_back() -> None:
+    """Memory that is free goes back to the system: Spark uses a worker's process again."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = MOST, most_pairs: int = MOST_PAIRS) -> Machine:
@@ -199,7 +221,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     out = pa.schema([("b", pa.float64()), ("used", pa.binary()), ("w", pa.binary()), ("v", pa.binary())])
 
     def fitted(batches):
-        m = fit(*gathered(batches, most_pairs))
+        m = fit(*gathered(batches, most_pairs), spend=True)
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array([m.b]), *(pa.array([x.tobytes()], pa.binary()) for x in (m.used, m.w, m.v))], schema=out)
 
     got = one.mapInArrow(fitted, "b double, used binary, w binary, v binary").first()
