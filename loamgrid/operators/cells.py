@@ -24,9 +24,10 @@ def of_large_samples(cells: DataFrame, least: int = 10) -> DataFrame:
     return cells.join(samples(cells, least).select("sample_id"), "sample_id", "left_semi")
 
 
-def matched(assay: DataFrame, meta: DataFrame, on: str = "cell_id") -> tuple[DataFrame, DataFrame]:
-    """assay with meta's columns, and the cells of either side that have no partner."""
-    left, right = assay.select(on).distinct(), meta.select(on).distinct()
+def matched(assay: DataFrame, meta: DataFrame, on: str | list[str] = "cell_id") -> tuple[DataFrame, DataFrame]:
+    """assay with meta's columns, and the cells of either side that have no partner. on: what names a cell; its sample too where ids repeat across samples."""
+    on = [on] if isinstance(on, str) else list(on)
+    left, right = assay.select(*on).distinct(), meta.select(*on).distinct()
     lost = left.join(right, on, "left_anti").withColumn("side", F.lit("assay")).unionByName(right.join(left, on, "left_anti").withColumn("side", F.lit("meta")))
     return assay.join(meta, on), lost
 
@@ -45,8 +46,10 @@ def common_features(layers: DataFrame) -> DataFrame:
 def sample_level_columns(meta: DataFrame, sample: str = "sample_id") -> list[str]:
     """Columns with one value in every sample; null counts as a value."""
     names = [c for c in meta.columns if c != sample]
+    if not names:
+        return []
     one = meta.groupBy(sample).agg(*[(F.count_distinct(c) + F.max(F.col(c).isNull().cast("int")) == 1).alias(c) for c in names])
-    row = one.agg(*[F.bool_and(c).alias(c) for c in names]).first() if names else None
+    row = one.agg(*[F.bool_and(c).alias(c) for c in names]).first()
     return [c for c in names if row[c]]
 
 
@@ -83,8 +86,9 @@ def normalised(assay: DataFrame, mean_total: float | None = None, with_cells: bo
     sized = assay.select(*CELL, "feature", "value", F.sum("value").over(cell).alias("total"), F.count("*").over(cell).alias("rows"))
     if mean_total is not None:
         return sized.select(*CELL, "feature", (F.col("value") / (F.col("total") / F.lit(float(mean_total)))).alias("value"))
-    mean = sized.groupBy("sample_id").agg(F.sum("value").alias("all"), F.round(F.sum(1 / F.col("rows"))).cast("long").alias("n_cells"), F.max("feature").alias("last"))
-    mean = F.broadcast(mean.where("last is not null or all is null").select("sample_id", (F.col("all") / F.col("n_cells")).alias("mean_total"), "n_cells"))  # one row a sample
+    mean = sized.groupBy("sample_id").agg(F.sum("value").alias("all"), F.round(F.sum(1 / F.col("rows"))).cast("long").alias("n_cells"), F.count("feature").alias("named"))
+    # the condition holds for all samples with a named feature; it has both branches read the same columns, so that Spark deals the assay once
+    mean = F.broadcast(mean.where("named > 0 or n_cells > 0").select("sample_id", (F.col("all") / F.col("n_cells")).alias("mean_total"), "n_cells"))  # one row a sample
     return sized.join(mean, "sample_id").select(*CELL, "feature", (F.col("value") / (F.col("total") / F.col("mean_total"))).alias("value"), *(["n_cells"] if with_cells else []))
 
 

@@ -87,6 +87,13 @@ def communities(w: np.ndarray, resolution: float = 0.8, start: np.ndarray | None
     return label
 
 
+def connectivity(w: np.ndarray, label: np.ndarray, clusters: int | None = None) -> np.ndarray:
+    """Mean weight between the nodes of each two clusters, pairs without an edge and a node with itself included."""
+    one = np.eye(clusters or int(label.max()) + 1)[label]
+    size = one.sum(0)
+    return one.T @ w @ one / np.maximum(np.outer(size, size), 1)
+
+
 def absorbed(w: np.ndarray, label: np.ndarray, small: int = 3) -> np.ndarray:
     """Clusters of at most ``small`` nodes join the cluster of the largest mean connection; ties go to the lowest label."""
     label = renumbered(label)
@@ -95,8 +102,7 @@ def absorbed(w: np.ndarray, label: np.ndarray, small: int = 3) -> np.ndarray:
         weak = np.flatnonzero((sizes > 0) & (sizes <= small))
         if not len(weak) or (sizes > 0).sum() < 2:
             return renumbered(label)
-        one = np.eye(len(sizes))[label]
-        mean = one.T @ w @ one / np.maximum(np.outer(sizes, sizes), 1)
+        mean = connectivity(w, label, len(sizes))
         i = weak[np.argmin(sizes[weak])]
         mean[i, i] = -1
         mean[i, sizes == 0] = -1

@@ -56,7 +56,7 @@ def vectors(pdf: pd.DataFrame, width: int) -> np.ndarray:
         return np.stack(pdf["features"].to_numpy()).astype(float) if len(pdf) else np.zeros((0, width))
     out = np.zeros((len(pdf), width))
     size = pdf["at"].map(len).to_numpy()
-    out[np.repeat(np.arange(len(pdf)), size), np.concatenate([np.zeros(0, int), *pdf["at"]])] = np.concatenate([np.zeros(0), *pdf["x"]])
+    out[np.repeat(np.arange(len(pdf)), size), np.concatenate([np.zeros(0, int), *pdf["at"]]).astype(int)] = np.concatenate([np.zeros(0), *pdf["x"]])
     return out
 
 
@@ -72,8 +72,10 @@ def _sums(cells: DataFrame, of, width: int, step: int = 2000) -> dict:
         held: dict = {}
         for pdf in batches:
             for a in range(0, len(pdf), step):
-                for s, own in pdf.iloc[a : a + step].groupby("sample_id"):
-                    v = of(vectors(own, width), s)
+                part = pdf.iloc[a : a + step]
+                x = vectors(part, width)
+                for s, at in part.groupby("sample_id").indices.items():
+                    v = of(x[at], s)
                     held[s] = held[s] + v if s in held else v
         yield pd.DataFrame([{"sample_id": s, "v": v} for s, v in held.items()], columns=["sample_id", "v"])
 
@@ -120,10 +122,10 @@ def leverage(cells: DataFrame, components: int | None = None, width: int | None
         for pdf in batches:
             for a in range(0, len(pdf), 2000):
                 part = pdf.iloc[a : a + 2000]
-                weight = np.zeros(len(part))
+                weight, x = np.zeros(len(part)), vectors(part, p)
                 for s, at in part.groupby("sample_id").indices.items():
                     mean, sd, axes = held.value[s]
-                    weight[at] = ((((vectors(part.iloc[at], p) - mean) / sd) @ axes) ** 2).sum(1)
+                    weight[at] = ((((x[at] - mean) / sd) @ axes) ** 2).sum(1)
                 yield pd.DataFrame({"sample_id": part["sample_id"], "cell_id": part["cell_id"], "weight": weight})
 
     return cells.select("sample_id", "cell_id", *_columns(cells)).mapInPandas(score, f"{kind}, cell_id {cells.schema['cell_id'].dataType.simpleString()}, weight double")

@@ -50,6 +50,18 @@ def transferred(votes: DataFrame, cells: DataFrame, threshold: float = 0.5) -> D
     return out.select(*CELL, F.when(F.col("confidence") >= threshold, F.col("label")).otherwise(LOW_CONFIDENCE).alias("label"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
 
 
+def reference_labels(cells: DataFrame, reference: DataFrame, k: int = 10, threshold: float = 0.5) -> DataFrame:
+    """(sample_id, cell_id, label, confidence): votes of the k nearest rows of a labelled reference (lm_id, features, label), at most 50,000."""
+    from .neighbors import cell_neighbors
+
+    return transferred(neighbor_votes(cell_neighbors(cells, reference, k), reference.select("lm_id", "label")), cells, threshold)
+
+
+def expanded(landmarks: DataFrame, samples: DataFrame) -> DataFrame:
+    """Each landmark with the columns of its sample. samples: a row a sample."""
+    return landmarks.select("lm_id", "sample_id").join(F.broadcast(samples), "sample_id")
+
+
 def composition(labels: DataFrame) -> DataFrame:
     """(sample_id, label, count, perc) for all samples and labels, zeros kept. labels: (sample_id, cell_id, label)."""
     counts = labels.groupBy("sample_id", "label").agg(F.count("*").alias("count"))

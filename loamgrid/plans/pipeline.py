@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import warnings
 from dataclasses import dataclass, field
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import LOW_CONFIDENCE, log_norm
 from ..operators import annotate, cells as C, cluster, expression, layout, linalg, mapping, models, neighbors
+from ..sources import store
 
 
 @dataclass
@@ -116,13 +118,18 @@ class Analysis:
         held.unpersist()
         return pdf["sample_id"].tolist(), pdf["cell_id"].tolist(), linalg.vectors(pdf, len(genes.names)), genes
 
+    def _sampled(self, weights: DataFrame) -> DataFrame:
+        """The weighted sample of the quotas, made once: at most most_landmarks rows and one a sample."""
+        chosen = C.weighted_sample(weights, self.quota, self.config.seed).select("sample_id", "cell_id")
+        return self.cells.sparkSession.createDataFrame(chosen.collect(), chosen.schema)
+
     def landmarks(self) -> Analysis:
         """Pass 1 by leverage within samples; pass 2 by leverage on the components of the first landmarks."""
         c = self.config
-        first = C.weighted_sample(self._first_leverage(), self.quota, c.seed)
+        first = self._sampled(self._first_leverage())
         *_, x, genes = self._collected(first)
         model = linalg.pca(x, c.components)
-        second = C.weighted_sample(linalg.projected_leverage(self._rows(genes), model), self.quota, c.seed)
+        second = self._sampled(linalg.projected_leverage(self._rows(genes), model))
         self.lm_sample, self.lm_cell, self.lm_raw, self.genes = self._collected(second)
         self.pca = linalg.pca(self.lm_raw, c.components)
         self.lm_coord = self.pca.coord
@@ -195,7 +202,7 @@ class Analysis:
         Counts are normalised by its landmarks' mean total, on its genes. (sample_id, cell_id, label, confidence) goes to reference_labels.
         """
         place = reference.pca.project
-        if reference.genes is None and self.genes is not None or reference.genes is not None and self.assay is None:
+        if (reference.genes is None) != (self.assay is None):
             raise ValueError("counts map to an analysis of counts, features to one of features")
         nn = neighbors.placed_neighbors(self._rows(reference.genes), np.arange(len(reference.pca.coord)), reference.pca.coord, "int", k, lambda x, _: place(x), reference.lm_raw.shape[1])
         votes = mapping.neighbor_votes(nn, reference.typing.current())
@@ -347,5 +354,64 @@ class Analysis:
     def run(self) -> Analysis:
         return self.setup().landmarks().graph().map().embed()
 
+    def save(self, kept: store.Store) -> Analysis:
+        """Keeps what ``map`` has made: landmarks, edges, density, sizes, samples and labellings of both kinds."""
+        spark = self.cells.sparkSession
+        kept.write(self.samples, "samples")
+        kept.write(self.sizes, "sizes")
+        kept.write(self.lm, "landmarks")
+        kept.write(self.cell_edges, "edges", ["sample_id"])
+        kept.write(self.density, "density")
+        for kind in ("clustering", "typing"):
+            solutions = getattr(self, kind, None)
+            for name, table in (solutions.tables if solutions else {}).items():
+                kept.write(table.select("lm_id", "label"), f"{kind}.{name}")
+        model = {"config": vars(self.config), "active": {k: getattr(self, k).active for k in ("clustering", "typing") if getattr(self, k, None)}, "genes": vars(self.genes) if self.genes else None, "provenance": self.provenance}
+        arrays = {"center": self.pca.center, "scale": self.pca.scale, "rotation": self.pca.rotation, "d": self.pca.d, "coord": self.pca.coord, "lm_coord": self.lm_coord, "lm_raw": self.lm_raw}
+        kept.write(spark.createDataFrame([("model", json.dumps(model), None, None)] + [(k, None, [int(n) for n in v.shape], v.ravel().tolist()) for k, v in arrays.items()], "name string, said string, shape array<int>, v array<double>"), "model")
+        return self
 
-__all__ = ["LOW_CONFIDENCE", "Analysis", "Config", "Genes"]
+    @classmethod
+    def load(cls, kept: store.Store, cells: DataFrame | None = None, assay: DataFrame | None = None) -> Analysis:
+        """An analysis as ``save`` has kept it, of the same cells; it can embed, model, label anew and serve as a reference."""
+        rows = {r.name: r for r in kept.read("model").collect()}  # a model is landmark-sized
+        said = json.loads(rows["model"].said)
+        config = said["config"] | {"force_in": tuple(said["config"]["force_in"])}
+        out = cls(cells, kept.read("samples"), Config(**config), said["provenance"], assay)
+        arr = lambda k: np.array(rows[k].v, float).reshape(rows[k].shape)
+        out.pca = linalg.PCA(*(arr(k) for k in ("center", "scale", "rotation", "d", "coord")))
+        out.lm_coord, out.lm_raw, out.genes = arr("lm_coord"), arr("lm_raw"), Genes(**said["genes"]) if said["genes"] else None
+        out.lm, out.sizes, out.cell_edges, out.density = (kept.read(k) for k in ("landmarks", "sizes", "edges", "density"))
+        placed = out.lm.orderBy("lm_id").select("sample_id", "cell_id").collect()
+        out.lm_sample, out.lm_cell = [r.sample_id for r in placed], [r.cell_id for r in placed]
+        out.edges = neighbors.exploded(out.cell_edges)
+        out.cells = out.cell_edges.select("sample_id", "cell_id") if cells is None else cells
+        for kind, label in (("clustering", "clustering"), ("typing", "celltyping")):
+            names = [n.removeprefix(f"{kind}.") for n in kept.names() if n.startswith(f"{kind}.")]
+            if names:
+                solutions = annotate.Solutions(label)
+                for n in names:
+                    solutions.add(n, kept.read(f"{kind}.{n}"), activate=False)
+                solutions.activate(said["active"][kind])
+                setattr(out, kind, solutions)
+        return out.refresh()
+
+
+def analysis_of(source, samples: DataFrame | None = None, config: Config | None = None, spark: SparkSession | None = None, **unknown) -> Analysis:
+    """An analysis of whatever holds cells: the path of a Parquet table, a table of counts, of features, or with a column for each marker.
+
+    Without samples they are the cells' own, with the columns that have one value in each. Unknown arguments are named in a warning.
+    """
+    if unknown:
+        warnings.warn(f"unknown arguments: {sorted(unknown)}", stacklevel=2)
+    df = (spark or SparkSession.getActiveSession()).read.parquet(source) if isinstance(source, str) else source
+    if not isinstance(df, DataFrame):
+        raise TypeError(f"no analysis of a {type(source).__name__}")
+    if {"feature", "value"} <= set(df.columns):
+        own = samples if samples is not None else C.sample_table(df.drop("cell_id", "feature", "value"))
+        return Analysis(None, own, config or Config(), assay=df)
+    own = samples if samples is not None else C.sample_table(df.drop("cell_id", "features"))
+    return Analysis(store.checked_cells(df), own, config or Config())
+
+
+__all__ = ["LOW_CONFIDENCE", "Analysis", "Config", "Genes", "analysis_of"]

@@ -7,23 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as X
 from ..operators import cells as C
-from ..operators import annotate, linalg, mapping, neighbors, report, validate
+from ..operators import annotate, linalg, mapping, models, neighbors, report, validate
 from ..sources import store
-from .adapters import VIEWS, order_assay, order_cells, vector_cells, vector_landmarks
-
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None, views: bool = True):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = (VIEWS if views else "") + sql
-        return f
-
-    return keep
+from .adapters import order_assay, order_cells, vector_cells, vector_landmarks
+from .registry import ORACLES, QUERIES, query
 
+__all__ = ["ORACLES", "QUERIES"]
 
 def _r(c, digits: int = 6):
     return F.round(c, digits) + F.lit(0.0)
@@ -214,11 +203,9 @@ _P = ", p AS (SELECT feature AS unit, sample_id AS term, (CAST('0x' || substr(md
 @query(_P + """, c AS (SELECT unit, term, p, sum(w) OVER (PARTITION BY term) * p / sum(w) OVER (PARTITION BY term ORDER BY p, unit) AS a FROM p)
 SELECT unit, term, round(least(1.0, min(a) OVER (PARTITION BY term ORDER BY p, unit ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS q FROM c""")
 def weighted_fdr(spark: SparkSession, sf: str) -> DataFrame:
-    """Benjamini-Hochberg with weights, for each term."""
-    p = order_assay(spark, sf).groupBy(F.col("feature").alias("unit"), F.col("sample_id").alias("term")).agg((1 / F.log10(F.count("*") + 1)).alias("w")).withColumn("p", X.u01(7, F.col("unit"), F.col("term")))
-    up = Window.partitionBy("term").orderBy("p", "unit")
-    adj = p.withColumn("a", F.sum("w").over(Window.partitionBy("term")) * F.col("p") / F.sum("w").over(up.rowsBetween(Window.unboundedPreceding, 0)))
-    return adj.select("unit", "term", _r(F.least(F.lit(1.0), F.min("a").over(up.rowsBetween(0, Window.unboundedFollowing)))).alias("q"))
+    """Density-weighted Benjamini-Hochberg for each term, as the models do it."""
+    p = order_assay(spark, sf).groupBy(F.col("feature").alias("unit"), F.col("sample_id").alias("term")).agg(F.count("*").cast("double").alias("norm_sum")).withColumn("p", X.u01(7, F.col("unit"), F.col("term")))
+    return models.density_adjusted(p).select("unit", "term", _r("q").alias("q"))
 
 
 @query("SELECT sample_id, cell_id, feature, rank() OVER (PARTITION BY sample_id, feature ORDER BY value) + (count(*) OVER (PARTITION BY sample_id, feature, value) - 1) / 2.0 AS rank FROM assay")
@@ -291,8 +278,6 @@ def moderated_contrast(spark: SparkSession, sf: str) -> DataFrame:
     """Moderated models of landmark density; (lm_id, coef, p, q, weighted_q). Tests hold them against closed forms."""
     import numpy as np
 
-    from ..operators import models
-
     pdf = _density(spark, sf).toPandas()  # landmarks x samples
     wide = pdf.pivot(index="lm_id", columns="sample_id", values="log_norm").sort_index(axis=1)
     norm = pdf.pivot(index="lm_id", columns="sample_id", values="norm").sum(axis=1).to_numpy()

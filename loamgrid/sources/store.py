@@ -1,12 +1,17 @@
 """Loading, simulating and keeping tables.
 
-Kept tables are Parquet folders with a manifest (schema version, rows); a table is written aside and renamed,
-so readers never see half of it. Cell tables are partitioned by sample, so a scan of one sample prunes.
+Kept tables are Parquet folders with a manifest (schema version, rows). A table is written to a folder of its own, which the small file of its name
+then points to, so readers see the old table or the new one, never half of either; the folder before goes after that. Cell tables are
+partitioned by sample, so a scan of one sample prunes.
 """
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import json
+import tempfile
+import time
 import uuid
 from dataclasses import dataclass
 
@@ -36,22 +41,38 @@ class Store:
     path: str
 
     def write(self, df: DataFrame, name: str, by: list[str] = ()) -> DataFrame:
-        aside = f"{self.path}/.{name}-{uuid.uuid4().hex}"
+        folder = f"{name}-{uuid.uuid4().hex}"
         writer = df.write.partitionBy(*by) if by else df.write
-        writer.parquet(aside)
-        rows = self.spark.read.parquet(aside).count()
-        fs, manifest = _fs(self.spark, f"{aside}/_manifest.json")
-        stream = fs.create(manifest, True)
-        stream.write(bytearray(json.dumps({"schema_version": SCHEMA_VERSION, "rows": rows, "schema": df.schema.jsonValue()}).encode()))
+        writer.parquet(f"{self.path}/.data/{folder}")
+        rows = self.spark.read.schema(df.schema).parquet(f"{self.path}/.data/{folder}").count()
+        fs, aside = _fs(self.spark, f"{self.path}/.{folder}")
+        stream = fs.create(aside, True)
+        stream.write(bytearray(json.dumps({"schema_version": SCHEMA_VERSION, "rows": rows, "folder": folder, "schema": df.schema.jsonValue()}).encode()))
         stream.close()
-        _, final = _fs(self.spark, f"{self.path}/{name}")
-        fs.delete(final, True)
-        if not fs.rename(_fs(self.spark, aside)[1], final):
-            raise OSError(f"{name} could not be put in place")
+        final = _fs(self.spark, f"{self.path}/{name}")[1]
+        before = self.manifest(name).get("folder") if fs.exists(final) else None
+        self._replace(fs.makeQualified(aside), fs.makeQualified(final))
+        if before:
+            fs.delete(_fs(self.spark, f"{self.path}/.data/{before}")[1], True)
         return self.read(name)
 
+    def _replace(self, aside, final) -> None:
+        """Renames over the old name in one step."""
+        jvm = self.spark.sparkContext._jvm
+        kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = self.spark.sparkContext._gateway.new_array(kind, 1)
+        how[0] = kind.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(aside, final, how)
+
+    def cached(self, name: str, make, by: list[str] = ()) -> DataFrame:
+        """The table of that name if it is kept in this version, else what make() gives, kept."""
+        try:
+            return self.read(name)
+        except (FileNotFoundError, ValueError):
+            return self.write(make(), name, by)
+
     def manifest(self, name: str) -> dict:
-        fs, p = _fs(self.spark, f"{self.path}/{name}/_manifest.json")
+        fs, p = _fs(self.spark, f"{self.path}/{name}")
         if not fs.exists(p):
             raise FileNotFoundError(f"no table {name}")
         stream = fs.open(p)
@@ -63,7 +84,7 @@ class Store:
         said = self.manifest(name)
         if said["schema_version"] != SCHEMA_VERSION:
             raise ValueError(f"{name} has schema version {said['schema_version']}; this is version {SCHEMA_VERSION}")
-        df = self.spark.read.schema(T.StructType.fromJson(said["schema"])).parquet(f"{self.path}/{name}")
+        df = self.spark.read.schema(T.StructType.fromJson(said["schema"])).parquet(f"{self.path}/.data/{said['folder']}")
         return df if sample is None else df.where(F.col("sample_id") == sample)
 
     def names(self) -> list[str]:
@@ -77,14 +98,67 @@ class Store:
                 raise ValueError(f"{name} has lost rows")
 
     def info(self) -> list[dict]:
-        fs = _fs(self.spark, self.path)[0]
-        return [{"name": n, "rows": self.manifest(n)["rows"], "bytes": fs.getContentSummary(_fs(self.spark, f"{self.path}/{n}")[1]).getLength()} for n in self.names()]
+        fs, said = _fs(self.spark, self.path)[0], {n: self.manifest(n) for n in self.names()}
+        return [{"name": n, "rows": m["rows"], "bytes": fs.getContentSummary(_fs(self.spark, f"{self.path}/.data/{m['folder']}")[1]).getLength()} for n, m in said.items()]
 
     def cleanup(self) -> None:
         fs, p = _fs(self.spark, self.path)
         fs.delete(p, True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share: spark.checkpoint.dir, or where that is unset and the master is local a temporary one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+        found = spark.sparkContext.getCheckpointDir()
+    return found.rstrip("/")
+
+
+RUN = "loamgrid-run-"
+
+
+def run_key(now: float | None = None) -> str:
+    """A name of a run that sorts by its start and is like no other."""
+    return f"{RUN}{int(now if now is not None else time.time()):012d}-{uuid.uuid4().hex[:12]}"
+
+
+def workspace(spark: SparkSession, root: str | None = None) -> Store:
+    """A store of this run, below the shared folder; it goes when the driver ends."""
+    store = Store(spark, f"{root or shared_folder(spark)}/{run_key()}")
+
+    def end() -> None:
+        with contextlib.suppress(Exception):
+            store.cleanup()
+
+    atexit.register(end)
+    return store
+
+
+def sweep_orphans(spark: SparkSession, root: str, older: float = 7 * 86_400, now: float | None = None) -> list[str]:
+    """Removes the stores of runs that began more than ``older`` seconds ago (their drivers ended without removing them); the names that went."""
+    fs, p = _fs(spark, root)
+    limit = (now if now is not None else time.time()) - older
+    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    gone = sorted(n for n in names if n.startswith(RUN) and n[len(RUN) :].split("-")[0].isdigit() and int(n[len(RUN) :].split("-")[0]) < limit)
+    for n in gone:
+        fs.delete(_fs(spark, f"{root}/{n}")[1], True)
+    return gone
+
+
+def export(store: Store, density: DataFrame, solutions: dict[str, DataFrame], active: str | None, samples: DataFrame) -> Store:
+    """Tables for other tools: assays (lm_id, sample_id, counts, normcounts, logcounts), rows (lm_id, a column for each labelling, and the active one), columns (samples)."""
+    store.write(density.select("lm_id", "sample_id", F.col("raw").alias("counts"), F.col("norm").alias("normcounts"), F.col("log_norm").alias("logcounts")), "assays")
+    rows = density.select("lm_id").distinct()
+    for name, labels in solutions.items():
+        rows = rows.join(labels.select("lm_id", F.col("label").alias(name)), "lm_id", "left")  # landmarks
+    store.write(rows.withColumn("active", F.col(active)) if active else rows, "rows")
+    store.write(samples, "columns")
+    return store
+
+
 def checked_cells(cells: DataFrame, markers: list[str] | None = None, least_markers: int = 3) -> DataFrame:
     """cells with an array of features: made of the named columns, or of all numeric ones."""
     if "features" in cells.columns:
@@ -110,7 +184,9 @@ def load_assay(spark: SparkSession, paths: list[str], meta: DataFrame, least: in
     for path in paths:
         fs, p = _fs(spark, path)
         if fs.exists(p):
-            assay, lost = matched(spark.read.parquet(path).drop("sample_id"), meta)
+            own = spark.read.parquet(path)
+            on = ["sample_id", "cell_id"] if "sample_id" in own.columns else ["cell_id"]  # ids need only be unique within their sample
+            assay, lost = matched(own, meta, on)
             return of_large_samples(assay.select("sample_id", "cell_id", "feature", "value"), least), lost
     raise FileNotFoundError(f"none of {paths} exists")
 
@@ -149,3 +225,24 @@ def simulate_expression(spark: SparkSession, cells: int = 50_000, per_group: int
     target = u01(seed, F.col("id")) < 0.05
     marks = F.array(*[F.when(target & F.lit(m == 0), 2.0).otherwise(0.0) + F.when(target & (group == 1) & F.lit(m == 1), shift * 0.5).otherwise(0.0) + _normal(seed + 10 * m, F.col("id")) * 0.5 for m in range(5)])
     return ids.select(F.format_string("sample%02d", F.col("s")).alias("sample_id"), F.concat(F.lit("cell"), F.col("id")).alias("cell_id"), marks.alias("features"), shift.alias("shift"), F.when(group == 1, "activated").otherwise("control").alias("treatment"), F.when(target, "target").otherwise("other").alias("cell_type"))
+
+
+#: Share of condition A in each of ten stages of the trajectory.
+STAGES = (0.5, 0.4, 0.3, 0.2, 0.1, 0.8, 0.85, 0.9, 0.95, 1.0)
+
+
+def trajectory_cells(spark: SparkSession, cells: int = 5000, replicates: int = 3, seed: int = 1) -> DataFrame:
+    """(cell_id, stage, condition, replicate, sample_id): cells along a path of ten stages, at each of which one condition has its own share."""
+    ids = spark.range(cells).withColumn("stage", F.floor(u01(seed, F.col("id")) * len(STAGES)).cast("int"))
+    a = u01(seed + 1, F.col("id")) < F.array(*[F.lit(x) for x in STAGES])[F.col("stage")]
+    named = ids.withColumn("condition", F.when(a, "A").otherwise("B")).withColumn("replicate", F.concat(F.lit("R"), (F.floor(u01(seed + 2, F.col("id")) * replicates) + 1).cast("int")))
+    return named.select(F.concat(F.lit("cell"), "id").alias("cell_id"), "stage", "condition", "replicate", F.concat_ws("_", "condition", "replicate").alias("sample_id"))
+
+
+def trajectory_counts(spark: SparkSession, cells: int = 5000, genes: int = 500, replicates: int = 3, seed: int = 1) -> DataFrame:
+    """(sample_id, cell_id, feature, value) of ``trajectory_cells``: a gene peaks at one place of the path; counts are geometric around that mean, zeros absent."""
+    own = trajectory_cells(spark, cells, replicates, seed).crossJoin(spark.range(genes).withColumnRenamed("id", "gene"))  # the result itself, before its zeros go
+    peak = F.col("gene") * len(STAGES) / genes
+    mean = 0.2 + 6 * F.exp(-F.pow(F.col("stage") - peak, 2) / 2)
+    value = F.floor(F.log(u01(seed + 3, F.col("cell_id"), F.col("gene"))) / F.log(mean / (1 + mean)))
+    return own.select("sample_id", "cell_id", F.format_string("gene%03d", "gene").alias("feature"), value.cast("double").alias("value")).where("value > 0")

@@ -16,7 +16,7 @@ NAMES = [n for n in entry.oracle_sql() if not n.startswith("op")]
 @pytest.mark.parametrize("name", NAMES)
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
-    for t in "nation customer supplier part orders lineitem embeddings".split():
+    for t in "region nation customer supplier part orders lineitem events embeddings".split():
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got = entry.queries()[name](spark, SF)
     want = con.execute(entry.oracle_sql()[name])
