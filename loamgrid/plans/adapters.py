@@ -13,7 +13,8 @@ assay AS (SELECT sample_id, cell_id, p_brand AS feature, sum(l_quantity) AS valu
           FROM lineitem JOIN cell ON CAST(l_orderkey AS VARCHAR) = cell_id JOIN part ON l_partkey = p_partkey GROUP BY ALL),
 vec AS (SELECT CAST(vec_id % 10 AS INTEGER) AS sample_id, vec_id AS cell_id, CAST(embedding AS DOUBLE[]) AS features, CAST(label AS VARCHAR) AS label FROM embeddings),
 vkey AS (SELECT *, -ln((CAST('0x' || substr(md5('123_' || sample_id || '_' || cell_id), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0) AS key FROM vec),
-lm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY key, cell_id) AS r FROM vkey) WHERE r <= 5)
+vquota AS (SELECT sample_id, least(ceil(count(*) * 0.1), ceil(least(sum(count(*)) OVER () * 0.1, 5000.0) / count(*) OVER ())) AS quota FROM vec GROUP BY 1),
+lm AS (SELECT sample_id, cell_id, features, label, key, r FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY key, cell_id) AS r FROM vkey) JOIN vquota USING (sample_id) WHERE r <= quota)
 """
 
 
@@ -39,11 +40,10 @@ def vector_cells(spark: SparkSession, sf: str) -> DataFrame:
     return v.select((F.col("vec_id") % 10).cast("int").alias("sample_id"), F.col("vec_id").alias("cell_id"), F.col("embedding").cast("array<double>").alias("features"), F.col("label").cast("string").alias("label"))
 
 
-def vector_landmarks(spark: SparkSession, sf: str, each: int = 5) -> DataFrame:
-    """Equal-weight landmarks: ``each`` cells of every sample, by md5 keys, so that DuckDB picks the same."""
-    from ..operators.cells import weighted_sample
+def vector_landmarks(spark: SparkSession, sf: str) -> DataFrame:
+    """Equal-weight landmarks: of every sample its quota of cells (a tenth, 5000 in all at most), by md5 keys, so that DuckDB picks the same."""
+    from ..operators.cells import quotas, samples, weighted_sample
 
     cells = vector_cells(spark, sf)
-    quota = cells.select("sample_id").distinct().withColumn("quota", F.lit(each))
-    chosen = weighted_sample(cells.select("sample_id", "cell_id", F.lit(1.0).alias("weight")), quota)
+    chosen = weighted_sample(cells.select("sample_id", "cell_id", F.lit(1.0).alias("weight")), quotas(samples(cells, 1)))
     return cells.join(F.broadcast(chosen.select("cell_id")), "cell_id").select(F.col("cell_id").alias("lm_id"), "sample_id", "features", "label")
