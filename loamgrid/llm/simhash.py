@@ -227,14 +227,26 @@ def spread(base: DataFrame, radius: int, words: int, hot: int) -> tuple[DataFram
     blocks = lambda n: F.ceil(n / half).cast("int")
     best = best.join(tried, "shard").select("shard", F.col("tried")[F.col("best.i")].alias("p"), blocks(F.col("best.near")).alias("near_blocks"), blocks(F.col("best.n") - F.col("best.near")).alias("rest_blocks"))
     told = held.join(written(best, "pivots"), "shard").withColumn("near", apart(F.col("fp"), F.col("p.at"), words) <= radius)
-    told = written(told.select("key", "fp", "shard", "near", "p.pivot", "rest_blocks", "near_blocks", F.pmod(F.xxhash64("key", F.lit("block")), F.when(F.col("near"), F.col("near_blocks")).otherwise(F.col("rest_blocks"))).cast("int").alias("b")), "told")
-    to_rest = F.when(F.col("rest_blocks") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("rest_blocks"), F.lit(1)) - 1), lambda j: F.when(F.col("near"), F.struct(F.lit(1).alias("kind"), F.col("b").alias("i"), j.alias("j"))).otherwise(F.struct(F.lit(0).alias("kind"), F.least("b", j).alias("i"), F.greatest("b", j).alias("j")))))
-    to_near = F.when(~F.col("near") & (F.col("near_blocks") > 0), F.transform(F.sequence(F.lit(0), F.greatest(F.col("near_blocks"), F.lit(1)) - 1), lambda i: F.struct(F.lit(1).alias("kind"), i.alias("i"), F.col("b").alias("j"))))
-    none = F.expr("cast(array() as array<struct<kind:int,i:int,j:int>>)")
-    dealt = told.select("key", "fp", "shard", F.explode(F.concat(F.coalesce(to_rest, none), F.coalesce(to_near, none))).alias("g")).select("key", "fp", F.xxhash64("shard", "g.kind", "g.i", "g.j").alias("shard"))
+    told = written(told.select("key", "fp", "shard", "near", "p.pivot", "rest_blocks", "near_blocks"), "told")
+    dealt = in_blocks(told, "shard", "key", "fp").select("key", "fp", F.col("grp").alias("shard"))
     return base.join(large, "shard", "left_anti").select("key", "fp", "shard").unionByName(dealt), told.where("near and key <> pivot").select(F.greatest("key", "pivot").alias("u"), F.least("key", "pivot").alias("v"))
 
 
+def in_blocks(told: DataFrame, of: str, *columns: str) -> DataFrame:
+    """columns and grp of all groups in which pairs are still to be compared: the rest's blocks with each other, and with those near the pivot.
+
+    told: a row a member, with near, near_blocks and rest_blocks of its ``of``; blocks go by hash of the key.
+    """
+    own = F.pmod(F.xxhash64("key", F.lit("block")), F.when(F.col("near"), F.col("near_blocks")).otherwise(F.col("rest_blocks"))).cast("int")
+    pair = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    many = lambda n: F.sequence(F.lit(0), F.greatest(F.col(n), F.lit(1)) - 1)
+    to_rest = F.when(F.col("rest_blocks") > 0, F.transform(many("rest_blocks"), lambda j: F.when(F.col("near"), pair(1, F.col("b"), j)).otherwise(pair(0, F.least("b", j), F.greatest("b", j)))))
+    to_near = F.when(~F.col("near") & (F.col("near_blocks") > 0), F.transform(many("near_blocks"), lambda i: pair(1, i, F.col("b"))))
+    none = F.expr("cast(array() as array<struct<kind:int,i:int,j:int>>)")
+    dealt = told.withColumn("b", own).select(of, *columns, F.explode(F.concat(F.coalesce(to_rest, none), F.coalesce(to_near, none))).alias("g"))
+    return dealt.select(*columns, F.xxhash64(of, "g.kind", "g.i", "g.j").alias("grp"))
+
+
 def linked(distinct: DataFrame, words: int, band_bits: int, radius: int, tree: int = 1, hot: int = HOT) -> DataFrame:
     """(u, v): members of one component of a shard, as stars to its member of the smallest key.
 
@@ -432,12 +444,64 @@ def similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return label
 
 
+def shingle_set(text: bytes, k: int) -> np.ndarray:
+    return np.unique(hashed(shingles(text, k, True)))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of sorted distinct hashes; 1 for two empty sets."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def around_pivots(met: DataFrame, large: DataFrame, k: int, similarity: float, block_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(members of large components in groups of pairs to be compared, links of those near their component's pivot).
+
+    The pivot is, of a few members, the one that most of them are similar to. A component that one text's copies fill so costs about its members.
+    """
+    held = written(met.join(large, "root", "left_semi"), "held")
+    few = held.groupBy("root").agg(F.array(*[F.min(F.struct(F.xxhash64("key", F.lit(i)).alias("turn"), "key", "text")) for i in range(2 * PIVOTS)]).alias("few"))
+
+    def best(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            keys, texts = [], []
+            for own in batch.column(1):
+                said = {x["key"]: x["text"] for x in own.as_py()}
+                sets = {key: shingle_set(unpack(t), k) for key, t in said.items()}
+                keys.append(max(sorted(sets), key=lambda x, sets=sets: sum(jaccard(sets[x], y) >= similarity - 1e-9 for y in sets.values())))
+                texts.append(said[keys[-1]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(texts, pa.binary())], names=["root", "pivot", "pivot_text"])
+
+    pivots = written(few.mapInArrow(best, "root long, pivot long, pivot_text binary"), "pivots")
+    fields = ["root", "key", "text", "size", "pivot"]
+
+    def compared(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
+        now, own = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            near = []
+            for text, pivot, pivot_text in zip(batch.column(2), batch.column(4).to_pylist(), batch.column(5), strict=True):
+                if pivot != now:
+                    now, own = pivot, shingle_set(unpack(pivot_text.as_py()), k)
+                near.append(jaccard(own, shingle_set(unpack(text.as_py()), k)) >= similarity - 1e-9)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(near, pa.bool_())], names=[*fields, "near"])
+
+    told = written(held.join(pivots, "root").select(*fields, "pivot_text").mapInArrow(compared, "root long, key long, text binary, size long, pivot long, near boolean"), "told")
+    blocks = lambda near: F.ceil(F.sum(F.when(F.col("near") == near, F.col("size")).otherwise(0)) / (block_bytes / 2)).cast("int")
+    many = lambda near: F.max((F.col("near") == near).cast("int"))
+    size = written(told.groupBy("root").agg(F.greatest(blocks(True), many(True)).alias("near_blocks"), F.greatest(blocks(False), many(False)).alias("rest_blocks")), "blocks")
+    links = told.where("near and key <> pivot").select(F.col("key").alias("u"), F.col("pivot").alias("v"))
+    return in_blocks(told.join(size, "root"), "root", "key", "text"), links
+
+
 def verified(docs: DataFrame, placed: DataFrame, id_col: str, text_col: str, k: int, similarity: float, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(u, v): links between fingerprints of one candidate component whose shingle sets are as similar as that, as stars of smaller components.
 
     placed: key, root (the candidate component), doc_id and tie (id and text hash of the key's representative), of components with
-    over one member. Their texts move compressed. A component of over ``block_bytes`` of text is cut into blocks by
-    hash, and each pair of blocks is a group of its own, so every pair of members meets in some group and no group is unbounded.
+    over one member. Their texts move compressed. Of a component of over ``block_bytes`` of text the members similar to one pivot are linked to it;
+    the others are cut into blocks by hash, and each pair of blocks is a group of its own, so every pair of members that this leaves open
+    meets in some group and no group is unbounded.
     """
 
     def packed(batches):
@@ -449,11 +513,12 @@ def verified(docs: DataFrame, placed: DataFrame, id_col: str, text_col: str, k:
     texts = docs.select(F.col(id_col).alias("own_id"), F.col(text_col).alias("text"), text_hash(text_col).alias("own_tie"))
     texts = texts.mapInArrow(packed, f"own_id {docs.schema[id_col].dataType.simpleString()}, own_tie long, text binary, size long")
     met = texts.join(placed.hint("merge"), (F.col("tie") == F.col("own_tie")) & F.col("doc_id").eqNullSafe(F.col("own_id"))).select("root", "key", "text", "size")
-    met = written(met, "candidates")
-    large = written(met.groupBy("root").agg(F.ceil(F.sum("size") / block_bytes).cast("int").alias("blocks")).where("blocks > 1"), "large")
-    dealt = met.join(large, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("b", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(i, F.col("b")).alias("i"), F.greatest(i, F.col("b")).alias("j")))
-    dealt = dealt.withColumn("p", F.explode(pairs)).select("key", "text", F.xxhash64("root", "p.i", "p.j").alias("grp"))
+    met = written(met.dropDuplicates(["root", "key"]), "candidates")  # rows may repeat a representative
+    large = written(met.groupBy("root").agg(F.sum("size").alias("size")).where(F.col("size") > block_bytes).select("root"), "large")
+    dealt, found = met.select("key", "text", F.xxhash64("root").alias("grp")), None
+    if not large.isEmpty():
+        split, found = around_pivots(met, large, k, similarity, block_bytes)
+        dealt = met.join(large, "root", "left_anti").select("key", "text", F.xxhash64("root").alias("grp")).unionByName(split)
     out = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches):
@@ -472,16 +537,16 @@ def verified(docs: DataFrame, placed: DataFrame, id_col: str, text_col: str, k:
                 if grp != group:
                     solve()
                     group, keys, sets = grp, [], []
-                if not keys or keys[-1] != key:  # rows that repeat a representative
-                    keys.append(key)
-                    sets.append(np.unique(hashed(shingles(unpack(text.as_py()), k, True))))
+                keys.append(key)
+                sets.append(shingle_set(unpack(text.as_py()), k))
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=out)
             u, v = [], []
         solve()
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=out)
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(parts, "grp").sortWithinPartitions("grp", "key").mapInArrow(run, "u long, v long")
+    links = dealt.repartition(parts, "grp").sortWithinPartitions("grp", "key").mapInArrow(run, "u long, v long")
+    return links.unionByName(found) if found is not None else links
 
 
 def text_hash(text_col: str):

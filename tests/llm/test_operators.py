@@ -14,6 +14,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from loamgrid.llm import _shared as shared
@@ -790,6 +791,37 @@ def test_large_candidate_components_are_split_and_lose_nothing(spark):
     assert list(root.values()) == brute_near(texts)
 
 
+def test_a_component_of_one_text_and_its_copies_is_dealt_once(spark):
+    """Copies of one text, and some texts that are linked through a copy only: groups hold about as many rows as there are members."""
+    rng, base = np.random.default_rng(12), [f"w{i}" for i in range(300)]
+    texts = []
+    for n in range(120):
+        own = list(base)
+        own[int(rng.integers(300))] = f"e{n}"
+        texts.append(own)
+    for n in range(6):
+        own = list(texts[n])
+        for x in rng.choice(300, 6, replace=False):
+            own[x] = f"far{n}x{x}"
+        texts.append(own)
+    texts = [" ".join(t) for t in texts]
+    docs = docs_of(spark, texts)
+    placed = docs.select(F.col("doc_id").alias("key"), F.lit(7).cast("long").alias("root"), "doc_id", simhash.text_hash("text").alias("tie"))
+    met = placed.select("root", "key").join(docs.select(F.col("doc_id").alias("key"), "text"), "key").collect()
+    pack = zstandard.ZstdCompressor().compress
+    met = spark.createDataFrame([(r.root, r.key, bytearray(pack(r.text.encode())), len(r.text)) for r in met], "root long, key long, text binary, size long")
+    groups, links = simhash.around_pivots(met, met.select("root").distinct(), 5, 0.8, 30_000)
+    assert links.count() > 100 and groups.count() < 3 * len(texts)
+    star = simhash.stars(simhash.verified(docs, placed, "doc_id", "text", 5, 0.8, block_bytes=30_000))
+    root = {i: i for i in range(len(texts))} | {r.u: r.v for r in star.collect()}
+    assert list(root.values()) == brute_near(texts)
+
+
+def test_jaccard_of_sorted_sets():
+    a, b = np.array([1, 2, 3], np.uint64), np.array([2, 3, 4, 5], np.uint64)
+    assert simhash.jaccard(a, b) == 2 / 5 and simhash.jaccard(a[:0], a[:0]) == 1 and simhash.jaccard(a, a[:0]) == 0
+
+
 def test_near_copies_with_null_and_repeated_ids(spark):
     long = " ".join(f"w{i}" for i in range(100))
     rows_ = [(None, long), (None, long), (3, long), (3, "other words"), (4, long + " more"), (None, "alone of all")]
