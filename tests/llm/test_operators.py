@@ -100,6 +100,68 @@ def test_document_frequencies_are_exact(spark, table):
     assert got == sorted(df.values())
 
 
+M64 = (1 << 64) - 1
+
+
+def mixed(x, seed=0):
+    """The finaliser in plain integers."""
+    x = (x ^ seed) & M64
+    x = (x ^ x >> 33) * 0xFF51AFD7ED558CCD & M64
+    x = (x ^ x >> 33) * 0xC4CEB9FE1A85EC53 & M64
+    return x ^ x >> 33
+
+
+def word_hash(word):
+    return mixed(sum(b * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, b in enumerate(word.encode())) & M64)
+
+
+def plain_terms(text):
+    return {word_hash(w) for w in WORDS.findall(lower(text or ""))}
+
+
+def plain_fingerprint(text, lexicon):
+    out = []
+    for j, depth in enumerate(fingerprints.DEPTHS):
+        total = n = 0
+        for h in sorted(plain_terms(text) & lexicon):
+            own = mixed(h, 0x5851F42D4C957F2D * (j + 1) & M64)
+            if (own >> 53) >> (11 - depth) == 0:
+                total = (total + mixed(own, j + 1) * (2 * n + 1)) & M64
+                n += 1
+        out.append(max(mixed(total) >> 48, 1) if n else 0)
+    return out
+
+
+def test_fingerprints_equal_a_plain_version(spark, table):
+    texts = [r["text"] for r in table][:60] + [None, "", table[0]["text"], table[1]["text"]]
+    docs = docs_of(spark, texts).withColumn("doc_id", F.when(F.col("doc_id") < 62, F.col("doc_id")).otherwise(F.lit(5)))  # ids that repeat
+    df = Counter(h for t in texts for h in plain_terms(t))
+    lexicon = {h for h, n in df.items() if max(1, fingerprints.LOW * len(texts)) <= n <= max(1, fingerprints.HIGH * len(texts))}
+    want = [plain_fingerprint(t, lexicon) for t in texts]
+    hexes = ["".join(f"{x:04x}" for x in f) for f in want]
+    got = sorted((r.doc_id, r.fingerprint) for r in fingerprints.fingerprints(docs).collect())
+    assert got == sorted((i if i < 62 else 5, h) for i, h in enumerate(hexes))
+    study = fingerprints.edit_study(docs).collect()
+    assert sorted((r.doc_id, r.fingerprint) for r in study) == got
+    order = sorted(range(len(texts)), key=lambda i: i if i < 62 else 5)
+
+    def alike(x, y):
+        some, same = sum(1 for a, b in zip(x, y) if a or b), sum(1 for a, b in zip(x, y) if a == b and a)
+        return 1.0 if x == y else same / max(some, 1)
+
+    by = {r.doc_id: r for r in study if r.doc_id != 5}
+    for at, i in enumerate(order):
+        after = texts[order[(at + 1) % len(order)]] or ""
+        if i in by and i < 61 and i not in (4, 5):  # ties of the id 5 go by hash
+            text = texts[i] or ""
+            changed = text[: len(text) - len(text) // 4] + after[: len(text) // 4]
+            assert by[i].edited_sha256 == hashlib.sha256(changed.encode()).hexdigest()
+            assert abs(by[i].near_edited - alike(want[i], plain_fingerprint(changed, lexicon))) < 1e-12
+            assert abs(by[i].near_next - alike(want[i], plain_fingerprint(after, lexicon))) < 1e-12
+    with pytest.raises(ValueError, match="most_terms"):
+        fingerprints.lexicon(docs, most_terms=3)
+
+
 # WARC
 
 
@@ -194,6 +256,16 @@ def test_packing_has_the_ids_of_the_untouched_tokenizer(spark):
     assert enc.merges and not any(enc.plain(texts[i]) for i in (0, 1, 2, 4, 5, 6)) and enc.plain(texts[3])
 
 
+def test_packing_of_repeated_ids(spark):
+    said = [(1, "one text"), (1, "one text"), (1, "another " * 2000), (2, None), (None, "no id")]
+    got = packing.pack(spark.createDataFrame(said, "doc_id long, text string").withColumn("grp", F.lit(1)), TOKENIZER, with_ids=True).collect()
+    enc = packing.encoder(TOKENIZER)
+    want = Counter(b for _, t in said for b in np.frombuffer(enc.encode([t or ""])[0] + bytes(4), "<u4").tolist())
+    assert Counter(b for r in got for b in np.frombuffer(bytes(r.ids), "<u4").tolist()) == want
+    assert sum(r.length for r in got if r.doc_id is None) == len(enc.encode(["no id"])[0]) // 4 + 1
+    assert all(zlib.crc32(bytes(r.ids)) == r.ids_crc32 for r in got)
+
+
 def test_first_fit_decreasing_is_what_it_says():
     rng = np.random.default_rng(1)
     lengths = rng.integers(1, 101, 300).tolist()
@@ -883,6 +955,24 @@ def test_base_secrets_equal_brute_force(spark, table):
     assert secrets.scan(docs_of(spark, [])).count() == 0
 
 
+def test_secrets_with_repeated_ids_and_without_owners(spark):
+    key = "AKIA" + "Q7Z" * 6
+    docs = spark.createDataFrame([(1, f"a {key}"), (1, f"a {key}"), (1, "none"), (None, key)], "doc_id long, text string")
+    got = sorted((repr(r.doc_id), r.n_access, r.spans) for r in secrets.scan(docs).collect())
+    assert got == sorted([("1", 1, "access:2:24"), ("1", 1, "access:2:24"), ("1", 0, ""), ("None", 1, "access:0:22")])
+    redacted = secrets.redact(docs.withColumn("hash", F.lit(1)).withColumn("owner", F.lit("o")))
+    assert redacted.columns == ["doc_id", "text", "hash", "owner"] and sorted(r.text for r in redacted.collect()) == ["[secret]", "a [secret]", "a [secret]", "none"]
+    assert secrets.scan(docs.limit(0)).count() == secrets.redact(docs.limit(0)).count() == 0
+
+
+def test_many_copied_values_go_by_a_join(spark):
+    """Beyond the bound of the broadcast each text gets its own copied hashes: the same texts come out."""
+    token = "password=abcdefgh1234"
+    docs = docs_of(spark, [f"{i} {token}" for i in range(6)] + [f"secret: live{i:08d}" for i in range(3)] + [None])
+    assert rows(secrets.redact(docs), "doc_id") == rows(secrets.redact(docs, most=0), "doc_id")
+    assert sum("[secret]" in (r.text or "") for r in secrets.redact(docs).collect()) == 3
+
+
 def test_owner_frequency_tells_examples_from_live_secrets(spark):
     example, live = "Zx81k2Lm9Qw3Er5Ty7Ui0Pa", "Qp29Xc8Vb7Nm6As5Df4Gh3Jk"
     texts = [f"see {example}A here" for _ in range(6)] + [f"mine {live}"] * 2
