@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cells import annotation_columns
+
 
 def from_clusters(annot: DataFrame, types: dict[str, list[str]]) -> DataFrame:
     """(lm_id, label): each cluster's cell type. Every cluster must be named once. annot: (lm_id, label)."""
@@ -28,6 +30,14 @@ def from_cells(landmarks: DataFrame, labels: DataFrame) -> DataFrame:
     return out.select("lm_id", "label")
 
 
+def imported(landmarks: DataFrame, meta: DataFrame, columns: list[str] | None = None) -> dict[str, DataFrame]:
+    """(lm_id, label) by name, of each column of the cells' table that can label cells, or of the given ones. Cells without a label are ``unknown``."""
+    found = annotation_columns(meta)
+    if columns is not None and (bad := [c for c in columns if c not in found]):
+        raise ValueError(f"columns that cannot label cells: {bad}; there are {found}")
+    return {c: from_cells(landmarks, meta.select("sample_id", "cell_id", F.coalesce(c, F.lit("unknown")).alias("label"))) for c in columns or found}
+
+
 def numbered(annot: DataFrame) -> DataFrame:
     """Labels renumbered by first appearance (smallest landmark)."""
     first = annot.groupBy("label").agg(F.min("lm_id").alias("first"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -171,6 +173,15 @@ def projected_cells(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(cells.mapInPandas(run, "cell_id long, first double, second double"), "first", "second")
 
 
+@query(_TWO + """, z AS (SELECT cell_id, ((features[1] - m1) / s1 + sign(s.r) * (features[2] - m2) / s2) / 2 AS z, sign(s.r) AS sg, m1, m2, s1, s2 FROM lm, s)
+SELECT cell_id AS lm_id, round(z * s1 + m1, 6) + 0.0 AS first, round(sg * z * s2 + m2, 6) + 0.0 AS second FROM z""")
+def reconstructed_landmarks(spark: SparkSession, sf: str) -> DataFrame:
+    """Expression of the landmarks from their first component, of two features in closed form."""
+    x, ids, _ = _landmark_array(spark, sf)
+    _, expr = linalg.reconstructed(linalg.pca(x[:, :2], 1))
+    return _rounded(_frame(spark, list(zip(ids, expr[:, 0], expr[:, 1], strict=True)), "lm_id long, first double, second double"), "first", "second")
+
+
 @query(_TWO + """SELECT CAST(k AS INTEGER) AS component, round(sqrt(1 + (CASE k WHEN 0 THEN 1 ELSE -1 END) * abs(r)), 6) AS sdev FROM s, (SELECT unnest([0, 1]) AS k)""")
 def component_deviations(spark: SparkSession, sf: str) -> DataFrame:
     """Standard deviations of the landmarks' components, of two features in closed form."""
@@ -269,6 +280,15 @@ def cluster_connectivity(spark: SparkSession, sf: str) -> DataFrame:
     return _frame(spark, [(a, b, round(float(m[i, j]), 6)) for i, a in enumerate(names) for j, b in enumerate(names)], "label string, other string, mean double")
 
 
+@query(", f AS (SELECT label, dense_rank() OVER (ORDER BY min(cell_id)) AS number FROM lm GROUP BY 1) SELECT lm.cell_id AS lm_id, 'cluster.' || lpad(CAST(number AS VARCHAR), 2, '0') AS cluster FROM lm JOIN f USING (label)")
+def communities_of_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Clusters of a graph whose parts are not linked are its parts, named by first appearance."""
+    _, ids, labels = _landmark_array(spark, sf)
+    w = np.equal.outer(labels, labels).astype(float)
+    found = cluster.absorbed(w, cluster.communities(w, 0.8, seed=1), 0)
+    return _frame(spark, list(zip(ids, cluster.named(found), strict=True)), "lm_id long, cluster string")
+
+
 _SCORE = ", t AS (SELECT cell_id, features, features[1] + features[2] + features[3] AS t FROM lm), ft AS (SELECT cell_id, i, features[i] AS x, t FROM t, (SELECT unnest(range(1, 65)) AS i))\n"
 
 
@@ -574,3 +594,25 @@ def converted_once(spark: SparkSession, sf: str) -> DataFrame:
     first = kept.cached("cells", lambda: vector_cells(spark, sf))
     again = kept.cached("cells", lambda: first.limit(0))
     return again.groupBy("sample_id").agg(F.count("*").alias("n_cells")).crossJoin(F.broadcast(first.agg(F.count("*").alias("total"))))  # one row
+
+
+@query("SELECT 'cells' AS name, count(*) AS rows FROM vec UNION ALL SELECT 'samples', count(DISTINCT sample_id) FROM vec")
+def stored_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """SK5: the tables that are kept, one of them written twice, and their rows."""
+    kept = store.workspace(spark)
+    cells = vector_cells(spark, sf)
+    kept.write(cells.limit(1), "cells")
+    kept.write(cells, "cells")
+    kept.write(cells.select("sample_id").distinct(), "samples")
+    return _frame(spark, [(t["name"], t["rows"]) for t in kept.info()], "name string, rows long")
+
+
+@query("SELECT 'label' AS name, cell_id AS lm_id, label FROM lm")
+def imported_annotations(spark: SparkSession, sf: str) -> DataFrame:
+    """The text columns that can label cells become labellings of the landmarks."""
+    from ..operators import annotate
+
+    meta = vector_cells(spark, sf).select("sample_id", "cell_id", "label", F.concat(F.lit("s"), "sample_id").alias("batch"), F.concat(F.lit("c"), "cell_id").alias("barcode"))
+    lm = vector_landmarks(spark, sf).select("lm_id", "sample_id", F.col("lm_id").alias("cell_id"))
+    made = [t.select(F.lit(name).alias("name"), "lm_id", "label") for name, t in annotate.imported(lm, meta).items()]
+    return reduce(DataFrame.unionByName, made)

@@ -179,6 +179,12 @@ class Analysis:
         self.typing.add(name, table)
         return self
 
+    def import_annotations(self, meta: DataFrame, columns: list[str] | None = None) -> Analysis:
+        """Labellings of the landmarks from text columns of a table of cells; the last one becomes active."""
+        for name, table in annotate.imported(self.lm, meta, columns).items():
+            self.celltypes(table, name)
+        return self
+
     def _placed(self):
         """(reference coordinates of landmarks, the function that places rows of cells among them)."""
         project = self.pca.project

@@ -175,8 +175,13 @@ def checked_cells(cells: DataFrame, markers: list[str] | None = None, least_mark
     return cells.select("sample_id", "cell_id", F.array(*[F.col(m).cast("double") for m in chosen]).alias("features"))
 
 
+def identified(cells: DataFrame) -> DataFrame:
+    """cells with a cell_id, made up as sample and number where there is none. Keep the result: numbers follow how the files are split into tasks."""
+    return cells if "cell_id" in cells.columns else cells.withColumn("cell_id", F.concat_ws("_event_", "sample_id", F.monotonically_increasing_id()))
+
+
 def load_cells(spark: SparkSession, path: str, markers: list[str] | None = None, least: int = 10) -> DataFrame:
-    return of_large_samples(checked_cells(spark.read.parquet(path), markers), least)
+    return of_large_samples(checked_cells(identified(spark.read.parquet(path)), markers), least)
 
 
 def load_assay(spark: SparkSession, paths: list[str], meta: DataFrame, least: int = 10) -> tuple[DataFrame, DataFrame]:

@@ -164,6 +164,35 @@ def test_save_and_load(run, tmp_path):
     assert got.where("label = truth").count() > 0.97 * 360
 
 
+def test_relabelling_makes_what_followed_stale(run):
+    before, names = run.clustering.active, run.clustering.names()
+    run.cluster(0.5, name="coarse")
+    assert run.clustering.active == "coarse" and run.clustering.names() == [*names, "coarse"] and run.clustering.stale == ["labels", "composition", "trad"]
+    run.refresh()
+    assert run.clustering.stale == ["trad"] and run.clustering_composition.groupBy("sample_id").agg(F.sum("count").alias("n")).where("n = 60").count() == 6
+    run.clustering.activate(before)
+    run.refresh()
+    with pytest.raises(ValueError, match="no such"):
+        run.clustering.activate("none")
+
+
+def test_annotations_are_imported(run):
+    meta = run.truth.select("sample_id", "cell_id", "label", F.when(F.col("label") == "two", F.lit("T")).alias("other"), F.concat("sample_id", F.lit("x")).alias("batch"), F.concat("sample_id", "cell_id").alias("barcode"))
+    run.import_annotations(meta.withColumn("other", F.coalesce("other", F.when(F.col("cell_id") == "c1", F.lit("U")))))
+    assert run.typing.names() == ["known", "label", "other"] and run.typing.active == "other"
+    assert {r.label for r in run.typing.current().collect()} >= {"T", "unknown"}
+    with pytest.raises(ValueError, match="batch"):
+        run.import_annotations(meta, ["batch"])
+    run.typing.activate("known")
+    run.refresh()
+
+
+def test_made_up_ids(spark, tmp_path):
+    blobs(spark, 2, 20).drop("cell_id", "label").write.parquet(str(tmp_path / "c"))
+    got = store.load_cells(spark, str(tmp_path / "c"))
+    assert got.select("sample_id", "cell_id").distinct().count() == 40 and got.first().cell_id.startswith(got.first().sample_id + "_event_")
+
+
 def test_export(run, tmp_path):
     kept = store.export(store.Store(run.cells.sparkSession, str(tmp_path / "out")), run.density, {"known": run.typing.current()}, "known", run.samples)
     assert kept.names() == ["assays", "columns", "rows"] and kept.read("assays").count() == len(run.lm_coord) * 6
