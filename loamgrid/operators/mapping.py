@@ -51,7 +51,7 @@ def transferred(votes: DataFrame, cells: DataFrame, threshold: float = 0.5) -> D
 
 
 def reference_labels(cells: DataFrame, reference: DataFrame, k: int = 10, threshold: float = 0.5) -> DataFrame:
-    """(sample_id, cell_id, label, confidence): votes of the k nearest rows of a labelled reference (lm_id, features, label), at most 50,000."""
+    """(sample_id, cell_id, label, confidence): votes of the k nearest rows of a labelled reference (lm_id, features, label), of any size."""
     from .neighbors import cell_neighbors
 
     return transferred(neighbor_votes(cell_neighbors(cells, reference, k), reference.select("lm_id", "label")), cells, threshold)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -46,17 +48,36 @@ def smooth_weights(dist: np.ndarray, rounds: int = 64, sigma: float | None = Non
 def cell_neighbors(cells: DataFrame, landmarks: DataFrame, k: int = 20, transform=None, by_sample=None, nested: bool = False, sigma: float | None = None) -> DataFrame:
     """(sample_id, cell_id, rank, lm_id, dist, weight): the k nearest landmarks of each cell. nested: a row a cell, with arrays lm_ids, dists, weights.
 
-    cells: with features, or with at and x (see ``cells.sparse_cells``). landmarks: (lm_id, features), at most 50,000 (checked) and broadcast.
+    cells: with features, or with at and x (see ``cells.sparse_cells``). landmarks: (lm_id, features), broadcast; over 50,000 (counted) by blocks, a pass over the cells each.
     transform: applied to arrays on both sides. by_sample: applied instead to cells, with their samples. sigma: a fixed width of the weights.
     """
-    rows = landmarks.select("lm_id", "features").orderBy("lm_id").limit(MOST_LANDMARKS + 1).collect()
-    if len(rows) > MOST_LANDMARKS:
-        raise ValueError("too many landmarks to broadcast")
+    n = landmarks.count()
+    if n > MOST_LANDMARKS:
+        return _by_blocks(cells, landmarks, -(-2 * n // MOST_LANDMARKS), k, transform, by_sample, nested, sigma)
+    rows = landmarks.select("lm_id", "features").orderBy("lm_id").collect()
     ids, reference = np.array([r.lm_id for r in rows]), np.array([r.features for r in rows], float)
     place = transform or (lambda x: x)
     return placed_neighbors(cells, ids, place(reference), landmarks.schema["lm_id"].dataType.simpleString(), k, by_sample or (lambda x, _: place(x)), reference.shape[1], nested, sigma)
 
 
+def _by_blocks(cells: DataFrame, landmarks: DataFrame, blocks: int, k: int, transform, by_sample, nested: bool, sigma: float | None) -> DataFrame:
+    """As ``cell_neighbors`` for more landmarks than may be broadcast: a pass for each block of them, the nearest k of all passes, weights from these."""
+    block = F.pmod(F.xxhash64("lm_id"), F.lit(blocks))
+    found = [cell_neighbors(cells, landmarks.where(block == b), k, transform, by_sample).drop("weight", "rank") for b in range(blocks)]
+    first = F.row_number().over(Window.partitionBy("sample_id", "cell_id").orderBy("dist", "lm_id"))
+    kept = reduce(DataFrame.unionByName, found).withColumn("rank", first).where(F.col("rank") <= k)
+    near = kept.groupBy("sample_id", "cell_id").agg(F.sort_array(F.collect_list(F.struct("rank", "lm_id", "dist"))).alias("e"))  # k of each cell
+    kinds = {f.name: f.dataType.simpleString() for f in kept.schema.fields}
+
+    def weighted(batches):
+        for pdf in batches:
+            yield pdf.assign(weights=list(smooth_weights(np.stack(pdf["dists"].to_numpy()), sigma=sigma)) if len(pdf) else [])
+
+    made = near.select("sample_id", "cell_id", F.col("e.lm_id").alias("lm_ids"), F.col("e.dist").alias("dists"))
+    edges = made.mapInPandas(weighted, f"sample_id {kinds['sample_id']}, cell_id {kinds['cell_id']}, lm_ids array<{kinds['lm_id']}>, dists array<double>, weights array<double>")
+    return edges if nested else exploded(edges)
+
+
 def placed_neighbors(cells: DataFrame, ids: np.ndarray, reference: np.ndarray, id_type: str, k: int, place, width: int, nested: bool = False, sigma: float | None = None) -> DataFrame:
     """As ``cell_neighbors``, with landmarks that are arrays already. place: coordinates of rows of ``width`` features, given their samples."""
     if len(ids) > MOST_LANDMARKS:

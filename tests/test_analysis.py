@@ -4,6 +4,7 @@ import warnings
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loamgrid.functions.special import bh, storey
@@ -271,6 +272,21 @@ def test_sparse_leverage_is_that_of_dense_rows(spark, monkeypatch):
 # numerical operators
 
 
+@pytest.mark.parametrize("nested", [False, True])
+def test_many_landmarks_go_by_blocks(spark, monkeypatch, nested):
+    cells = blobs(spark, 2, 30)
+    lm = cells.select(F.row_number().over(Window.orderBy("sample_id", "cell_id")).alias("lm_id"), "features")
+    want = neighbors.cell_neighbors(cells, lm, 5, nested=nested).collect()
+    monkeypatch.setattr(neighbors, "MOST_LANDMARKS", 25)
+    got = neighbors.cell_neighbors(cells, lm, 5, nested=nested)
+    rows = got.collect()
+    assert got.columns == neighbors.cell_neighbors(cells, lm.limit(5), 5, nested=nested).columns
+    if nested:
+        assert sorted((r.sample_id, r.cell_id, tuple(r.lm_ids)) for r in rows) == sorted((r.sample_id, r.cell_id, tuple(r.lm_ids)) for r in want)
+    else:
+        assert sorted((r.sample_id, r.cell_id, r.rank, r.lm_id, round(r.weight, 9)) for r in rows) == sorted((r.sample_id, r.cell_id, r.rank, r.lm_id, round(r.weight, 9)) for r in want)
+
+
 def test_q_values_use_the_share_of_nulls():
     rng = np.random.default_rng(1)
     p = np.r_[rng.random(700), rng.beta(0.2, 20, 300)]
