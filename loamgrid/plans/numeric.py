@@ -54,6 +54,43 @@ def group_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return _frame(spark, [(i, round(float(c), 6) + 0.0, round(float(e), 6) + 0.0, round(float(c / e), 5) + 0.0 if e > 1e-6 else 0.0) for i, c, e in zip(lm, fit.coef[:, 1], fit.se[:, 1], strict=True)], "lm_id long, coef double, se double, t double")
 
 
+def _digamma(x: str) -> str:
+    return f"(ln({x} + 50) - 0.5 / ({x} + 50) - 1 / (12 * power({x} + 50, 2)) + 1 / (120 * power({x} + 50, 4)) - list_sum(list_transform(range(0, 50), lambda k: 1 / ({x} + k))))"
+
+
+def _trigamma(x: str) -> str:
+    return f"(1 / ({x} + 50) + 0.5 / power({x} + 50, 2) + 1 / (6 * power({x} + 50, 3)) - 1 / (30 * power({x} + 50, 5)) + list_sum(list_transform(range(0, 50), lambda k: 1 / power({x} + k, 2))))"
+
+
+_PRIOR = _Y + """, m AS (SELECT lm_id, avg(y) FILTER (g = 1) - avg(y) FILTER (g = 0) AS coef, (var_pop(y) FILTER (g = 1) * count(*) FILTER (g = 1) + var_pop(y) FILTER (g = 0) * count(*) FILTER (g = 0)) / (count(*) - 2) AS s2, count(*) - 2.0 AS df, 1.0 / count(*) FILTER (g = 1) + 1.0 / count(*) FILTER (g = 0) AS h FROM y GROUP BY 1),
+md AS (SELECT greatest(median(s2), 1e-300) * 1e-12 AS floor FROM m), z AS (SELECT lm_id, df, ln(greatest(s2, floor)) AS z FROM m, md), qz AS (SELECT quantile_cont(z, 0.05) AS lo, quantile_cont(z, 0.9) AS hi FROM z),
+e AS (SELECT df, least(greatest(z, lo), hi) - """ + _digamma("(df / 2)") + """ + ln(df / 2) AS e FROM z, qz), pr AS (SELECT any_value(df) AS df, avg(e) AS mean, var_samp(e) - """ + _trigamma("(any_value(df) / 2)") + """ AS spread, count(*) AS units FROM e),
+bi AS (SELECT -20.0::DOUBLE AS lo, 20.0::DOUBLE AS hi, spread, 0 AS i FROM pr UNION ALL SELECT CASE WHEN """ + _trigamma("exp((lo + hi) / 2)") + """ > spread THEN (lo + hi) / 2 ELSE lo END, CASE WHEN """ + _trigamma("exp((lo + hi) / 2)") + """ > spread THEN hi ELSE (lo + hi) / 2 END, spread, i + 1 FROM bi WHERE i < 90),
+d AS (SELECT exp((lo + hi) / 2) AS half FROM bi WHERE i = 90), prior AS (SELECT spread > 0 AS finite, CASE WHEN spread > 0 THEN 2 * half END AS d0, CASE WHEN spread > 0 THEN exp(mean + """ + _digamma("half") + """ - ln(half)) ELSE exp(mean) END AS s0, df, units FROM pr, d),
+post AS (SELECT lm_id, coef, h, CASE WHEN finite THEN (d0 * s0 + m.df * s2) / (d0 + m.df) ELSE s0 END AS v, CASE WHEN finite THEN least(m.df + d0, m.df * units) ELSE m.df * units END AS nu FROM m, prior),
+st AS (SELECT lm_id, coef, v, nu, abs(coef / sqrt(v * h)) AS t FROM post),
+pv AS (SELECT lm_id, coef, v, nu, t, 1 - 2 * t / 2000 / 3 * exp(lgamma((nu + 1) / 2) - lgamma(nu / 2)) / sqrt(nu * pi()) * list_sum(list_transform(range(0, 2001), lambda i: (CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * power(1 + power(t * i / 2000, 2) / nu, -(nu + 1) / 2))) AS p FROM st)
+"""
+
+
+@query(_PRIOR + """, w AS (SELECT lm_id, 1 / log10(sum(norm) + 1) AS w FROM dens GROUP BY 1), a AS (SELECT lm_id, coef, p, count(*) OVER () * p / row_number() OVER (ORDER BY p, lm_id) AS a, sum(w) OVER () * p / sum(w) OVER (ORDER BY p, lm_id ROWS UNBOUNDED PRECEDING) AS b FROM pv JOIN w USING (lm_id))
+SELECT lm_id, round(coef, 6) + 0.0 AS coef, round(p, 6) AS p, round(least(1.0, min(a) OVER (ORDER BY p, lm_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS q, round(least(1.0, min(b) OVER (ORDER BY p, lm_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS weighted_q FROM a""")
+def moderated_contrast(spark: SparkSession, sf: str) -> DataFrame:
+    """Moderated models of landmark density, their p, q and density-weighted q. SQL bisects the prior and sums the t density."""
+    y, norm, lm, names = _matrix(spark, sf)
+    fit = models.fitted(y, np.c_[np.ones(len(names)), [s % 2 for s in names]])
+    q = models.density_q(fit.p[:, 1], norm)
+    return _rounded(_frame(spark, list(zip(lm, fit.coef[:, 1], fit.p[:, 1], fit.q[:, 1], q, strict=True)), "lm_id long, coef double, p double, q double, weighted_q double"), "coef", "p", "q", "weighted_q")
+
+
+@query(_PRIOR + "SELECT lm_id, round(v, 6) AS variance, round(nu, 4) AS df, round(t, 5) AS t FROM pv")
+def moderated_variances(spark: SparkSession, sf: str) -> DataFrame:
+    """Variances drawn to the prior, total degrees of freedom and t by landmark."""
+    y, _, lm, names = _matrix(spark, sf)
+    fit = models.fitted(y, np.c_[np.ones(len(names)), [s % 2 for s in names]])
+    return _frame(spark, [(i, round(float(v), 6), round(float(fit.df_total), 4), round(abs(float(t)), 5)) for i, v, t in zip(lm, fit.s2_post, fit.t[:, 1], strict=True)], "lm_id long, variance double, df double, t double")
+
+
 @query(_Y + """, r AS (SELECT lm_id, y, g - (avg(g) OVER w + covar_pop(g, sample_id) OVER w / var_pop(sample_id) OVER w * (sample_id - avg(sample_id) OVER w)) AS r FROM y WINDOW w AS (PARTITION BY lm_id))
 SELECT lm_id, round(sum(r * y) / sum(r * r), 6) + 0.0 AS coef FROM r GROUP BY 1""")
 def adjusted_contrast(spark: SparkSession, sf: str) -> DataFrame:

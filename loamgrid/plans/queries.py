@@ -273,20 +273,6 @@ def landmark_analysis(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(rows, "sample_id int, component int, value double")
 
 
-@query(None)
-def moderated_contrast(spark: SparkSession, sf: str) -> DataFrame:
-    """Moderated models of landmark density; (lm_id, coef, p, q, weighted_q). Tests hold them against closed forms."""
-    import numpy as np
-
-    pdf = _density(spark, sf).toPandas()  # landmarks x samples
-    wide = pdf.pivot(index="lm_id", columns="sample_id", values="log_norm").sort_index(axis=1)
-    norm = pdf.pivot(index="lm_id", columns="sample_id", values="norm").sum(axis=1).to_numpy()
-    x = np.c_[np.ones(wide.shape[1]), np.array([s % 2 for s in wide.columns], float)]
-    fit = models.moderated(models.ols(wide.to_numpy(), x))
-    q = models.density_q(fit.p[:, 1], norm)
-    return spark.createDataFrame([(int(i), float(fit.coef[k, 1]), float(fit.p[k, 1]), float(fit.q[k, 1]), float(q[k])) for k, i in enumerate(wide.index)], "lm_id long, coef double, p double, q double, weighted_q double")
-
-
 @query("SELECT DISTINCT cell_id, 'assay' AS side FROM assay WHERE cell_id NOT IN (SELECT cell_id FROM cell WHERE status <> 'P') UNION ALL SELECT cell_id, 'meta' FROM cell WHERE status <> 'P' AND cell_id NOT IN (SELECT cell_id FROM assay)")
 def unmatched_cells(spark: SparkSession, sf: str) -> DataFrame:
     """P2, SC9: ids of either side without a partner."""
