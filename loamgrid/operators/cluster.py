@@ -61,7 +61,7 @@ def _moved(w: np.ndarray, size: np.ndarray, label: np.ndarray, gamma: float, rng
 def communities(w: np.ndarray, resolution: float = 0.8, start: np.ndarray | None = None, rounds: int = 10, seed: int = 123) -> np.ndarray:
     """Labels of the nodes of a symmetric graph. The resolution is per thousand, as densities of graphs of this kind are small."""
     gamma = resolution * 1e-3
-    w = np.array(w, float)
+    w = np.array(w)
     np.fill_diagonal(w, 0)
     rng = np.random.default_rng(seed)
     label = np.arange(len(w)) if start is None else renumbered(start)
@@ -75,7 +75,7 @@ def communities(w: np.ndarray, resolution: float = 0.8, start: np.ndarray | None
             fine = renumbered(_moved(g, size, np.arange(len(g)), gamma, rng, own))
             if fine.max() + 1 == len(g):
                 break
-            member = np.eye(fine.max() + 1)[fine]
+            member = np.eye(fine.max() + 1, dtype=w.dtype)[fine]
             coarse = np.zeros(fine.max() + 1, int)
             coarse[fine] = own
             g, size, node = member.T @ g @ member, member.T @ size, fine[node]

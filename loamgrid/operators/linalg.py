@@ -176,7 +176,10 @@ def laplacian_eigenmap(w: np.ndarray, most: int = 30) -> tuple[np.ndarray, np.nd
     a = ((w > 0) | (w.T > 0)).astype(float)
     np.fill_diagonal(a, 0)
     d = np.maximum(a.sum(1), 1e-12)
-    values, vectors = np.linalg.eigh(np.eye(len(a)) - a / np.sqrt(np.outer(d, d)))
+    a *= -1 / np.sqrt(d)[:, None]  # in place: landmarks squared is the largest array on the driver
+    a *= 1 / np.sqrt(d)
+    a[np.diag_indices(len(a))] += 1
+    values, vectors = np.linalg.eigh(a)
     keep = np.flatnonzero(values > 1e-6)[: max(2, min(most, len(a) - 1))]
     values, vectors = values[keep], vectors[:, keep]
     k = len(values)
