@@ -201,3 +201,18 @@ def redact(docs: DataFrame, text_col: str = "text", owner: str = "source", repo:
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("live")
+
+
+def base_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of the scan that SQL can express: base spans of each kind by document."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return candidates(docs, [F.col("doc_id")]).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+BASE_SQL = f"""
+SELECT doc_id, CAST(len(list_filter(regexp_extract_all({_LOWERED}, '(password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?([a-z0-9+/_.=-]+)', 2), lambda x: len(x) >= 8)) AS BIGINT) AS n_assign,
+       CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: len(x) >= 16)) AS BIGINT) AS n_access,
+       CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: len(x) >= 32)) AS BIGINT) AS n_hex
+FROM documents
+"""

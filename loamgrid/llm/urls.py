@@ -237,3 +237,23 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_col:
 
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of the filter that SQL can express: host, path and rule of each page, and the verdict where a rule fits."""
+    found = op8_urls(spark, sf_dir)
+    return found.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("verdict"))
+
+
+def _case(column: str) -> str:
+    """The longest rule that fits, as SQL."""
+    said = {"rule": lambda v, h, p: f"'{h}{p}'", "verdict": lambda v, h, p: f"'{v}'"}[column]
+    longest = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
+    return "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN {said(v, h, p)}" for v, h, p in longest) + " END"
+
+
+RULES_SQL = f"""
+WITH r AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r)
+SELECT page_id, host, path, {_case("rule")} AS rule, {_case("verdict")} AS verdict FROM p
+"""
