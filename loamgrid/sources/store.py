@@ -42,7 +42,8 @@ class Store:
 
     def write(self, df: DataFrame, name: str, by: list[str] = ()) -> DataFrame:
         folder = f"{name}-{uuid.uuid4().hex}"
-        writer = df.write.partitionBy(*by) if by else df.write
+        # rebalanced by size, so that a sample is in a few files and a large one in several, whatever the tasks of df
+        writer = df.hint("rebalance", *by).write.partitionBy(*by) if by else df.write
         writer.parquet(f"{self.path}/.data/{folder}")
         rows = self.spark.read.schema(df.schema).parquet(f"{self.path}/.data/{folder}").count()
         fs, aside = _fs(self.spark, f"{self.path}/.{folder}")

@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from loamgrid.functions.columns import LOW_CONFIDENCE
 from loamgrid.operators import annotate, cells as C, linalg, mapping, validate
+from loamgrid.plans import numeric, queries  # noqa: F401  (both register their queries)
 from loamgrid.plans.pipeline import Analysis, Config
+from loamgrid.plans.registry import ORACLES
 from loamgrid.sources.store import Store, checked_cells, simulate_abundance
 
 SF = "/root/testdata/sf0.001"
-NAMES = [n for n in entry.oracle_sql() if not n.startswith("op")]
+NAMES = list(ORACLES)
 
 
 @pytest.mark.parametrize("name", NAMES)
