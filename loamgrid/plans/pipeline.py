@@ -279,12 +279,25 @@ class Analysis:
         log, *_ = self.matrix()
         return models.contrast_embedding(log, design, contrast) if contrast is not None else models.nested_embedding(log, full, reduced)
 
+    def _labelled_by(self) -> tuple:
+        return self.clustering.active, self.typing.active if getattr(self, "typing", None) else None
+
     def _once(self, kind: str, name: str, again: bool, make):
-        held = self.results.setdefault(kind, {})
+        """The result of that name, made if it is not there. One made under another active labelling is returned with a warning."""
+        held, by = self.results.setdefault(kind, {}), self.results.setdefault("labelled by", {})
         if again or name not in held:
-            held[name] = make()
+            held[name], by[kind, name] = make(), self._labelled_by()
+        elif by.get((kind, name)) != self._labelled_by():
+            warnings.warn(f"{name} of {kind} was made under the labellings {by.get((kind, name))}; now {self._labelled_by()} are active", stacklevel=3)
         return held[name]
 
+    def slot(self, name: str, sample=None) -> DataFrame:
+        """One of the tables of ``map`` (edges, cell_edges, density, clustering_labels, celltyping_labels), of one sample on demand."""
+        table = getattr(self, name, None)
+        if not isinstance(table, DataFrame) or "sample_id" not in table.columns:
+            raise ValueError(f"no table {name} by sample")
+        return table if sample is None else table.where(F.col("sample_id") == sample)
+
     def lm_fit(self, design: np.ndarray, contrasts: np.ndarray | None = None, block: list | None = None, name: str = "default", again: bool = False) -> models.Fit:
         """Moderated models of log density by landmark, with density- and component-weighted q beside plain ones.
 
@@ -348,7 +361,7 @@ class Analysis:
         walk = models.random_walk(self.snn, regularise, lazy)
         made = models.graph_pls(walk, fit.coef[:, coef], x, components, interaction, nuisance, method, self.snn)
         made.concordance = np.stack([models.concordance(fit.coef[:, coef] - fit.coef[:, coef].mean(), np.sqrt(fit.s2_post), t, x) for t in made.scores.T], 1) if made.scores.shape[1] else np.zeros((x.shape[1], 0))
-        self.results.setdefault("pls", {})[coef] = made
+        self.results.setdefault("pls", {})[name, coef] = made
         return made
 
     def subset(self, kept: DataFrame, note: dict) -> Analysis:

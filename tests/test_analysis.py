@@ -169,7 +169,12 @@ def test_relabelling_makes_what_followed_stale(run):
     before, names = run.clustering.active, run.clustering.names()
     run.cluster(0.5, name="coarse")
     assert run.clustering.active == "coarse" and run.clustering.names() == [*names, "coarse"] and run.clustering.stale == ["labels", "composition", "trad"]
+    with pytest.warns(UserWarning, match="made under"):
+        run.pb_de(labels=["two"], result="marker")
     run.refresh()
+    assert run.slot("clustering_labels", "s1").count() == 60 and run.slot("density").count() == 6 * len(run.lm_coord)
+    with pytest.raises(ValueError, match="no table"):
+        run.slot("pca")
     assert run.clustering.stale == ["trad"] and run.clustering_composition.groupBy("sample_id").agg(F.sum("count").alias("n")).where("n = 60").count() == 6
     run.clustering.activate(before)
     run.refresh()
