@@ -34,7 +34,8 @@ STEMS = (4, 5, 6)
 FACTORS = 4
 MOST = 20_000
 MOST_PAIRS = 32_000_000
-THREADS = 2
+#: Of the fit, the only task of its stage.
+THREADS = 4
 
 
 def columns(texts: list[bytes], bits: int = BITS, stems: tuple[int, ...] = STEMS) -> tuple[np.ndarray, np.ndarray]:

@@ -123,19 +123,19 @@ def boost(x: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int = 60, depth:
         node = np.zeros(len(y), np.int64)
         for level in range(depth):
             width, off = 1 << level, (1 << level) - 1
-            best = np.full(width, 1e-9)
-            for f in range(x.shape[1]):
-                key = (node - off) * (bins + 1) + b[:, f]
-                gs = np.bincount(key, g, width * (bins + 1)).reshape(width, -1)
-                hs = np.bincount(key, h, width * (bins + 1)).reshape(width, -1)
-                gl, hl = gs.cumsum(1)[:, :-1], hs.cumsum(1)[:, :-1]
-                gt, ht = gs.sum(1, keepdims=True), hs.sum(1, keepdims=True)
-                gain = gl**2 / (hl + ridge) + (gt - gl) ** 2 / (ht - hl + ridge) - gt**2 / (ht + ridge)
-                top = gain.argmax(1)
-                better = gain[np.arange(width), top] > best
-                best = np.where(better, gain[np.arange(width), top], best)
-                feature[off : off + width] = np.where(better, f, feature[off : off + width])
-                at[off : off + width] = np.where(better, top, at[off : off + width])
+            key = (b + (np.arange(x.shape[1]) * width + (node - off)[:, None]) * (bins + 1)).ravel()  # feature, node and bin of each row
+            shape = (x.shape[1], width, bins + 1)
+            gs = np.bincount(key, np.repeat(g, x.shape[1]), np.prod(shape)).reshape(shape)
+            hs = np.bincount(key, np.repeat(h, x.shape[1]), np.prod(shape)).reshape(shape)
+            gl, hl = gs.cumsum(2)[:, :, :-1], hs.cumsum(2)[:, :, :-1]
+            gt, ht = gs.sum(2, keepdims=True), hs.sum(2, keepdims=True)
+            gain = gl**2 / (hl + ridge) + (gt - gl) ** 2 / (ht - hl + ridge) - gt**2 / (ht + ridge)
+            top = gain.argmax(2)
+            most = np.take_along_axis(gain, top[:, :, None], 2)[:, :, 0]
+            f = most.argmax(0)  # the first of equal features
+            split = most[f, np.arange(width)] > 1e-9
+            feature[off : off + width] = np.where(split, f, 0)
+            at[off : off + width] = np.where(split, top[f, np.arange(width)], bins + 1)
             node = 2 * node + 1 + (b[np.arange(len(y)), feature[node]] > at[node])
         leaf = node - inner
         value = np.bincount(leaf, g, inner + 1) / (np.bincount(leaf, h, inner + 1) + ridge)
