@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import elbow
@@ -60,11 +60,68 @@ def vectors(pdf: pd.DataFrame, width: int) -> np.ndarray:
     return out
 
 
+class LogCounts:
+    """Rows of counts (at, x: all features of a cell) as dense arrays of log2(count / (total / mean) + 1) of chosen features.
+
+    place: the column of each feature, or -1, for all cells or by sample; mean: of totals, for all cells or by sample.
+    """
+
+    def __init__(self, place: np.ndarray | dict, mean: float | dict, width: int):
+        self.place, self.mean, self.width = place, mean, width
+
+    def __call__(self, pdf: pd.DataFrame) -> np.ndarray:
+        out = np.zeros((len(pdf), self.width))
+        row, at, value = logged(pdf, self.mean)
+        if isinstance(self.place, dict):
+            col = np.full(len(at), -1)
+            sample = pdf["sample_id"].to_numpy()
+            for s in set(sample.tolist()):
+                own = (sample == s)[row]
+                col[own] = self.place[s][at[own]]
+        else:
+            col = self.place[at]
+        kept = col >= 0
+        out[row[kept], col[kept]] = value[kept]
+        return out
+
+
+def logged(pdf: pd.DataFrame, mean: float | dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, feature, normalised log value) of rows of counts."""
+    row = np.repeat(np.arange(len(pdf)), pdf["at"].map(len).to_numpy(int))
+    at, x = np.concatenate([np.zeros(0, int), *pdf["at"]]).astype(int), np.concatenate([np.zeros(0), *pdf["x"]])
+    m = np.array([mean[s] for s in pdf["sample_id"].tolist()], float) if isinstance(mean, dict) else np.full(len(pdf), float(mean))
+    total = np.bincount(row, x, len(pdf))
+    return row, at, np.log2(x / (total / m)[row] + 1)
+
+
+def count_moments(rows: DataFrame, mean: dict, features: int) -> DataFrame:
+    """(sample_id, feature, n, mean, variance) of normalised log values of rows of counts, absent zeros included: one pass, partial sums in each task."""
+    held = rows.sparkSession.sparkContext.broadcast(mean)
+    kind = f"sample_id {rows.schema['sample_id'].dataType.simpleString()}"
+
+    def run(batches):
+        sums: dict = {}
+        for pdf in batches:
+            pdf = pdf[pdf["at"].map(len) > 0]
+            for s, own in pdf.groupby("sample_id"):
+                _, at, v = logged(own, held.value)
+                k, a, q = sums.get(s, (0, np.zeros(features), np.zeros(features)))
+                sums[s] = k + len(own), a + np.bincount(at, v, features), q + np.bincount(at, v * v, features)
+        for s, (k, a, q) in sums.items():
+            some = np.flatnonzero(a)
+            yield pd.DataFrame({"sample_id": s, "feature": np.r_[some, -1], "s": np.r_[a[some], k], "q": np.r_[q[some], 0.0]})  # feature -1 counts the cells
+
+    flat = rows.select("sample_id", "at", "x").mapInPandas(run, f"{kind}, feature int, s double, q double").groupBy("sample_id", "feature").agg(F.sum("s").alias("s"), F.sum("q").alias("q"))
+    n = F.max(F.when(F.col("feature") == -1, F.col("s"))).over(Window.partitionBy("sample_id"))  # a sample's features
+    var = F.greatest((F.col("q") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1), F.lit(0.0))
+    return flat.withColumn("n", n).where("feature >= 0").select("sample_id", "feature", F.col("n").cast("long").alias("n"), (F.col("s") / F.col("n")).alias("mean"), var.alias("variance"))
+
+
 def _columns(cells: DataFrame) -> list[str]:
     return ["features"] if "features" in cells.columns else ["at", "x"]
 
 
-def _sums(cells: DataFrame, of, width: int, step: int = 2000) -> dict:
+def _sums(cells: DataFrame, of, dense, step: int = 2000) -> dict:
     """By sample the sum of of(rows, sample), a flat array: partial sums of each partition, added up by position in a shuffle."""
     kind = f"sample_id {cells.schema['sample_id'].dataType.simpleString()}"
 
@@ -73,7 +130,7 @@ def _sums(cells: DataFrame, of, width: int, step: int = 2000) -> dict:
         for pdf in batches:
             for a in range(0, len(pdf), step):
                 part = pdf.iloc[a : a + step]
-                x = vectors(part, width)
+                x = dense(part)
                 for s, at in part.groupby("sample_id").indices.items():
                     v = of(x[at], s)
                     held[s] = held[s] + v if s in held else v
@@ -84,20 +141,21 @@ def _sums(cells: DataFrame, of, width: int, step: int = 2000) -> dict:
     return {r.sample_id: np.array(r.v) for r in whole.select("sample_id", F.col("v.v").alias("v")).toLocalIterator()}  # one array a sample
 
 
-def leverage(cells: DataFrame, components: int | None = None, width: int | None = None, rounds: int = 8, seed: int = 123) -> DataFrame:
+def leverage(cells: DataFrame, components: int | None = None, width: int | None = None, rounds: int = 8, seed: int = 123, dense=None) -> DataFrame:
     """(sample_id, cell_id, weight): each cell's statistical leverage within its sample, after centring and scaling.
 
     Up to ``GRAM`` features one pass sums n, x and x x' for each sample (features squared in size, whatever the number of cells), and one
     map scores the cells. With components, only that many leading directions count. Of more features x x' is never made: the
     leading directions come from ``rounds`` passes of a block power iteration, whose sums are features x components.
-    cells: with features, or with at and x (then ``width`` is the number of features).
+    cells: with features, or with at and x (then ``width`` is the number of features). dense: makes arrays of rows, ``vectors`` by default.
     """
     p = width if width is not None else len(cells.select("features").first()[0])
+    dense = dense or (lambda pdf: vectors(pdf, p))
     kind = f"sample_id {cells.schema['sample_id'].dataType.simpleString()}"
     if p <= GRAM:
-        sums = _sums(cells, lambda x, _: np.r_[len(x), x.sum(0), (x.T @ x).ravel()], p)
+        sums = _sums(cells, lambda x, _: np.r_[len(x), x.sum(0), (x.T @ x).ravel()], dense)
     else:
-        sums = _sums(cells, lambda x, _: np.r_[len(x), x.sum(0), (x * x).sum(0)], p)
+        sums = _sums(cells, lambda x, _: np.r_[len(x), x.sum(0), (x * x).sum(0)], dense)
     models = {}
     for s, v in sums.items():
         n, mean = v[0], v[1 : 1 + p] / v[0]
@@ -115,14 +173,14 @@ def leverage(cells: DataFrame, components: int | None = None, width: int | None
     if p > GRAM:
         if components is None:
             raise ValueError(f"of over {GRAM} features say how many components count")
-        models = _leading(cells, models, p, components, rounds, seed)
+        models = _leading(cells, models, p, components, rounds, seed, dense)
     held = cells.sparkSession.sparkContext.broadcast(models)
 
     def score(batches):
         for pdf in batches:
             for a in range(0, len(pdf), 2000):
                 part = pdf.iloc[a : a + 2000]
-                weight, x = np.zeros(len(part)), vectors(part, p)
+                weight, x = np.zeros(len(part)), dense(part)
                 for s, at in part.groupby("sample_id").indices.items():
                     mean, sd, axes = held.value[s]
                     weight[at] = ((((x[at] - mean) / sd) @ axes) ** 2).sum(1)
@@ -131,7 +189,7 @@ def leverage(cells: DataFrame, components: int | None = None, width: int | None
     return cells.select("sample_id", "cell_id", *_columns(cells)).mapInPandas(score, f"{kind}, cell_id {cells.schema['cell_id'].dataType.simpleString()}, weight double")
 
 
-def _leading(cells: DataFrame, models: dict, p: int, components: int, rounds: int, seed: int) -> dict:
+def _leading(cells: DataFrame, models: dict, p: int, components: int, rounds: int, seed: int, dense) -> dict:
     """models with the leading axes of each sample, over the root of their eigenvalues."""
     k = min(p, components + 10)
     start = np.linalg.qr(np.random.default_rng(seed).normal(size=(p, k)))[0]
@@ -144,7 +202,7 @@ def _leading(cells: DataFrame, models: dict, p: int, components: int, rounds: in
             z = (x - mean) / sd
             return (z.T @ (z @ q)).ravel()
 
-        made = {s: v.reshape(p, k) for s, v in _sums(cells, of, p).items()}
+        made = {s: v.reshape(p, k) for s, v in _sums(cells, of, dense).items()}
         held.destroy()
         if step + 1 < rounds:
             axes = {s: np.linalg.qr(v)[0] for s, v in made.items()}
@@ -156,17 +214,19 @@ def _leading(cells: DataFrame, models: dict, p: int, components: int, rounds: in
     return out
 
 
-def projected_leverage(cells: DataFrame, model: PCA) -> DataFrame:
+def projected_leverage(cells: DataFrame, model: PCA, dense=None) -> DataFrame:
     """(sample_id, cell_id, weight): the sum of squared scores on landmark components, each over its singular value. A pure map."""
     kind = f"sample_id {cells.schema['sample_id'].dataType.simpleString()}, cell_id {cells.schema['cell_id'].dataType.simpleString()}"
     held = cells.sparkSession.sparkContext.broadcast((model.center, model.scale, model.rotation / model.d))
+    width = len(model.center)
+    dense = dense or (lambda pdf: vectors(pdf, width))
 
     def score(batches):
         center, scale, axes = held.value
         for pdf in batches:
             for a in range(0, len(pdf), 2000):
                 part = pdf.iloc[a : a + 2000]
-                yield pd.DataFrame({"sample_id": part["sample_id"], "cell_id": part["cell_id"], "weight": ((((vectors(part, len(center)) - center) / scale) @ axes) ** 2).sum(1)})
+                yield pd.DataFrame({"sample_id": part["sample_id"], "cell_id": part["cell_id"], "weight": ((((dense(part) - center) / scale) @ axes) ** 2).sum(1)})
 
     return cells.select("sample_id", "cell_id", *_columns(cells)).mapInPandas(score, f"{kind}, weight double")
 

@@ -51,10 +51,10 @@ def cell_neighbors(cells: DataFrame, landmarks: DataFrame, k: int = 20, transfor
     cells: with features, or with at and x (see ``cells.sparse_cells``). landmarks: (lm_id, features), broadcast; over 50,000 (counted) by blocks, a pass over the cells each.
     transform: applied to arrays on both sides. by_sample: applied instead to cells, with their samples. sigma: a fixed width of the weights.
     """
-    n = landmarks.count()
-    if n > MOST_LANDMARKS:
-        return _by_blocks(cells, landmarks, -(-2 * n // MOST_LANDMARKS), k, transform, by_sample, nested, sigma)
-    rows = landmarks.select("lm_id", "features").orderBy("lm_id").collect()
+    rows = landmarks.select("lm_id", "features").limit(MOST_LANDMARKS + 1).collect()  # one more than the bound tells that there are more
+    if len(rows) > MOST_LANDMARKS:
+        return _by_blocks(cells, landmarks, -(-2 * landmarks.count() // MOST_LANDMARKS), k, transform, by_sample, nested, sigma)
+    rows.sort(key=lambda r: r.lm_id)
     ids, reference = np.array([r.lm_id for r in rows]), np.array([r.features for r in rows], float)
     place = transform or (lambda x: x)
     return placed_neighbors(cells, ids, place(reference), landmarks.schema["lm_id"].dataType.simpleString(), k, by_sample or (lambda x, _: place(x)), reference.shape[1], nested, sigma)
@@ -78,19 +78,20 @@ def _by_blocks(cells: DataFrame, landmarks: DataFrame, blocks: int, k: int, tran
     return edges if nested else exploded(edges)
 
 
-def placed_neighbors(cells: DataFrame, ids: np.ndarray, reference: np.ndarray, id_type: str, k: int, place, width: int, nested: bool = False, sigma: float | None = None) -> DataFrame:
-    """As ``cell_neighbors``, with landmarks that are arrays already. place: coordinates of rows of ``width`` features, given their samples."""
+def placed_neighbors(cells: DataFrame, ids: np.ndarray, reference: np.ndarray, id_type: str, k: int, place, width: int, nested: bool = False, sigma: float | None = None, dense=None) -> DataFrame:
+    """As ``cell_neighbors``, with landmarks that are arrays already. place: coordinates of rows of ``width`` features, given their samples; dense: makes these of rows."""
     if len(ids) > MOST_LANDMARKS:
         raise ValueError("too many landmarks to broadcast")
     held = cells.sparkSession.sparkContext.broadcast((ids, reference))
     step = max(1, min(2000, SQUARE // max(1, len(ids))))
+    dense = dense or (lambda pdf: vectors(pdf, width))
 
     def run(batches):
         ids, ref = held.value
         for pdf in batches:
             for a in range(0, len(pdf), step):
                 own = pdf.iloc[a : a + step]
-                at, dist = nearest(place(vectors(own, width), own["sample_id"].to_numpy()), ref, k)
+                at, dist = nearest(place(dense(own), own["sample_id"].to_numpy()), ref, k)
                 weight = smooth_weights(dist, sigma=sigma)
                 if nested:
                     yield pd.DataFrame({"sample_id": own["sample_id"], "cell_id": own["cell_id"], "lm_ids": list(ids[at]), "dists": list(dist), "weights": list(weight)})

@@ -46,4 +46,5 @@ def vector_landmarks(spark: SparkSession, sf: str) -> DataFrame:
 
     cells = vector_cells(spark, sf)
     chosen = weighted_sample(cells.select("sample_id", "cell_id", F.lit(1.0).alias("weight")), quotas(samples(cells, 1)))
-    return cells.join(F.broadcast(chosen.select("cell_id")), "cell_id").select(F.col("cell_id").alias("lm_id"), "sample_id", "features", "label")
+    out = cells.join(F.broadcast(chosen.select("cell_id")), "cell_id").select(F.col("cell_id").alias("lm_id"), "sample_id", "features", "label")
+    return spark.createDataFrame(out.collect(), out.schema)  # landmarks, made once

@@ -268,8 +268,9 @@ def fuzzy_weights(spark: SparkSession, sf: str) -> DataFrame:
 SELECT lm_id, sample_id, round(coalesce(raw, 0), 6) AS raw, round(coalesce(raw, 0) / size, 6) AS norm FROM g LEFT JOIN w USING (lm_id, sample_id)""")
 def weighted_density(spark: SparkSession, sf: str) -> DataFrame:
     """A1: sums of weights (a fixed kernel) over samples and landmarks, by size factor."""
-    edges = _nn(spark, sf).withColumn("weight", F.exp(-F.col("dist")))
-    out = mapping.density(edges, vector_landmarks(spark, sf), C.samples(vector_cells(spark, sf), 1))
+    lm = vector_landmarks(spark, sf)
+    edges = _nn(spark, sf, lm=lm).withColumn("weight", F.exp(-F.col("dist")))
+    out = mapping.density(edges, lm, C.samples(vector_cells(spark, sf), 1))
     return _rounded(out.select("lm_id", "sample_id", "raw", "norm"), "raw", "norm")
 
 
@@ -277,9 +278,10 @@ def weighted_density(spark: SparkSession, sf: str) -> DataFrame:
 SELECT sample_id, cell_id, CASE WHEN confidence >= 0.4 THEN label ELSE '..low.confidence..' END AS label, round(confidence, 6) AS confidence FROM v QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY confidence DESC, tie, label) = 1""")
 def voted_labels(spark: SparkSession, sf: str) -> DataFrame:
     """N13 as the analysis does it: votes of a cell's nested edges, in a map."""
-    nested = neighbors.cell_neighbors(vector_cells(spark, sf), vector_landmarks(spark, sf), 10, nested=True)
+    lm = vector_landmarks(spark, sf)
+    nested = neighbors.cell_neighbors(vector_cells(spark, sf), lm, 10, nested=True)
     kernel = nested.withColumn("weights", F.transform("dists", lambda d: F.exp(-d)))
-    annot = {r.lm_id: r.label for r in vector_landmarks(spark, sf).collect()}  # landmarks
+    annot = {r.lm_id: r.label for r in lm.collect()}  # landmarks
     return _rounded(mapping.voted(kernel, annot, 0.4), "confidence")
 
 
@@ -499,7 +501,8 @@ pt AS (SELECT t AS k, count(*)::DOUBLE AS t FROM m GROUP BY 1), ps AS (SELECT s
 SELECT round((n * c - ts) / sqrt((n * n - tt) * (n * n - ss)), 6) AS mcc FROM nm, b""")
 def multiclass_agreement(spark: SparkSession, sf: str) -> DataFrame:
     """X3 of many classes: cells' labels against those of their nearest landmarks."""
-    said = _nn(spark, sf, 1).join(vector_landmarks(spark, sf).select("lm_id", F.col("label").alias("said")), "lm_id")
+    lm = vector_landmarks(spark, sf)
+    said = _nn(spark, sf, 1, lm).join(lm.select("lm_id", F.col("label").alias("said")), "lm_id")
     pdf = said.join(vector_cells(spark, sf).select("cell_id", "label"), "cell_id").groupBy("label", "said").agg(F.count("*").alias("n")).toPandas()  # pairs of labels
     return _rounded(_frame(spark, [(special.mcc(np.repeat(pdf["label"], pdf["n"]), np.repeat(pdf["said"], pdf["n"])),)], "mcc double"), "mcc")
 

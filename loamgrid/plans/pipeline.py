@@ -47,7 +47,8 @@ class Analysis:
     """One analysis of cells in samples (sample_id, covariates). Each verb returns self.
 
     cells: (sample_id, cell_id, features), or, with counts as an assay (sample_id, cell_id, feature, value; zeros absent), (sample_id, cell_id).
-    Counts are normalised, excluded genes and those of little variance left out, and go on as sparse rows.
+    Counts are dealt by cell once, in ``setup``, and kept as a row a cell (numbers of features, counts); all passes after that are maps, which
+    normalise, leave out excluded genes and those of little variance, and make rows dense 2000 at a time.
     """
 
     cells: DataFrame | None
@@ -76,47 +77,71 @@ class Analysis:
         if self.samples.count() != self.sizes.count():
             raise ValueError("samples and cells do not match")
         self.quota = C.quotas(self.sizes, c.share, c.most_landmarks)
+        if self.assay is not None:
+            self._count_rows()
         if self.assay is not None and c.components >= (least := self.sizes.agg(F.min("n_cells")).first()[0]):
             raise ValueError(f"{c.components} components of {least} cells, the fewest of a sample")
         return self
 
-    def _kept(self, values: DataFrame) -> DataFrame:
-        return C.without_excluded(values, list(self.config.force_in)) if self.config.exclude else values
-
-    def _rows(self, genes: Genes | None) -> DataFrame:
-        """All cells as rows of features: as they are, or of the chosen genes by the landmarks' mean total."""
+    def _count_rows(self) -> None:
+        """Features in order of their names, which of them may be chosen, all cells as rows of counts, and each sample's mean total."""
+        c, spark = self.config, self.cells.sparkSession
+        found = self.assay.select("feature").distinct()
+        self.feature_names = sorted(r.feature for r in found.collect())  # genes: tens of thousands
+        allowed = {r.feature for r in (C.without_excluded(found, list(c.force_in)) if c.exclude else found).collect()}
+        self.allowed = np.array([f in allowed for f in self.feature_names], bool)
+        self.forced = [i for i, f in enumerate(self.feature_names) if f in set(c.force_in)]
+        index = spark.createDataFrame(list(zip(self.feature_names, range(len(self.feature_names)), strict=True)), "feature string, at int")
+        self.rows = C.sparse_cells(self.cells, self.assay, F.broadcast(index)).persist(StorageLevel.DISK_ONLY)
+        total = self.rows.where(F.size("x") > 0).select("sample_id", F.aggregate("x", F.lit(0.0), lambda s, v: s + v).alias("total"))
+        self.mean_total = {r.sample_id: r.mean for r in total.groupBy("sample_id").agg(F.avg("total").alias("mean")).collect()}  # a row a sample
+
+    def _view(self, place, mean, width: int):
+        """A function that makes dense arrays of rows of counts; what it needs is broadcast."""
+        held = self.cells.sparkSession.sparkContext.broadcast(linalg.LogCounts(place, mean, width))
+        return lambda pdf: held.value(pdf)
+
+    def _rows(self, genes: Genes | None) -> tuple[DataFrame, object]:
+        """All cells, and how rows become arrays of features: as they are, or of the chosen genes by the landmarks' mean total."""
         if genes is None:
-            return self.cells
-        index = self.cells.sparkSession.createDataFrame(list(zip(genes.names, range(len(genes.names)), strict=True)), "feature string, at int")
-        return C.sparse_cells(self.cells, C.log2p1(C.normalised(self.assay, genes.mean_total)), F.broadcast(index))  # at most ``variable`` rows and those forced in
+            return self.cells, None
+        column = {f: i for i, f in enumerate(genes.names)}
+        return self.rows, self._view(np.array([column.get(f, -1) for f in self.feature_names]), genes.mean_total, len(genes.names))
 
     def _first_leverage(self) -> DataFrame:
         """Leverage within samples, of counts on the genes that vary most in each."""
         c = self.config
         if self.assay is None:
             return linalg.leverage(self.cells, c.components)
-        values = self._kept(C.log2p1(C.normalised(self.assay, with_cells=True)))
-        top = C.most_variable(C.feature_moments(values), c.variable, force_in=list(c.force_in)).select("sample_id", "feature", (F.col("rank") - 1).alias("at"))
-        top = top.persist(StorageLevel.MEMORY_AND_DISK)  # samples x variable
-        width = (top.agg(F.max("at")).first()[0] or 0) + 1
-        return linalg.leverage(C.sparse_cells(self.cells, values.drop("n_cells"), top), c.components, width)
+        moments = linalg.count_moments(self.rows, self.mean_total, len(self.feature_names))
+        allowed = F.broadcast(self.cells.sparkSession.createDataFrame([(int(i),) for i in np.flatnonzero(self.allowed)], "feature int"))  # genes
+        top = C.most_variable(moments.join(allowed, "feature", "left_semi"), c.variable, force_in=self.forced)
+        place = {s: np.full(len(self.feature_names), -1, np.int32) for s in self.mean_total}
+        width = 1
+        for r in top.select("sample_id", "feature", "rank").toLocalIterator():  # samples x variable
+            place[r.sample_id][r.feature] = r.rank - 1
+            width = max(width, r.rank)
+        return linalg.leverage(self.rows, c.components, width, dense=self._view(place, self.mean_total, width))
 
     def _collected(self, chosen: DataFrame) -> tuple[list, list, np.ndarray, Genes | None]:
-        """Samples, ids and features of the chosen cells (at most most_landmarks and one a sample); of counts also the genes."""
+        """Samples, ids and features of the chosen cells (at most most_landmarks and one a sample); of counts also the genes that vary most in them."""
         c = self.config
         own = F.broadcast(chosen.select("sample_id", "cell_id"))
         if self.assay is None:
             rows = self.cells.join(own, ["sample_id", "cell_id"]).orderBy("sample_id", "cell_id").collect()
             return [r.sample_id for r in rows], [r.cell_id for r in rows], np.array([r.features for r in rows], float), None
-        held = self.assay.join(own, ["sample_id", "cell_id"]).persist(StorageLevel.MEMORY_AND_DISK)
-        total = C.totals(held).agg(F.avg("total").alias("mean"), F.count("*").alias("n")).first()
-        values = self._kept(C.log2p1(C.normalised(held, total["mean"])))
-        top = C.most_variable(C.feature_moments(values, [], total["n"]), c.variable, [], list(c.force_in))
-        genes = Genes([r.feature for r in top.select("feature", "rank").orderBy("rank").collect()], total["mean"])
-        index = self.cells.sparkSession.createDataFrame(list(zip(genes.names, range(len(genes.names)), strict=True)), "feature string, at int")
-        pdf = C.sparse_cells(chosen, C.log2p1(C.normalised(held, total["mean"])), F.broadcast(index)).orderBy("sample_id", "cell_id").toPandas()
-        held.unpersist()
-        return pdf["sample_id"].tolist(), pdf["cell_id"].tolist(), linalg.vectors(pdf, len(genes.names)), genes
+        pdf = self.rows.join(own, ["sample_id", "cell_id"]).toPandas().sort_values(["sample_id", "cell_id"]).reset_index(drop=True)
+        filled, size = pdf[pdf["at"].map(len) > 0], len(self.feature_names)
+        mean = float(filled["x"].map(sum).mean())
+        _, at, v = linalg.logged(filled, mean)
+        s, q, n = np.bincount(at, v, size), np.bincount(at, v * v, size), len(filled)
+        variance = np.where(self.allowed & (s > 0), np.maximum((q - s * s / n) / (n - 1), 0), -1.0)
+        order = np.lexsort((np.arange(size), -variance, ~np.isin(np.arange(size), self.forced)))
+        keep = [i for i in order[: c.variable].tolist() if variance[i] >= 0]
+        genes = Genes([self.feature_names[i] for i in keep], mean)
+        place = np.full(size, -1)
+        place[keep] = np.arange(len(keep))
+        return pdf["sample_id"].tolist(), pdf["cell_id"].tolist(), linalg.LogCounts(place, mean, len(keep))(pdf), genes
 
     def _sampled(self, weights: DataFrame) -> DataFrame:
         """The weighted sample of the quotas, made once: at most most_landmarks rows and one a sample."""
@@ -129,7 +154,8 @@ class Analysis:
         first = self._sampled(self._first_leverage())
         *_, x, genes = self._collected(first)
         model = linalg.pca(x, c.components)
-        second = self._sampled(linalg.projected_leverage(self._rows(genes), model))
+        rows, dense = self._rows(genes)
+        second = self._sampled(linalg.projected_leverage(rows, model, dense))
         self.lm_sample, self.lm_cell, self.lm_raw, self.genes = self._collected(second)
         self.pca = linalg.pca(self.lm_raw, c.components)
         self.lm_coord = self.pca.coord
@@ -196,8 +222,9 @@ class Analysis:
         """Edges of all cells in one pass, a row a cell; density and labels from them."""
         c = self.config
         reference, place = self._placed()
-        rows = neighbors.placed_neighbors(self._rows(self.genes), np.arange(len(reference)), reference, "int", c.neighbors, place, self.lm_raw.shape[1], nested=True)
-        self.cell_edges = rows.persist(StorageLevel.DISK_ONLY)
+        rows, dense = self._rows(self.genes)
+        edges = neighbors.placed_neighbors(rows, np.arange(len(reference)), reference, "int", c.neighbors, place, self.lm_raw.shape[1], nested=True, dense=dense)
+        self.cell_edges = edges.persist(StorageLevel.DISK_ONLY)
         self.edges = neighbors.exploded(self.cell_edges)
         self.density = mapping.density(self.edges, self.lm, self.sizes)
         return self.refresh()
@@ -210,7 +237,8 @@ class Analysis:
         place = reference.pca.project
         if (reference.genes is None) != (self.assay is None):
             raise ValueError("counts map to an analysis of counts, features to one of features")
-        nn = neighbors.placed_neighbors(self._rows(reference.genes), np.arange(len(reference.pca.coord)), reference.pca.coord, "int", k, lambda x, _: place(x), reference.lm_raw.shape[1])
+        rows, dense = self._rows(reference.genes)
+        nn = neighbors.placed_neighbors(rows, np.arange(len(reference.pca.coord)), reference.pca.coord, "int", k, lambda x, _: place(x), reference.lm_raw.shape[1], dense=dense)
         votes = mapping.neighbor_votes(nn, reference.typing.current())
         self.reference_labels = mapping.transferred(votes, self.cells, self.config.confidence if threshold is None else threshold)
         return self
@@ -218,7 +246,8 @@ class Analysis:
     def _batch_map(self, project):
         """Projection and batch correction of cells: one pass sums memberships by batch, the returned function is a pure map."""
         level = {r.sample_id: str(r[self.config.batch]) for r in self.samples.select("sample_id", self.config.batch).collect()}
-        centroids, rows, width = self.centroids, self._rows(self.genes), self.lm_raw.shape[1]
+        centroids, (rows, dense), width = self.centroids, self._rows(self.genes), self.lm_raw.shape[1]
+        dense = dense or (lambda pdf: linalg.vectors(pdf, width))
 
         def sums(batches):
             import pandas as pd
@@ -227,7 +256,7 @@ class Analysis:
             for pdf in batches:
                 for a in range(0, len(pdf), 2000):
                     part = pdf.iloc[a : a + 2000]
-                    z = project(linalg.vectors(part, width))
+                    z = project(dense(part))
                     r = linalg.memberships(z, centroids)
                     name = np.array([level[s] for s in part["sample_id"]])
                     for b in set(name.tolist()):

@@ -27,14 +27,15 @@ dens AS (SELECT g.lm_id, g.sample_id, coalesce(c, 0) AS raw, coalesce(c, 0) / (n
 """
 
 
-def _nn(spark: SparkSession, sf: str, k: int = 10) -> DataFrame:
-    return neighbors.cell_neighbors(vector_cells(spark, sf), vector_landmarks(spark, sf), k)
+def _nn(spark: SparkSession, sf: str, k: int = 10, lm: DataFrame | None = None) -> DataFrame:
+    return neighbors.cell_neighbors(vector_cells(spark, sf), vector_landmarks(spark, sf) if lm is None else lm, k)
 
 
 def _density(spark: SparkSession, sf: str) -> DataFrame:
     cells = vector_cells(spark, sf)
-    hard = _nn(spark, sf, 1).select("sample_id", "cell_id", "lm_id", F.lit(1.0).alias("weight"))
-    return mapping.density(hard, vector_landmarks(spark, sf), C.samples(cells, 1))
+    lm = vector_landmarks(spark, sf)
+    hard = _nn(spark, sf, 1, lm).select("sample_id", "cell_id", "lm_id", F.lit(1.0).alias("weight"))
+    return mapping.density(hard, lm, C.samples(cells, 1))
 
 
 @query(_NEAREST + "SELECT lm_id, sample_id, raw, round(norm, 6) AS norm, round(log2(norm + 0.5), 6) AS log_norm FROM dens")
@@ -61,8 +62,8 @@ b AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY c
 SELECT cell_id, CASE WHEN confidence >= 0.5 THEN label ELSE '..low.confidence..' END AS label, CAST(confidence AS DOUBLE) AS confidence FROM b""")
 def neighbor_label_transfer(spark: SparkSession, sf: str) -> DataFrame:
     """N13 by votes of neighbours, W3."""
-    annot = vector_landmarks(spark, sf).select("lm_id", "label")
-    return mapping.transferred(mapping.neighbor_votes(_nn(spark, sf), annot), vector_cells(spark, sf)).select("cell_id", "label", "confidence")
+    lm = vector_landmarks(spark, sf)
+    return mapping.transferred(mapping.neighbor_votes(_nn(spark, sf, lm=lm), lm.select("lm_id", "label")), vector_cells(spark, sf)).select("cell_id", "label", "confidence")
 
 
 @query(_NEAREST + """, w AS (SELECT cell_id, sample_id, lm_id, lm_label, exp(-dist) AS w FROM nn),
@@ -73,8 +74,9 @@ g AS (SELECT * FROM (SELECT DISTINCT sample_id FROM c), (SELECT DISTINCT label F
 SELECT sample_id, label, coalesce(count, 0) AS count, round(100.0 * coalesce(count, 0) / sum(coalesce(count, 0)) OVER (PARTITION BY sample_id), 6) AS perc FROM g LEFT JOIN c USING (sample_id, label)""")
 def fuzzy_composition(spark: SparkSession, sf: str) -> DataFrame:
     """N13 by weights (a fixed kernel, so that SQL can follow), A2, M9, N11."""
-    edges = _nn(spark, sf).withColumn("weight", F.exp(-F.col("dist")))
-    labels = mapping.transferred(mapping.fuzzy_votes(edges, vector_landmarks(spark, sf).select("lm_id", "label")), vector_cells(spark, sf), 0.3)
+    lm = vector_landmarks(spark, sf)
+    edges = _nn(spark, sf, lm=lm).withColumn("weight", F.exp(-F.col("dist")))
+    labels = mapping.transferred(mapping.fuzzy_votes(edges, lm.select("lm_id", "label")), vector_cells(spark, sf), 0.3)
     return mapping.composition(labels).select("sample_id", "label", "count", _r("perc").alias("perc"))
 
 
@@ -315,7 +317,7 @@ def cells_of_labels(spark: SparkSession, sf: str) -> DataFrame:
 @query(_NEAREST + ", v AS (SELECT sample_id, cell_id, sum(exp(-dist)) FILTER (lm_id % 2 = 0) / sum(exp(-dist)) AS inside FROM nn GROUP BY 1, 2) SELECT sample_id, cell_id FROM v WHERE inside > 0.5")
 def cells_of_landmarks(spark: SparkSession, sf: str) -> DataFrame:
     """P6 by a set of landmarks: cells whose weights lie mostly inside."""
-    chosen = [r.lm_id for r in vector_landmarks(spark, sf).where("lm_id % 2 = 0").select("lm_id").collect()]  # landmarks: 50 here
+    chosen = [r.lm_id for r in vector_landmarks(spark, sf).where("lm_id % 2 = 0").select("lm_id").collect()]  # landmarks
     edges = _nn(spark, sf).withColumn("weight", F.exp(-F.col("dist")))
     return mapping.chosen_cells(vector_cells(spark, sf).select("sample_id", "cell_id"), edges=edges, landmarks=chosen)
 
@@ -450,8 +452,9 @@ def cell_types(spark: SparkSession, sf: str) -> DataFrame:
 SELECT label AS truth, said, count(*) AS n FROM m JOIN vec USING (cell_id) GROUP BY 1, 2""")
 def label_confusion(spark: SparkSession, sf: str) -> DataFrame:
     """Labels against the majority among neighbours."""
-    labels = vector_landmarks(spark, sf).select(F.col("lm_id").alias("id"), "label")
-    said = validate.majority_label(_nn(spark, sf).select(F.col("cell_id").alias("src"), F.col("lm_id").alias("dst")), labels)
+    lm = vector_landmarks(spark, sf)
+    labels = lm.select(F.col("lm_id").alias("id"), "label")
+    said = validate.majority_label(_nn(spark, sf, lm=lm).select(F.col("cell_id").alias("src"), F.col("lm_id").alias("dst")), labels)
     truth = vector_cells(spark, sf).select(F.col("cell_id").alias("src"), F.col("label").alias("truth"))
     return validate.confusion(truth.join(said.withColumnRenamed("label", "said"), "src"))
 

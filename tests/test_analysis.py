@@ -219,11 +219,26 @@ def test_counts_from_landmarks_to_labels(counted):
 
 
 def test_pass_two_sees_landmark_normalised_values(counted):
-    rows = counted._rows(counted.genes).where("sample_id = 's0' and cell_id = 'c3'").first()
+    rows, dense = counted._rows(counted.genes)
+    got = dense(rows.where("sample_id = 's0' and cell_id = 'c3'").toPandas())[0]
     raw = {r.feature: r.value for r in counted.assay.where("sample_id = 's0' and cell_id = 'c3'").collect()}
     total = sum(raw.values())
-    want = {counted.genes.names.index(f): np.log2(v / (total / counted.genes.mean_total) + 1) for f, v in raw.items() if f in counted.genes.names}
-    assert dict(zip(rows.at, rows.x, strict=True)) == pytest.approx(want)
+    assert got.tolist() == pytest.approx([np.log2(raw.get(f, 0.0) / (total / counted.genes.mean_total) + 1) for f in counted.genes.names])
+
+
+def test_rows_of_counts_have_the_moments_of_the_assay(counted):
+    got = linalg.count_moments(counted.rows, counted.mean_total, len(counted.feature_names)).collect()
+    want = {(r.sample_id, r.feature): (r.n, r.mean, r.variance) for r in C.feature_moments(C.log2p1(C.normalised(counted.assay, with_cells=True)).withColumnRenamed("n_cells", "n_cells")).collect()}
+    assert {(r.sample_id, counted.feature_names[r.feature]): pytest.approx((r.n, r.mean, r.variance)) for r in got} == want
+    top = C.most_variable(C.feature_moments(C.without_excluded(C.log2p1(C.normalised(counted.assay.join(counted.lm.select("sample_id", "cell_id"), ["sample_id", "cell_id"]), counted.genes.mean_total)), ["MT-ND1"]), [], len(counted.lm_cell)), 30, [], ["MT-ND1"])
+    assert [r.feature for r in top.orderBy("rank").collect()] == counted.genes.names
+
+
+def test_cells_without_counts_are_kept(spark):
+    assay = counts(spark, 2, 15, 12)
+    cells = assay.select("sample_id", "cell_id").distinct().unionByName(spark.createDataFrame([("s0", "empty")], "sample_id string, cell_id string"))
+    run = Analysis(cells, assay.select("sample_id").distinct(), Config(components=3, neighbors=4, share=0.3, variable=10, exclude=False), assay=assay).run()
+    assert run.clustering_labels.count() == 31 and run.sizes.where("n_cells = 16").count() == 1
 
 
 def test_count_models(counted):
