@@ -92,7 +92,7 @@ class Analysis:
         self.allowed = np.array([f in allowed for f in self.feature_names], bool)
         self.forced = [i for i, f in enumerate(self.feature_names) if f in set(c.force_in)]
         index = spark.createDataFrame(list(zip(self.feature_names, range(len(self.feature_names)), strict=True)), "feature string, at int")
-        self.rows = C.sparse_cells(self.cells, self.assay, F.broadcast(index)).persist(StorageLevel.DISK_ONLY)
+        self.rows = C.sparse_cells(self.cells, self.assay.where("value <> 0"), F.broadcast(index)).persist(StorageLevel.DISK_ONLY)
         total = self.rows.where(F.size("x") > 0).select("sample_id", F.aggregate("x", F.lit(0.0), lambda s, v: s + v).alias("total"))
         self.mean_total = {r.sample_id: r.mean for r in total.groupBy("sample_id").agg(F.avg("total").alias("mean")).collect()}  # a row a sample
 
@@ -117,10 +117,10 @@ class Analysis:
         allowed = F.broadcast(self.cells.sparkSession.createDataFrame([(int(i),) for i in np.flatnonzero(self.allowed)], "feature int"))  # genes
         top = C.most_variable(moments.join(allowed, "feature", "left_semi"), c.variable, force_in=self.forced)
         place = {s: np.full(len(self.feature_names), -1, np.int32) for s in self.mean_total}
-        width = 1
-        for r in top.select("sample_id", "feature", "rank").toLocalIterator():  # samples x variable
-            place[r.sample_id][r.feature] = r.rank - 1
-            width = max(width, r.rank)
+        ranked = top.select("sample_id", "feature", "rank").toPandas()  # samples x variable
+        for s, own in ranked.groupby("sample_id"):
+            place[s][own["feature"].to_numpy()] = own["rank"].to_numpy() - 1
+        width = int(ranked["rank"].max()) if len(ranked) else 1
         return linalg.leverage(self.rows, c.components, width, dense=self._view(place, self.mean_total, width))
 
     def _collected(self, chosen: DataFrame) -> tuple[list, list, np.ndarray, Genes | None]:
