@@ -149,22 +149,24 @@ def voted(edges: DataFrame, annot: dict[int, str], threshold: float = 0.5) -> Da
 
     def run(batches):
         ids, label, names = held.value
-        for pdf in batches:
-            n, k = len(pdf), len(names)
-            size = pdf["lm_ids"].map(len).to_numpy()
-            flat = np.concatenate([np.zeros(0, ids.dtype), *pdf["lm_ids"]])
-            weight = np.concatenate([np.zeros(0), *pdf["weights"]])
-            row, at = np.repeat(np.arange(n), size), np.minimum(np.searchsorted(ids, flat), max(0, len(ids) - 1))
-            known = ids[at] == flat if len(ids) else np.zeros(len(flat), bool)
-            row, weight, flat, kind = row[known], weight[known], flat[known], label[at[known]]
-            votes = np.bincount(row * k + kind, weight, n * k).reshape(n, k)
-            first = np.full(n * k, np.iinfo(np.int64).max)
-            np.minimum.at(first, row * k + kind, flat)
-            share = votes / np.maximum(votes.sum(1, keepdims=True), 1e-300)
-            order = np.lexsort((np.tile(np.arange(k), (n, 1)), first.reshape(n, k), -share), axis=1)[:, 0] if k else np.zeros(n, int)
-            best = share[np.arange(n), order] if k else np.zeros(n)
-            said = [names[o] if b >= threshold and b > 0 else LOW_CONFIDENCE for o, b in zip(order.tolist(), best.tolist(), strict=True)]
-            yield pd.DataFrame({"sample_id": pdf["sample_id"], "cell_id": pdf["cell_id"], "label": said, "confidence": best})
+        k = len(names)
+        for whole in batches:
+            for start in range(0, len(whole), 2000):
+                pdf = whole.iloc[start : start + 2000]
+                n, size = len(pdf), pdf["lm_ids"].map(len).to_numpy(int)
+                flat = np.concatenate([np.zeros(0, ids.dtype), *pdf["lm_ids"]])
+                weight = np.concatenate([np.zeros(0), *pdf["weights"]])
+                row, at = np.repeat(np.arange(n), size), np.minimum(np.searchsorted(ids, flat), max(0, len(ids) - 1))
+                known = ids[at] == flat if len(ids) else np.zeros(len(flat), bool)
+                row, weight, flat, kind = row[known], weight[known], flat[known], label[at[known]]
+                votes = np.bincount(row * k + kind, weight, n * k).reshape(n, k)
+                first = np.full(n * k, np.iinfo(np.int64).max)
+                np.minimum.at(first, row * k + kind, flat)
+                share = votes / np.maximum(votes.sum(1, keepdims=True), 1e-300)
+                order = np.lexsort((np.tile(np.arange(k), (n, 1)), first.reshape(n, k), -share), axis=1)[:, 0] if k else np.zeros(n, int)
+                best = share[np.arange(n), order] if k else np.zeros(n)
+                said = [names[o] if b >= threshold and b > 0 else LOW_CONFIDENCE for o, b in zip(order.tolist(), best.tolist(), strict=True)]
+                yield pd.DataFrame({"sample_id": pdf["sample_id"], "cell_id": pdf["cell_id"], "label": said, "confidence": best})
 
     kinds = {f.name: f.dataType.simpleString() for f in edges.schema.fields}
     return edges.select(*CELL, "lm_ids", "weights").mapInPandas(run, f"sample_id {kinds['sample_id']}, cell_id {kinds['cell_id']}, label string, confidence double")
