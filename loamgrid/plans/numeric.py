@@ -507,6 +507,31 @@ def multiclass_agreement(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(_frame(spark, [(special.mcc(np.repeat(pdf["label"], pdf["n"]), np.repeat(pdf["said"], pdf["n"])),)], "mcc double"), "mcc")
 
 
+_PERMUTED = """, y AS (SELECT i AS unit, sample_id, avg(features[i]) AS y FROM vec, (SELECT unnest(range(1, 65)) AS i) WHERE sample_id < 6 GROUP BY 1, 2), pm AS (SELECT a || b AS perm FROM (SELECT unnest(['011', '101', '110']) AS a), (SELECT unnest(['001', '010', '100']) AS b)),
+g AS (SELECT perm, unit, y - avg(y) OVER w AS y, CAST(substr(perm, sample_id + 1, 1) AS DOUBLE) - avg(CAST(substr(perm, sample_id + 1, 1) AS DOUBLE)) OVER w AS r FROM pm, y WINDOW w AS (PARTITION BY perm, unit, sample_id // 3)),
+m AS (SELECT perm, unit, sum(r * y) / sum(r * r) AS coef, (sum(y * y) - power(sum(r * y), 2) / sum(r * r)) / (count(*) - 3) AS s2, count(*) - 3.0 AS df, 1 / sum(r * r) AS h FROM g GROUP BY 1, 2),
+md AS (SELECT perm, greatest(median(s2), 1e-300) * 1e-12 AS floor FROM m GROUP BY 1), z AS (SELECT perm, df, ln(greatest(s2, floor)) AS z FROM m JOIN md USING (perm)), qz AS (SELECT perm, quantile_cont(z, 0.05) AS lo, quantile_cont(z, 0.9) AS hi FROM z GROUP BY 1),
+e AS (SELECT perm, df, least(greatest(z, lo), hi) - """ + _digamma("(df / 2)") + """ + ln(df / 2) AS e FROM z JOIN qz USING (perm)), pr AS (SELECT perm, any_value(df) AS df, avg(e) AS mean, var_samp(e) - """ + _trigamma("(any_value(df) / 2)") + """ AS spread, count(*) AS units FROM e GROUP BY 1),
+bi AS (SELECT perm, -20.0::DOUBLE AS lo, 20.0::DOUBLE AS hi, spread, 0 AS i FROM pr UNION ALL SELECT perm, CASE WHEN """ + _trigamma("exp((lo + hi) / 2)") + """ > spread THEN (lo + hi) / 2 ELSE lo END, CASE WHEN """ + _trigamma("exp((lo + hi) / 2)") + """ > spread THEN hi ELSE (lo + hi) / 2 END, spread, i + 1 FROM bi WHERE i < 90),
+d AS (SELECT perm, exp((lo + hi) / 2) AS half FROM bi WHERE i = 90), prior AS (SELECT perm, spread > 0 AS finite, CASE WHEN spread > 0 THEN 2 * half END AS d0, CASE WHEN spread > 0 THEN exp(mean + """ + _digamma("half") + """ - ln(half)) ELSE exp(mean) END AS s0, units FROM pr JOIN d USING (perm)),
+post AS (SELECT perm, unit, abs(coef) / sqrt(h * CASE WHEN finite THEN (d0 * s0 + df * s2) / (d0 + df) ELSE s0 END) AS t, CASE WHEN finite THEN least(df + d0, df * units) ELSE df * units END AS nu FROM m JOIN prior USING (perm)),
+pv AS (SELECT perm, unit, 1 - 2 * t / 2000 / 3 * exp(lgamma((nu + 1) / 2) - lgamma(nu / 2)) / sqrt(nu * pi()) * list_sum(list_transform(range(0, 2001), lambda i: (CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * power(1 + power(t * i / 2000, 2) / nu, -(nu + 1) / 2))) AS p FROM post),
+a AS (SELECT perm, unit, p, count(*) OVER (PARTITION BY perm) * p / row_number() OVER (PARTITION BY perm ORDER BY p, unit) AS a FROM pv), q AS (SELECT perm, least(1.0, min(a) OVER (PARTITION BY perm ORDER BY p, unit ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM a)
+"""
+
+
+@query(_PERMUTED + "SELECT perm, count(*) FILTER (q <= 0.9) AS n_sig, round(min(q), 6) AS min_q FROM q GROUP BY 1")
+def permutations(spark: SparkSession, sf: str) -> DataFrame:
+    """Refits of all reassignments of groups within batches, the observed one too."""
+    means = vector_cells(spark, sf).where("sample_id < 6").select("sample_id", F.posexplode("features").alias("unit", "y")).groupBy("unit", "sample_id").agg(F.avg("y").alias("y")).toPandas()  # features x samples
+    y = means.pivot(index="unit", columns="sample_id", values="y").sort_index().sort_index(axis=1).to_numpy()
+    group, batch = [0, 1, 1, 0, 0, 1], [0, 0, 0, 1, 1, 1]
+    said = ["".join(map(str, g)) for g in (tuple(group), *validate.permuted_labels(group, batch))]
+    names = _frame(spark, list(enumerate(said)), "id long, name string")
+    got = validate.permutation_test(spark, y, group, batch, cut=0.9).join(F.broadcast(names), F.col("perm") == F.col("id"))  # a row a permutation
+    return _rounded(got.select(F.col("name").alias("perm"), "n_sig", "min_q"), "min_q")
+
+
 # samples, stores and simulations
 
 
