@@ -169,6 +169,19 @@ def expressed_features(spark: SparkSession, sf: str) -> DataFrame:
     return _frame(spark, [(n,) for n, k in zip(names, kept, strict=True) if k], "feature string")
 
 
+@query(""", pb AS (SELECT sample_id, feature, CAST(sum(value) AS DOUBLE) AS v FROM assay WHERE sample_id < 10 GROUP BY 1, 2), tot AS (SELECT sample_id, sum(v) AS total FROM pb GROUP BY 1),
+up AS (SELECT sample_id, quantile_cont(v / total, 0.75) AS u FROM pb JOIN tot USING (sample_id) WHERE v > 0 GROUP BY 1), ref AS (SELECT sample_id AS ref FROM up ORDER BY round(abs(u - (SELECT avg(u) FROM up)), 12), sample_id LIMIT 1),
+ab AS (SELECT a.sample_id, a.feature, a.v / ta.total AS a, b.v / tb.total AS b, (ta.total - a.v) / ta.total / a.v + (tb.total - b.v) / tb.total / b.v AS iw FROM ref JOIN pb b ON b.sample_id = ref JOIN tot tb ON tb.sample_id = ref JOIN pb a ON a.feature = b.feature AND a.sample_id <> ref JOIN tot ta ON ta.sample_id = a.sample_id WHERE a.v > 0 AND b.v > 0),
+me AS (SELECT sample_id, log2(a / b) AS m, log2(a * b) / 2 AS e, 1 / iw AS w FROM ab), rk AS (SELECT sample_id, m, w, count(*) OVER s AS n, rank() OVER (PARTITION BY sample_id ORDER BY round(m, 12)) + (count(*) OVER (PARTITION BY sample_id, round(m, 12)) - 1) / 2.0 AS rm, rank() OVER (PARTITION BY sample_id ORDER BY round(e, 12)) + (count(*) OVER (PARTITION BY sample_id, round(e, 12)) - 1) / 2.0 AS ra FROM me WINDOW s AS (PARTITION BY sample_id)),
+f AS (SELECT sample_id, power(2, sum(w * m) / sum(w)) AS f FROM rk WHERE n >= 3 AND rm >= floor(n * 0.3) + 1 AND rm <= n - floor(n * 0.3) AND ra >= floor(n * 0.05) + 1 AND ra <= n - floor(n * 0.05) GROUP BY 1), whole AS (SELECT sample_id, coalesce(f, 1.0) AS f FROM tot LEFT JOIN f USING (sample_id))
+SELECT sample_id, round(f / exp(avg(ln(f)) OVER ()), 6) AS factor FROM whole""")
+def size_factors(spark: SparkSession, sf: str) -> DataFrame:
+    """Trimmed means of log ratios, of ten samples' pseudobulk counts."""
+    assay = order_assay(spark, sf).where("sample_id < 10")
+    y, _ = expression.matrix(assay, assay.select("sample_id", "cell_id").distinct().withColumn("weight", F.lit(1.0)), list(range(10)), True)
+    return _rounded(_frame(spark, list(enumerate(models.tmm(y))), "sample_id int, factor double"), "factor")
+
+
 # landmarks and components
 
 
